@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, line_templates, secrets
+from . import decontaminate, exact_dedup, line_templates, masked_lm, pieces, quality, secrets
 from ._tables import table
 
 
@@ -20,10 +21,31 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), _items_digest("items").alias("items_sha256"), "contaminated")
 
 
+#: The vocabulary file of the piece tokenizer.
+PIECE_MODEL = os.environ.get("PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
+
+
+def piece_model() -> bytes:
+    with open(PIECE_MODEL, "rb") as f:
+        return f.read()
+
+
+def op3_piece_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode_documents(table(spark, sf_dir, "documents"), piece_model(), digest=True)
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_masked_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return masked_lm.pseudo_likelihood(table(spark, sf_dir, "documents"))
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(table(spark, sf_dir, "documents"))
 
@@ -36,7 +58,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontaminate": op1_decontaminate,
+        "op3_piece_tokens": op3_piece_tokens,
         "op5_exact_dedup": op5_exact_dedup,
+        "op6_quality": op6_quality,
+        "op7_masked_lm": op7_masked_lm,
         "op9_secret_scan": op9_secret_scan,
         "op10_line_dedup": op10_line_dedup,
     }
