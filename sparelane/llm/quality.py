@@ -37,6 +37,8 @@ GRAM = 5
 PRIOR = 0.5
 CUT, SCALE = 1.5, 1000.0
 RECENT = 8
+#: Columns that :func:`resample` adds; an input column of such a name gives way.
+WEIGHT, KEY, KEPT = "log_weight", "key", "kept"
 CLASS = np.zeros(256, np.uint8)
 CLASS[65:91], CLASS[97:123], CLASS[48:58], CLASS[128:] = 1, 2, 3, 2
 CLASS[33:48] = CLASS[58:65] = CLASS[91:97] = CLASS[123:127] = 4
@@ -106,9 +108,9 @@ def score(table: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> np.ndarra
 
 
 def _scored(docs: DataFrame, table: np.ndarray, columns: list[str]) -> DataFrame:
-    names = [c for c in columns if c != "log_weight"]
+    names = columns
     shared = docs.sparkSession.sparkContext.broadcast(table)
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names) + ", log_weight double"
+    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names) + ", __weight double"
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -116,7 +118,7 @@ def _scored(docs: DataFrame, table: np.ndarray, columns: list[str]) -> DataFrame
             for ids, data, offsets in documents([batch]):
                 part = batch.slice(at, len(ids))
                 at += len(ids)
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(score(shared.value, data, offsets))], [*names, "log_weight"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(score(shared.value, data, offsets))], [*names, "__weight"])
 
     return docs.select(*dict.fromkeys([*names, "doc_id", "text"])).mapInArrow(run, schema)
 
@@ -133,7 +135,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 40_000, keep: fl
     ratio = np.log((target + PRIOR) / (raw * (target.sum() / raw.sum()) + PRIOR))
     table = np.where(ratio < -CUT, ratio, 0).astype(np.float32)
     held = _scored(rows.filter("held"), table, ["good"]).toArrow()
-    good, weight = held.column("good").to_numpy(zero_copy_only=False), held.column("log_weight").to_numpy()
+    good, weight = held.column("good").to_numpy(zero_copy_only=False), held.column("__weight").to_numpy()
     return table, threshold(weight[good], weight[~good], keep)
 
 
@@ -175,13 +177,13 @@ def kth_largest(keys: DataFrame, k: int, few: int = 5000, bins: int = 2000) -> f
 
 
 def resample(docs: DataFrame, labels: DataFrame, max_labelled: int = 40_000, keep: float = 0.99, seed: int = 17, columns: list[str] | None = None) -> DataFrame:
-    """Every row with log_weight, key and kept; ``columns`` of the input (doc_id at least) go along."""
+    """Every row with doc_id, log_weight, key and kept; ``columns`` of the input go along."""
     table, least = fit(docs, labels, max_labelled, keep)
-    names = list(dict.fromkeys(["doc_id", *(columns or [])]))
-    key = (F.col("log_weight") + gumbel(seed)).alias("key")
-    keys = materialize(_scored(docs, table, ["doc_id"]).select("doc_id", "log_weight", key), "keys")
-    k = keys.filter(F.col("log_weight") >= least).count()
+    names = list(dict.fromkeys(["doc_id", *(c for c in columns or [] if c not in (WEIGHT, KEY, KEPT))]))
+    key = (F.col("__weight") + gumbel(seed)).alias(KEY)
+    keys = materialize(_scored(docs, table, ["doc_id"]).select("doc_id", F.col("__weight").alias(WEIGHT), key), "keys")
+    k = keys.filter(F.col(WEIGHT) >= least).count()
     edge = kth_largest(keys, k) if k else np.inf
     # columns are scored once more rather than joined: no shuffle of texts
-    rows = keys if names == ["doc_id"] else _scored(docs, table, names).withColumn("key", key)
-    return rows.withColumn("kept", F.col("key") >= F.lit(float(edge)))
+    rows = keys if names == ["doc_id"] else _scored(docs, table, names).select(*names, F.col("__weight").alias(WEIGHT), key)
+    return rows.withColumn(KEPT, F.col(KEY) >= F.lit(float(edge)))

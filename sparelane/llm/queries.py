@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, fm_dedup, line_templates, masked_lm, pieces, quality, secrets, suffix_dedup
+from . import decontaminate, exact_dedup, fm_dedup, line_templates, masked_lm, ngram_join, pieces, quality, secrets, suffix_dedup
 from ._tables import table
 
 
@@ -54,6 +54,10 @@ def op7_masked_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return masked_lm.pseudo_likelihood(table(spark, sf_dir, "documents"))
 
 
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"), size=5, percent=75)
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(table(spark, sf_dir, "documents"))
 
@@ -72,6 +76,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_exact_dedup": op5_exact_dedup,
         "op6_quality": op6_quality,
         "op7_masked_lm": op7_masked_lm,
+        "op8_ngram_jaccard": op8_ngram_jaccard,
         "op9_secret_scan": op9_secret_scan,
         "op10_line_dedup": op10_line_dedup,
     }
