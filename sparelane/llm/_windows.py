@@ -307,6 +307,20 @@ def marked_windows(docs: DataFrame, scheme: Scheme, compare: Callable) -> DataFr
     return later.unionAll(contents.repartition(parts, "key").mapInArrow(run, MARKED))
 
 
+def buffers(contents: list[bytes], at_once: int = 1 << 19) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The contents as bytes and offsets, some at a time: hashing takes many times their size."""
+    held: list[bytes] = []
+    size = 0
+    for c in contents:
+        held.append(c)
+        size += len(c)
+        if size >= at_once:
+            yield np.frombuffer(b"".join(held), np.uint8), np.append(0, np.cumsum([len(x) for x in held]))
+            held, size = [], 0
+    if held:
+        yield np.frombuffer(b"".join(held), np.uint8), np.append(0, np.cumsum([len(x) for x in held]))
+
+
 def flagged_runs(flags: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Runs of True in each piece of ``flags``: piece, first place in it, length."""
     starts, ends = runs(flags, bounds)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ._text import U, documents, word_hashes, words
-from ._windows import Scheme, covered, flagged_runs, marked_windows, with_marks
+from ._windows import Scheme, buffers, covered, flagged_runs, marked_windows, with_marks
 
 
 class WaveletMatrix:
@@ -61,22 +61,21 @@ class FMIndex:
         m = len(bounds) - 1
         sizes = np.diff(bounds)
         # a 0 closes each sequence
-        flat = np.zeros(len(text) + m, np.int64)
-        self.at = bounds[:-1] + np.arange(m)
-        inside = np.arange(len(text)) + np.repeat(np.arange(m), sizes)
-        flat[inside] = text
+        flat = np.zeros(len(text) + m, np.int32)
+        flat[np.arange(len(text)) + np.repeat(np.arange(m), sizes)] = text
         self.k, self.n = k, len(flat)
         rank, length = flat, 1
+        self.order = np.argsort(flat, kind="stable")
         while length < k:
             step = min(length, k - length)
-            ahead = np.zeros(self.n, np.int64)
-            ahead[: max(0, self.n - step)] = rank[step:]
             # what follows a sequence's end is not part of it
-            ended = self._ends(flat, length)
-            pair = rank * (int(rank.max(initial=0)) + 1) + np.where(ended, 0, ahead)
-            rank = np.unique(pair, return_inverse=True)[1].astype(np.int64)
+            pair = np.zeros(self.n, np.int64)
+            pair[: max(0, self.n - step)] = rank[step:]
+            pair[self._ends(flat, length)] = 0
+            pair += rank.astype(np.int64) * (int(rank.max(initial=0)) + 1)
+            self.order = np.argsort(pair, kind="stable")
+            rank = _ranks(pair, self.order)
             length += step
-        self.order = np.argsort(rank, kind="stable")
         self.flat = flat
         before = flat[self.order - 1]  # the first sequence follows the last end
         self.bwt = WaveletMatrix(before)
@@ -161,12 +160,30 @@ class FMIndex:
         return length, low, high
 
 
+def _ids(hashes: np.ndarray) -> np.ndarray:
+    """1, 2, ... for each distinct word."""
+    order = np.argsort(hashes, kind="stable")
+    return _ranks(hashes, order) + 1
+
+
+def _ranks(keys: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Each place's rank among the distinct keys, ``order`` being their sorted order."""
+    ordered = keys[order]
+    out = np.empty(len(keys), np.int32)
+    out[order] = np.append(np.zeros(min(1, len(keys)), np.int32), np.cumsum(ordered[1:] != ordered[:-1], dtype=np.int32))
+    return out
+
+
 def _compare(k: int):
     def run(doc: np.ndarray, start: np.ndarray, n: np.ndarray, contents: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        data = np.frombuffer(b"".join(contents), np.uint8)
-        offsets = np.append(0, np.cumsum([len(c) for c in contents]))
-        starts, ends, bounds = words(data, offsets)
-        text = np.unique(word_hashes(data, starts, ends), return_inverse=True)[1] + 1
+        hashes, sizes = [], []
+        for data, offsets in buffers(contents):
+            starts, ends, bounds = words(data, offsets)
+            hashes.append(word_hashes(data, starts, ends))
+            sizes.append(np.diff(bounds))
+        bounds = np.append(0, np.cumsum(np.concatenate(sizes)))
+        text = _ids(np.concatenate(hashes))
+        del hashes
         index = FMIndex(text, bounds, k)
         length, low, _ = index.matching_statistics(text, bounds)
         # the smallest document among the rows of each stretch of k

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ._text import BYTE, U, documents
-from ._windows import Scheme, covered, flagged_runs, marked_windows, segments, with_marks
+from ._windows import Scheme, buffers, covered, flagged_runs, marked_windows, segments, with_marks
 
 #: Rows of a block; bytes of a file that stay in memory before it goes to disk.
 BLOCK, IN_MEMORY = 1 << 17, 1 << 18
@@ -172,9 +172,8 @@ class CollectionBWT:
 def _compare(k: int, m: int):
     def run(doc: np.ndarray, start: np.ndarray, n: np.ndarray, contents: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         # equal windows have their key at the same place, so segments line up by it
-        sizes = np.array([len(c) for c in contents])
-        e = segments(BYTE[np.frombuffer(b"".join(contents), np.uint8)], np.append(0, np.cumsum(sizes)), k, m)
-        right = sizes - e["place"]
+        place = [segments(BYTE[data], offsets, k, m)["place"] for data, offsets in buffers(contents)]
+        right = np.array([len(c) for c in contents]) - np.concatenate(place)
         bwt = CollectionBWT(contents, right.max() - right, k)
         seq, length, common = bwt.rows()
         bounds = np.append(0, np.cumsum(n))
