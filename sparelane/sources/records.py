@@ -11,10 +11,10 @@ from ..functions.scalars import format_ns, ns_per_op
 SCHEMA = "experiment string, variant string, n bigint, params string, median_ns decimal(38,0), p99_ns decimal(38,0), min_ns decimal(38,0), mean_ns double, iters int, ops bigint, bytes_touched bigint, extra string, notes string"
 
 
-def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """Records of a JSON file (an array or one a line); empty if there is none."""
+def read_records(spark: SparkSession, path: str, array: bool = True) -> DataFrame:
+    """Records of a JSON file, an array or one a line; empty if there is none."""
     try:
-        return spark.read.schema(SCHEMA).option("multiLine", True).json(path)
+        return spark.read.schema(SCHEMA).option("multiLine", array).json(path)
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
