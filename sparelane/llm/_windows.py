@@ -73,6 +73,7 @@ class Scheme:
 
     def __init__(self, k: int, m: int, of_words: bool, same_document: bool):
         self.k, self.m, self.of_words, self.same_document = k, m, of_words, same_document
+        self.crowded = CROWDED
 
     def symbols(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray | None, np.ndarray | None]:
         """Values, document bounds, and where each symbol begins and ends (None: itself a byte)."""
@@ -204,7 +205,7 @@ def _group(scheme: Scheme, parts: int):
         other = np.append(True, e["key"][1:] != e["key"][:-1])
         group = np.cumsum(other) - 1
         recurs = (np.bincount(group) > 1) | (np.bincount(group, e["n"] & 1) > 0)
-        crowded = np.bincount(group, new) > CROWDED
+        crowded = np.bincount(group, new) > scheme.crowded
         kind = np.where(own, np.where(crowded[group], WINDOWS, CONTENT), LATER)
         keep = recurs[group]
         yield from send({k: v[keep] for k, v in e.items()}, kind[keep])
