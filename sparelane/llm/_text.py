@@ -59,8 +59,8 @@ def range_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray, base: U)
     return mix((prefix[end] - prefix[start]) * powers(base, len(prefix))[1][start] + (end - start).astype(U) * U(0xA0761D6478BD642F))
 
 
-def documents(batches: Iterable[pa.RecordBatch], at_once: int = 1 << 19) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
-    """(doc ids, bytes, offsets) of runs of documents of about ``at_once`` bytes; a null text is empty."""
+def documents(batches: Iterable[pa.RecordBatch], at_once: int = 1 << 19, most: int = 1 << 30) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
+    """(doc ids, bytes, offsets) of runs of at most ``most`` documents of about ``at_once`` bytes; a null text is empty."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -71,7 +71,7 @@ def documents(batches: Iterable[pa.RecordBatch], at_once: int = 1 << 19) -> Iter
         data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
         i = 0
         while i < len(ids):
-            j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + at_once, "right")) - 1)
+            j = min(max(i + 1, int(np.searchsorted(offsets, offsets[i] + at_once, "right")) - 1), i + most)
             yield ids[i:j], data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
             i = j
 

@@ -39,6 +39,10 @@ BUCKETS, PIECES = 1 << 22, 64
 #: Members of one node that are verified in one task at a time.
 TOGETHER = 256
 GATHERED = 1_000_000
+#: Bits of a shingle's hash; the others tell the documents of a buffer apart.
+BITS = 56
+MOST = 255
+MASK = U((1 << BITS) - 1)
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -53,11 +57,9 @@ def shingles(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarr
     short = np.flatnonzero((counts > 0) & (counts < size))
     h = np.concatenate([range_hash(prefix, at[whole], at[whole] + size, BASE), range_hash(prefix, bounds[short], bounds[short + 1], BASE)])
     doc = np.concatenate([doc[whole], short])
-    order = np.lexsort((h, doc))
-    h, doc = h[order], doc[order]
-    new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-    return h[new], np.searchsorted(doc[new], np.arange(len(counts) + 1))
+    # document and hash in one number, so that one plain sort does
+    packed = np.unique((doc.astype(U) << U(BITS)) | (h >> U(64 - BITS)))
+    return packed & MASK, np.searchsorted(packed, np.arange(len(counts) + 1, dtype=U) << U(BITS))
 
 
 def _sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -67,7 +69,7 @@ def _sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 def node_keys(h: np.ndarray, bounds: np.ndarray) -> pa.Array:
     """128 bits of each whole set."""
-    two = np.stack([mix(_sums(mix(h ^ U(c)), bounds) + U(c)) for c in (0x5851F42D4C957F2D, 0x14057B7EF767814F)], 1)
+    two = np.stack([mix(_sums(mix(h ^ U(c)), bounds) + U(c) * (np.diff(bounds).astype(U) + U(1))) for c in (0x5851F42D4C957F2D, 0x14057B7EF767814F)], 1)
     return pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(bounds) - 1, [None, pa.py_buffer(np.ascontiguousarray(two).tobytes())]).cast(pa.binary())
 
 
@@ -78,7 +80,7 @@ def prefix_size(n: np.ndarray, percent: int) -> np.ndarray:
 def _frequencies(size: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, held, n = np.zeros(BUCKETS, np.uint32), [], 0
-        for _, data, offsets in documents(batches):
+        for _, data, offsets in documents(batches, most=MOST):
             held.append((shingles(data, offsets, size)[0] % U(BUCKETS)).astype(np.int32))
             n += len(held[-1])
             if n > GATHERED:
@@ -117,7 +119,9 @@ def _prefixes(h: np.ndarray, bounds: np.ndarray, counts: np.ndarray, percent: in
     """Prefix shingles of all sets, whose they are, and each group's key."""
     n = np.diff(bounds)
     doc = np.repeat(np.arange(len(n)), n)
-    order = np.lexsort((h, counts[h % U(BUCKETS)], doc))
+    # the count in 16 bits (as a float that was cut), then as much of the hash as fits
+    code = counts[h % U(BUCKETS)].astype(np.float32).view(np.uint32) >> np.uint32(16)
+    order = np.argsort((doc.astype(U) << U(56)) | (code.astype(U) << U(40)) | (h >> U(16)), kind="stable")
     place = np.arange(len(h)) - bounds[doc]
     keep = place < prefix_size(n, percent)[doc]
     p, doc = h[order][keep], doc[keep]
@@ -127,7 +131,7 @@ def _prefixes(h: np.ndarray, bounds: np.ndarray, counts: np.ndarray, percent: in
 
 def _sets(size: int, percent: int, counts):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, data, offsets in documents(batches):
+        for ids, data, offsets in documents(batches, most=MOST):
             h, bounds = shingles(data, offsets, size)
             gid = _prefixes(h, bounds, counts.value, percent)[2]
             doc = pa.array([NO_ID if x is None else x for x in ids], pa.int64())
@@ -156,7 +160,7 @@ def _entries(size: int, percent: int, counts, parts: int):
                 blobs.append((int(b - a)).to_bytes(8, "little") + z.compress(_planes(h[a:b], 7) + _planes(step) + _planes(n[a:b], 5)))
             yield pa.RecordBatch.from_arrays([pa.array(part[cut].astype(np.int32)), pa.array(blobs, pa.binary())], ["part", "blob"])
 
-        for _, data, offsets in documents(batches):
+        for _, data, offsets in documents(batches, most=MOST):
             h, bounds = shingles(data, offsets, size)
             p, doc, gid = _prefixes(h, bounds, counts.value, percent)
             fresh = np.zeros(len(gid), bool)
@@ -165,7 +169,7 @@ def _entries(size: int, percent: int, counts, parts: int):
                     seen.add(g)
                     fresh[i] = True
             keep = fresh[doc]
-            held.append((p[keep] & U((1 << 56) - 1), gid[doc[keep]], np.diff(bounds)[doc[keep]]))
+            held.append((p[keep], gid[doc[keep]], np.diff(bounds)[doc[keep]]))
             total += int(keep.sum())
             if len(seen) > 200_000:
                 seen.clear()
@@ -227,7 +231,7 @@ def _verify(size: int, percent: int):
             batch = batch.rename_columns(["doc_id" if c == "member" else c for c in batch.schema.names])
             nodes, at = batch.column("node").to_pylist(), 0
             found: list[tuple] = []
-            for members, data, offsets in documents([batch]):
+            for members, data, offsets in documents([batch], most=MOST):
                 h, bounds = shingles(data, offsets, size)
                 for i, member in enumerate(members):
                     mine = h[bounds[i] : bounds[i + 1]]
@@ -330,7 +334,7 @@ def _texts(size: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = 0
-            for ids, data, offsets in documents([batch]):
+            for ids, data, offsets in documents([batch], most=MOST):
                 part = batch.slice(at, len(ids))
                 at += len(ids)
                 mine = node_keys(*shingles(data, offsets, size)).to_pylist()
