@@ -5,12 +5,13 @@ builds the Burrows-Wheeler transform of its segments and the common prefixes of
 suffixes column by column: each round inserts one symbol of every segment, from right to left.
 The rows of a round lie in files, one for each first symbol, that are written and read
 sequentially in blocks; a block is dealt out by its transform symbols, and the least common
-prefix since a symbol's last row carries over from block to block. Segments line up at the key
-they share, so equal windows are inserted in the same round, and a segment that can no longer
-reach the threshold is finished and its rows go.
+prefix since a symbol's last row carries over from block to block. ``CollectionBWT.rows`` is the
+whole construction. Deduplication uses ``classes``: segments line up at the key they share, so
+equal windows are inserted in the same round, rows of earlier rounds need not stay in the
+files, and a segment that can no longer reach the threshold is finished.
 
-Rows whose common prefixes reach the threshold form classes of equal windows, and all but the
-first start of a class (document, then place) are marked.
+Neighbouring rows whose common prefixes reach the threshold form classes of equal windows, and all
+but the first start of a class (document, then place) are marked.
 
 Defined results: a null text is empty; a null ``doc_id`` is the last document; of rows that
 share a ``doc_id`` none is earlier than the other at the same place, and what is marked in one is
@@ -67,38 +68,90 @@ class Rows:
         self.file.close()
 
 
+def _blocks(piles: dict[int, Rows]) -> Iterator[np.ndarray]:
+    """The rows of all files in order of their symbols, a block at a time."""
+    held, n = [], 0
+    for key in sorted(piles):
+        for x in piles[key].blocks():
+            held.append(x)
+            n += len(x)
+            if n >= BLOCK:
+                yield np.concatenate(held)
+                held, n = [], 0
+    if n:
+        yield np.concatenate(held)
+
+
+class Classes:
+    """Neighbouring rows whose common prefixes reach a threshold, taken from blocks in order."""
+
+    def __init__(self, threshold: int):
+        self.threshold, self.rows, self.first, self.carry = threshold, [], [], None
+
+    def see(self, x: np.ndarray) -> None:
+        if self.carry is not None:
+            x = np.append(self.carry, x)
+        same = (x & U(0xFF)) >= U(self.threshold)
+        keep = same.copy()
+        keep[:-1] |= same[1:]
+        keep[-1] = False
+        self.rows.append(x[keep])
+        self.first.append(~same[keep])
+        self.carry = x[-1:]
+
+    def end(self) -> None:
+        """No row of the next round belongs to the last class."""
+        if self.carry is not None and int(self.carry[0] & U(0xFF)) >= self.threshold:
+            self.rows.append(self.carry)
+            self.first.append(np.zeros(1, bool))
+        self.carry = None
+
+    def result(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Class, sequence and length of each row."""
+        x, first = np.concatenate([np.zeros(0, U), *self.rows]), np.concatenate([np.zeros(0, bool), *self.first])
+        return np.cumsum(first), (x >> U(32)).astype(np.int64), ((x >> U(8)) & U(0xFFFF)).astype(np.int64)
+
+
 class CollectionBWT:
     """Suffixes of a collection of byte strings in order, built column by column."""
 
-    def __init__(self, strings: list[bytes], delay: np.ndarray | None = None, threshold: int | None = None):
-        """``delay``: the round after which a string begins; ``threshold``: the common prefix that is looked for.
-
-        With a threshold, strings are dropped that can't reach it any more with a suffix inserted in the
-        same round: delays have to line up the matches that are wanted.
-        """
+    def __init__(self, strings: list[bytes], delay: np.ndarray | None = None):
+        """``delay``: the round after which a string begins."""
         self.delay = np.zeros(len(strings), np.int64) if delay is None else delay
         self.sizes = np.array([len(s) for s in strings], np.int64)
         self.text = np.frombuffer(b"".join(strings), np.uint8)
         self.start = np.append(0, np.cumsum(self.sizes))
-        self.threshold = threshold
         if self.sizes.max(initial=0) > 0xFFFF:
             raise ValueError("strings of more than 65,535 bytes")
 
-    def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Sequence, length and common prefix (``MOST`` at most) of each suffix in order."""
-        alive = np.ones(len(self.sizes), bool)
-        reached = np.full(len(self.sizes), not self.threshold)
+    def _begin(self) -> tuple[np.ndarray, dict[int, Rows], int]:
         piles = {-1: Rows()}
         piles[-1].write(np.arange(len(self.sizes), dtype=U) << U(32))
-        for done in range(1, int((self.delay + self.sizes).max(initial=0)) + 1):
-            piles, best = self._insert(piles, alive, done)
-            if self.threshold:
-                reached |= best >= self.threshold
-                size = done - self.delay
-                alive &= reached | (size <= 0) | ((self.sizes > size) & (best + self.sizes - size >= self.threshold))
-        x = np.concatenate([np.zeros(0, U), *(b for k in sorted(piles) for b in piles[k].blocks())])
-        common, x = self._closed((x & U(0xFF)).astype(np.uint8), alive[(x >> U(32)).astype(np.int64)], x)
-        return (x >> U(32)).astype(np.int64), ((x >> U(8)) & U(0xFFFF)).astype(np.int64), common
+        return np.ones(len(self.sizes), bool), piles, int((self.delay + self.sizes).max(initial=0))
+
+    def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Sequence, length and common prefix (``MOST`` at most) of each suffix in order."""
+        alive, piles, last = self._begin()
+        for done in range(1, last + 1):
+            piles, _ = self._insert(piles, alive, done, None)
+        x = np.concatenate([np.zeros(0, U), *_blocks(piles)])
+        return (x >> U(32)).astype(np.int64), ((x >> U(8)) & U(0xFFFF)).astype(np.int64), (x & U(0xFF)).astype(np.int64)
+
+    def classes(self, threshold: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Class, sequence and length of suffixes that share ``threshold`` symbols with another of their round.
+
+        Delays line up the matches that are wanted, so a round's suffixes are compared with each
+        other only: those of the rounds before don't stay in the files, and strings go that can't reach the
+        threshold any more.
+        """
+        alive, piles, last = self._begin()
+        found = Classes(threshold)
+        for done in range(1, last + 2):
+            piles, best = self._insert(piles, alive, done, found)
+            found.end()
+            size = done - self.delay
+            alive = (size <= 0) | ((self.sizes > size) & (best + self.sizes - size >= threshold))
+        return found.result()
 
     @staticmethod
     def _closed(common: np.ndarray, keep: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -108,20 +161,23 @@ class CollectionBWT:
             return common[:0], *(c[:0] for c in columns)
         return np.minimum.reduceat(common[: at[-1] + 1], np.append(0, at[:-1] + 1)), *(c[at] for c in columns)
 
-    def _insert(self, piles: dict[int, Rows], alive: np.ndarray, done: int) -> tuple[dict[int, Rows], np.ndarray]:
+    def _insert(self, piles: dict[int, Rows], alive: np.ndarray, done: int, found: Classes | None) -> tuple[dict[int, Rows], np.ndarray]:
         """Round ``done``: every row is dealt out by the symbol before it, which inserts a suffix of each string under way.
 
         Returns the new files, and for each sequence the longest common prefix of its new suffix.
+        With ``found``, the rows of the round before are looked through and only new ones stay.
         """
         out = {-1: Rows()}
         best = np.zeros(len(alive), np.int64)
         floor = np.full(256, 255, np.uint8)  # least common prefix since the last row of each symbol
         last = np.full(256, -1, np.int64)  # sequence of the last row of each file, if that is a new suffix
         pending = 255  # least common prefix of rows that went since the last one that stays
-        for key in sorted(piles):
-            for x in piles[key].blocks():
-                common = (x & U(0xFF)).astype(np.uint8)
-                keep = alive[(x >> U(32)).astype(np.int64)]
+        for x in _blocks(piles):
+            if found:
+                found.see(x)
+            common = (x & U(0xFF)).astype(np.uint8)
+            keep = alive[(x >> U(32)).astype(np.int64)]
+            if not keep.all():
                 if not keep.any():
                     pending = min(pending, int(common.min()))
                     continue
@@ -129,13 +185,19 @@ class CollectionBWT:
                 common, x = self._closed(common, keep, x)
                 common[0] = min(int(common[0]), pending)
                 pending = int(tail.min()) if len(tail) else 255
-                if key == -1:
-                    out[-1].write(x)
-                self._deal(out, x, common, floor, last, best, done)
+            else:
+                common[0] = min(int(common[0]), pending)
+                pending = 255
+            self._deal(out, x, common, floor, last, best, done, found is not None)
         return out, best
 
-    def _deal(self, out: dict[int, Rows], x: np.ndarray, common: np.ndarray, floor: np.ndarray, last: np.ndarray, best: np.ndarray, done: int) -> None:
+    def _deal(self, out: dict[int, Rows], x: np.ndarray, common: np.ndarray, floor: np.ndarray, last: np.ndarray, best: np.ndarray, done: int, newest: bool) -> None:
         seq, length = (x >> U(32)).astype(np.int64), ((x >> U(8)) & U(0xFFFF)).astype(np.int64)
+        n_empty = int(np.searchsorted(length > 0, True)) if not length[0] else 0
+        if n_empty:  # suffixes of length 0 come first, and stay
+            waiting = x[:n_empty][self.delay[seq[:n_empty]] >= done] if newest else x[:n_empty]
+            if len(waiting):
+                out[-1].write(waiting)
         more = np.flatnonzero((length < self.sizes[seq]) & (self.delay[seq] < done))
         if not len(more):
             np.minimum(floor, common.min(), out=floor)
@@ -143,30 +205,35 @@ class CollectionBWT:
         symbol = self.text[self.start[seq[more] + 1] - 1 - length[more]]
         order = np.argsort(symbol, kind="stable")
         by, at = symbol[order], more[order]
-        cut = np.flatnonzero(np.diff(by.astype(np.int16), prepend=-1))
-        value = np.empty(len(at), np.int64)
-        inner = np.setdiff1d(np.arange(len(at)), cut, assume_unique=True)
+        first = np.ones(len(at), bool)
+        first[1:] = by[1:] != by[:-1]
+        cut, inner = np.flatnonzero(first), np.flatnonzero(~first)
+        value = np.empty(len(at), np.uint8)
         value[inner] = _range_minima(common, at[inner - 1] + 1, at[inner])
         since = np.minimum.accumulate(common)
-        until = np.append(np.minimum.accumulate(common[::-1])[::-1], 255)
+        until = np.append(np.minimum.accumulate(common[::-1])[::-1], np.uint8(255))
         value[cut] = np.minimum(floor[by[cut]], since[at[cut]])
-        value = np.minimum(value + 1, MOST)
+        value = np.minimum(value, MOST - 1) + np.uint8(1)
         ends = np.append(cut[1:], len(at))
         np.minimum(floor, since[-1], out=floor)
         floor[by[cut]] = until[at[ends - 1] + 1]
-        s, new = seq[at], length[at] + 1 == done - self.delay[seq[at]]
-        rows = (s.astype(U) << U(32)) | ((length[at] + 1).astype(U) << U(8))
-        for a, b in zip(cut.tolist(), ends.tolist(), strict=True):
-            c = int(by[a])
-            if c not in out:
-                out[c] = Rows()
+        for a in cut.tolist():
+            if int(by[a]) not in out:
+                out[int(by[a])] = Rows()
                 value[a] = 0
-            v, fresh = value[a:b], new[a:b]
-            out[c].write(rows[a:b] | v.astype(U))
-            best[s[a:b][fresh]] = np.maximum(v, np.append(v[1:], 0))[fresh]
-            if last[c] >= 0:
-                best[last[c]] = max(best[last[c]], int(v[0]))
-            last[c] = s[b - 1] if fresh[-1] else -1
+        s, size = seq[at], length[at] + 1
+        rows = (s.astype(U) << U(32)) | (size.astype(U) << U(8)) | value.astype(U)
+        after = np.zeros(len(value), np.uint8)
+        after[:-1] = np.where(first[1:], 0, value[1:])
+        new = size == done - self.delay[s]
+        best[s[new]] = np.maximum(value, after)[new]
+        # neighbours across blocks
+        before = last[by[cut]]
+        there = before >= 0
+        best[before[there]] = np.maximum(best[before[there]], value[cut[there]])
+        last[by[cut]] = np.where(new[ends - 1], s[ends - 1], -1)
+        for a, b in zip(cut.tolist(), ends.tolist(), strict=True):
+            out[int(by[a])].write(rows[a:b])
 
 
 def _compare(k: int, m: int):
@@ -174,14 +241,11 @@ def _compare(k: int, m: int):
         # equal windows have their key at the same place, so segments line up by it
         place = [segments(BYTE[data], offsets, k, m)["place"] for data, offsets in buffers(contents)]
         right = np.array([len(c) for c in contents]) - np.concatenate(place)
-        bwt = CollectionBWT(contents, right.max() - right, k)
-        seq, length, common = bwt.rows()
+        bwt = CollectionBWT(contents, right.max() - right)
+        group, seq, length = bwt.classes(k)
+        place = bwt.sizes[seq] - length
         bounds = np.append(0, np.cumsum(n))
         flags = np.zeros(bounds[-1], bool)
-        cut = np.flatnonzero(common < k)
-        size = np.diff(np.append(cut, len(seq)))
-        keep = np.repeat(size > 1, size)
-        group, seq, place = np.repeat(np.arange(len(cut)), size)[keep], seq[keep], bwt.sizes[seq[keep]] - length[keep]
         if len(seq):
             # the first start of each class stays
             order = np.lexsort((start[seq] + place, doc[seq], group))
