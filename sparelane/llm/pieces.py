@@ -35,7 +35,7 @@ NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, MERGES = 1, 2
 INF = float("inf")
 #: Distinct units whose ids a worker keeps.
-KEPT_UNITS = 400_000
+KEPT_UNITS = 1_000_000
 
 
 def _fields(b: bytes) -> Iterator[tuple[int, int | bytes]]:
