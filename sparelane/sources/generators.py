@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.ranks import prefix_sums
+
 
 def draw(below: int, seed: int, *of: Column | str) -> Column:
     """A whole number of 0 .. below - 1."""
@@ -94,8 +96,8 @@ def sorted_keys(spark: SparkSession, n: int, shape: str = "linear", seed: int =
         step = 1 + draw(50, seed)
     else:
         step = F.when(draw(225, seed) == 0, 10_000 + draw(70_000, seed + 1)).otherwise(F.lit(1))
-    order = Window.orderBy("id")
-    return spark.range(n).select("id", step.alias("step")).select(F.col("id").alias("pos"), F.sum("step").over(order).alias("k"))
+    steps = spark.range(n).select("id", step.cast("bigint").alias("step"))
+    return prefix_sums(steps, "id", F.col("step")).select(F.col("id").alias("pos"), (F.col("before") + F.col("step")).alias("k"))
 
 
 def scan_rows(spark: SparkSession, n: int, seed: int = 9) -> DataFrame:
