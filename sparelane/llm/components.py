@@ -8,11 +8,16 @@ from pyspark.sql import functions as F
 from .scratch import materialize
 
 
+def _jumped(parents: DataFrame) -> DataFrame:
+    """``x``, the parent of its parent, and whether that is another one."""
+    up = parents.select(F.col("x").alias("y"), F.col("p").alias("q"))
+    return parents.join(up, F.col("p") == F.col("y"), "left").select("x", F.coalesce("q", "p").alias("p"), F.col("q").isNotNull().alias("moved"))
+
+
 def _roots(parents: DataFrame) -> DataFrame:
     """``x`` and the root that following ``p`` (smaller than ``x``) ends at."""
     while True:
-        up = parents.select(F.col("x").alias("y"), F.col("p").alias("q"))
-        parents = materialize(parents.join(up, F.col("p") == F.col("y"), "left").select("x", F.coalesce("q", "p").alias("p"), F.col("q").isNotNull().alias("moved")), "parents")
+        parents = materialize(_jumped(_jumped(parents).select("x", "p")), "parents")
         if not parents.filter("moved").limit(1).count():
             return parents.select("x", "p")
 

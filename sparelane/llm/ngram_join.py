@@ -370,17 +370,22 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 75) -> Dat
     links = materialize(verified(tried, texts, size, percent), "links")
 
     expanded = materialize(members.distinct().join(there.select("gid", "node", "n"), "gid").select("list", "node", "n"), "expanded")
+    labels = components(links)
     for choose in (_foreign(percent), _all_foreign(percent)):
-        labels = components(links).withColumnRenamed("node", "m")
-        named = expanded.join(labels, F.col("node") == F.col("m"), "left").select("list", "node", "n", F.coalesce("label", "node").alias("label"))
-        open_lists = named.groupBy("list").agg(F.min("label").alias("s"), F.max("label").alias("t")).filter("s <> t").select("list")
+        of = labels.withColumnRenamed("node", "m")
+        named = expanded.join(of, F.col("node") == F.col("m"), "left").select("list", "node", "n", F.coalesce("label", "node").alias("label"))
+        open_lists = materialize(named.groupBy("list").agg(F.min("label").alias("s"), F.max("label").alias("t")).filter("s <> t").select("list"), "open")
+        if not open_lists.limit(1).count():
+            break
         todo = named.join(open_lists, "list", "left_semi").repartition(parts, "list").sortWithinPartitions("list")
         both = todo.mapInArrow(_pairs(choose), "a binary, b binary").distinct()
         done = tried.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         fresh = materialize(both.join(done, ["a", "b"], "left_anti"), "fresh")
-        links = materialize(links.unionAll(verified(fresh, texts, size, percent)), "links")
+        more = materialize(verified(fresh, texts, size, percent), "more")
+        if more.limit(1).count():
+            links = links.unionAll(more)
+            labels = components(links)
         tried = tried.unionAll(fresh)
-    labels = components(links)
     # the smallest document of each component; copies are in one node
     classes = nodes.select("node", "rep").join(labels, "node", "left").select("node", "rep", F.coalesce("label", "node").alias("label"))
     least = classes.groupBy("label").agg(F.min("rep").alias("component"))
