@@ -5,7 +5,8 @@ corpus, rare ones first (by document counts in hash buckets over all documents).
 similarity t share a shingle among the first n - ceil(t n) + 1 of either.
 
 * Documents of equal sets are one node; nodes of equal prefix and size are one group.
-* Groups that share a prefix shingle and fit in size are candidates (group filter).
+* Groups that share a prefix shingle, fit in size and have it in the index part of the smaller one (of
+  which the first 14 hundredths suffice at 75) are candidates (group filter).
 * Candidates expand to nodes and are verified on their whole sets, in rounds: first each
   node with the group that most of its lists point to, then with one node of a foreign
   component in each list, and in the end every pair of a list that still is in two
@@ -77,6 +78,11 @@ def prefix_size(n: np.ndarray, percent: int) -> np.ndarray:
     return n - -(-n * percent // 100) + 1
 
 
+def index_size(n: np.ndarray, percent: int) -> np.ndarray:
+    """Of two similar sets, the smaller one has the first shingle they share among this many."""
+    return n - -(-2 * percent * n // (100 + percent)) + 1
+
+
 def _frequencies(size: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, held, n = np.zeros(BUCKETS, np.uint32), [], 0
@@ -115,8 +121,8 @@ def frequencies(docs: DataFrame, size: int) -> np.ndarray:
     return out.ravel()
 
 
-def _prefixes(h: np.ndarray, bounds: np.ndarray, counts: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Prefix shingles of all sets, whose they are, and each group's key."""
+def _prefixes(h: np.ndarray, bounds: np.ndarray, counts: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Prefix shingles of all sets, whose they are, whether they are in the index part, and each group's key."""
     n = np.diff(bounds)
     doc = np.repeat(np.arange(len(n)), n)
     # the count in 16 bits (as a float that was cut), then as much of the hash as fits
@@ -124,16 +130,17 @@ def _prefixes(h: np.ndarray, bounds: np.ndarray, counts: np.ndarray, percent: in
     order = np.argsort((doc.astype(U) << U(56)) | (code.astype(U) << U(40)) | (h >> U(16)), kind="stable")
     place = np.arange(len(h)) - bounds[doc]
     keep = place < prefix_size(n, percent)[doc]
+    early = (place < index_size(n, percent)[doc])[keep]
     p, doc = h[order][keep], doc[keep]
     cut = np.searchsorted(doc, np.arange(len(n) + 1))
-    return p, doc, mix(_sums(mix(p), cut) + n.astype(U) * U(0x9E3779B97F4A7C15)) >> U(1)
+    return p, doc, early, mix(_sums(mix(p), cut) + n.astype(U) * U(0x9E3779B97F4A7C15)) >> U(1)
 
 
 def _sets(size: int, percent: int, counts):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, data, offsets in documents(batches, most=MOST):
             h, bounds = shingles(data, offsets, size)
-            gid = _prefixes(h, bounds, counts.value, percent)[2]
+            gid = _prefixes(h, bounds, counts.value, percent)[3]
             doc = pa.array([NO_ID if x is None else x for x in ids], pa.int64())
             yield pa.RecordBatch.from_arrays([doc, pa.array(np.diff(bounds)), pa.array(gid.view(np.int64)), node_keys(h, bounds)], ["doc_id", "n", "gid", "node"])
 
@@ -141,7 +148,7 @@ def _sets(size: int, percent: int, counts):
 
 
 def _entries(size: int, percent: int, counts, parts: int):
-    """(prefix shingle, group, size), dealt by shingle; a group leaves a task once at a time."""
+    """(prefix shingle, group, twice the size plus whether it is in the index part), dealt by shingle; a group leaves a task once at a time."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -162,14 +169,14 @@ def _entries(size: int, percent: int, counts, parts: int):
 
         for _, data, offsets in documents(batches, most=MOST):
             h, bounds = shingles(data, offsets, size)
-            p, doc, gid = _prefixes(h, bounds, counts.value, percent)
+            p, doc, early, gid = _prefixes(h, bounds, counts.value, percent)
             fresh = np.zeros(len(gid), bool)
             for i, g in enumerate(gid.tolist()):
                 if g not in seen:
                     seen.add(g)
                     fresh[i] = True
             keep = fresh[doc]
-            held.append((p[keep], gid[doc[keep]], np.diff(bounds)[doc[keep]]))
+            held.append((p[keep], gid[doc[keep]], np.diff(bounds)[doc[keep]] * 2 + early[keep]))
             total += int(keep.sum())
             if len(seen) > 200_000:
                 seen.clear()
@@ -199,25 +206,31 @@ def _lists(percent: int):
         held.clear()
         h, at = np.unique(h, return_inverse=True)
         shared = np.bincount(at)[at] > 1
-        at, gid, n = at[shared], gid[shared], n[shared]
+        at, gid, early, n = at[shared], gid[shared], n[shared] & 1 > 0, n[shared] >> 1
         order = np.lexsort((gid, n, at))
-        at, gid, n = at[order], gid[order], n[order]
-        new = np.ones(len(at), bool)
-        new[1:] = (at[1:] != at[:-1]) | (gid[1:] != gid[:-1])
-        at, gid, n = at[new], gid[new], n[new]
+        at, gid, early, n = at[order], gid[order], early[order], n[order]
+        # a pair counts if its smaller member is in the index part: what is below all those goes
+        least = np.full(at.max(initial=-1) + 1, 1 << 40)
+        np.minimum.at(least, at[early], n[early])
+        new = n >= least[at]
+        new[1:] &= (at[1:] != at[:-1]) | (gid[1:] != gid[:-1])
+        at, gid, early, n = at[new], gid[new], early[new], n[new]
         edge = np.flatnonzero(np.diff(at, prepend=-1))
         bounds = np.append(edge, len(at))
-        key = mix(_sums(mix(gid), bounds) + np.diff(bounds).astype(U))
+        key = mix(_sums(mix(gid * U(2) + early), bounds) + np.diff(bounds).astype(U))
         chosen = np.sort(np.unique(key, return_index=True)[1])
         chosen = chosen[np.diff(bounds)[chosen] > 1]
         rows = np.concatenate([np.arange(bounds[i], bounds[i + 1]) for i in chosen]) if len(chosen) else np.zeros(0, np.int64)
         which = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-        # (list, size) as one number: the first member that isn't too small
-        big = which.astype(np.int64) * (1 << 40) + n
-        first = np.searchsorted(big, which.astype(np.int64) * (1 << 40) + -(-n * percent // 100))
+        # (list, size) as one number: the first index member that isn't too small; none: the row itself
+        index = np.flatnonzero(early)
+        big = which * (1 << 40)
+        first = np.searchsorted((big + n)[index], big + -(-n * percent // 100))
+        first = index[np.minimum(first, len(index) - 1)] if len(index) else np.arange(len(n))
+        first = np.where(which[first] == which, first, np.arange(len(n))) if len(n) else first
         for i in range(0, len(rows), 100_000):
             r = rows[i : i + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array((key[which[r]] >> U(1)).view(np.int64)), pa.array(gid[r].view(np.int64)), pa.array(n[r]), pa.array(gid[first[r]].view(np.int64))], ["list", "gid", "n", "leader"])
+            yield pa.RecordBatch.from_arrays([pa.array((key[which[r]] >> U(1)).view(np.int64)), pa.array(gid[r].view(np.int64)), pa.array(n[r]), pa.array(early[r]), pa.array(gid[first[r]].view(np.int64))], ["list", "gid", "n", "early", "leader"])
 
     return run
 
@@ -263,33 +276,35 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
     return rows.mapInArrow(_verify(size, percent), "a binary, b binary")
 
 
+def _fit(n: np.ndarray, early: np.ndarray, i: int, j: np.ndarray, percent: int) -> np.ndarray:
+    """Whether member i and members j may be similar: near enough in size, and the smaller one in the index part."""
+    near = 100 * np.minimum(n[j], n[i]) >= percent * np.maximum(n[j], n[i])
+    return near & (((n[i] <= n[j]) & early[i]) | ((n[j] <= n[i]) & early[j]))
+
+
 def _foreign(percent: int):
     """For each list, each member with one of the largest component that it isn't in (the least by hash)."""
 
-    def pairs(node: np.ndarray, n: np.ndarray, label: np.ndarray, order: np.ndarray) -> Iterator[tuple]:
-        sizes = np.bincount(label)
-        top = sizes.argmax()
+    def pairs(n: np.ndarray, early: np.ndarray, label: np.ndarray, order: np.ndarray) -> Iterator[tuple]:
+        top = np.bincount(label).argmax()
         inside, out = np.flatnonzero(label == top), np.flatnonzero(label != top)
         inside = inside[np.argsort(order[inside], kind="stable")]
         for i in out.tolist():
-            fit = (100 * np.minimum(n[inside], n[i]) >= percent * np.maximum(n[inside], n[i])).argmax()
-            j = inside[fit]
-            if 100 * min(n[j], n[i]) >= percent * max(n[j], n[i]):
-                yield i, j
+            fit = _fit(n, early, i, inside, percent)
+            if fit.any():
+                yield i, inside[fit.argmax()]
 
     return pairs
 
 
 def _all_foreign(percent: int):
-    """For each list, all pairs in different components that fit in size."""
+    """For each list, all pairs in different components that may be similar."""
 
-    def pairs(node: np.ndarray, n: np.ndarray, label: np.ndarray, order: np.ndarray) -> Iterator[tuple]:
-        by = np.argsort(n, kind="stable")
-        n, label = n[by], label[by]
-        end = np.searchsorted(n, n * 100 // percent, "right")
-        for i in range(len(n)):
-            for j in (i + 1 + np.flatnonzero(label[i + 1 : end[i]] != label[i])).tolist():
-                yield by[i], by[j]
+    def pairs(n: np.ndarray, early: np.ndarray, label: np.ndarray, order: np.ndarray) -> Iterator[tuple]:
+        for i in range(len(n) - 1):
+            rest = np.arange(i + 1, len(n))
+            for j in rest[(label[rest] != label[i]) & _fit(n, early, i, rest, percent)].tolist():
+                yield i, j
 
     return pairs
 
@@ -300,15 +315,15 @@ def _pairs(choose):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def of(rows: list) -> Iterator[tuple]:
             nodes = [r[0] for r in rows]
-            codes = {x: i for i, x in enumerate(dict.fromkeys(r[2] for r in rows))}
+            codes = {x: i for i, x in enumerate(dict.fromkeys(r[3] for r in rows))}
             order = np.array([int.from_bytes(x[8:], "little") for x in nodes], U)
-            for i, j in choose(nodes, np.array([r[1] for r in rows]), np.array([codes[r[2]] for r in rows]), order):
+            for i, j in choose(np.array([r[1] for r in rows]), np.array([r[2] for r in rows]), np.array([codes[r[3]] for r in rows]), order):
                 a, b = nodes[i], nodes[j]
                 yield (a, b) if a > b else (b, a)
 
         now, rows, out = None, [], set()
         for batch in batches:
-            for key, *row in zip(*(batch.column(c).to_pylist() for c in ("list", "node", "n", "label")), strict=True):
+            for key, *row in zip(*(batch.column(c).to_pylist() for c in ("list", "node", "n", "early", "label")), strict=True):
                 if key != now:
                     out.update(of(rows) if rows else ())
                     now, rows = key, []
@@ -353,10 +368,10 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 75) -> Dat
     sets = materialize(docs.mapInArrow(_sets(size, percent, counts), "doc_id long, n long, gid long, node binary"), "sets")
     nodes = materialize(sets.filter("n > 0").groupBy("node", "gid", "n").agg(F.min("doc_id").alias("rep")), "nodes")
     dealt = docs.mapInArrow(_entries(size, percent, counts, parts), "part int, blob binary")
-    lists = materialize(dealt.repartitionById(parts, F.col("part")).mapInArrow(_lists(percent), "list long, gid long, n long, leader long"), "lists")
+    lists = materialize(dealt.repartitionById(parts, F.col("part")).mapInArrow(_lists(percent), "list long, gid long, n long, early boolean, leader long"), "lists")
     # groups of more than one node are lists as well
     several = nodes.groupBy("gid").agg(F.count("*").alias("k")).filter("k > 1").select("gid")
-    members = lists.select("list", "gid").unionAll(several.select(F.col("gid").alias("list"), "gid"))
+    members = lists.select("list", "gid", "early").unionAll(several.select(F.col("gid").alias("list"), "gid", F.lit(True).alias("early")))
     there = materialize(nodes.join(members.select("gid").distinct(), "gid", "left_semi"), "there")
     wanted = there.select(F.col("rep").alias("d"), "node")
     fetched = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text").join(wanted, F.col("doc_id") == F.col("d")).select("doc_id", "node", "text")
@@ -369,11 +384,11 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 75) -> Dat
     tried = materialize(inner.unionAll(outer), "tried")
     links = materialize(verified(tried, texts, size, percent), "links")
 
-    expanded = materialize(members.distinct().join(there.select("gid", "node", "n"), "gid").select("list", "node", "n"), "expanded")
+    expanded = materialize(members.distinct().join(there.select("gid", "node", "n"), "gid").select("list", "node", "n", "early"), "expanded")
     labels = components(links)
     for choose in (_foreign(percent), _all_foreign(percent)):
         of = labels.withColumnRenamed("node", "m")
-        named = expanded.join(of, F.col("node") == F.col("m"), "left").select("list", "node", "n", F.coalesce("label", "node").alias("label"))
+        named = expanded.join(of, F.col("node") == F.col("m"), "left").select("list", "node", "n", "early", F.coalesce("label", "node").alias("label"))
         open_lists = materialize(named.groupBy("list").agg(F.min("label").alias("s"), F.max("label").alias("t")).filter("s <> t").select("list"), "open")
         if not open_lists.limit(1).count():
             break
