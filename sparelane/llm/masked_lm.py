@@ -31,10 +31,12 @@ CLASSES = 64
 VOCABULARY = CLASSES * CLASSES
 #: Hash buckets among the vocabulary, for words that are not in it.
 BUCKETS = 256
-WINDOW, DIM = 2, 24
+WINDOW, DIM = 2, 16
 OFFSETS = [o for o in range(-WINDOW, WINDOW + 1) if o]
 PAD = VOCABULARY
-ROUNDS, BATCH, RATE = 2, 8192, 0.01
+ROUNDS, BATCH, RATE = 2, 16384, 0.02
+#: Logits are cut to this size, so that their exponentials need no maximum taken off.
+BOUND = 40.0
 SHAPES = {"E": (VOCABULARY + 1, DIM), "A": (len(OFFSETS), DIM), "b": (DIM,), "C": (DIM, CLASSES), "c": (CLASSES,), "W": (VOCABULARY, DIM), "w": (VOCABULARY,)}
 
 
@@ -122,46 +124,56 @@ def contexts(ids: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(1, keepdims=True)
-    return x - np.log(np.exp(x).sum(1, keepdims=True))
+def _softmax(x: np.ndarray, target: np.ndarray, scale: float) -> tuple[np.ndarray, np.ndarray | None]:
+    """Log-probability of each row's target; with ``scale``, its gradient less the sign times that."""
+    rows = np.arange(len(x))
+    np.clip(x, -BOUND, BOUND, out=x)
+    of = x[rows, target]
+    np.exp(x, out=x)
+    total = x.sum(1)
+    said = of - np.log(total)
+    if not scale:
+        return said, None
+    x *= (scale / total)[:, None].astype(x.dtype)
+    x[rows, target] -= scale
+    return said, x
 
 
 def forward(p: dict[str, np.ndarray], ctx: np.ndarray, ids: np.ndarray, grads: dict[str, np.ndarray] | None = None) -> np.ndarray:
     """log p(token | both sides) of each token; adds the gradient of minus their mean to ``grads``."""
-    x = p["E"][ctx]
-    h = np.tanh((x * p["A"]).sum(1) + p["b"])
-    cls, n = ids // CLASSES, len(ids)
-    rows = np.arange(n)
-    lc = _log_softmax(h @ p["C"] + p["c"])
-    out = lc[rows, cls]
-    order = np.argsort(cls, kind="stable")
-    cut = np.searchsorted(cls[order], np.arange(CLASSES + 1))
-    dh = np.zeros_like(h) if grads is not None else None
-    for c in np.flatnonzero(np.diff(cut)):
-        at, block = order[cut[c] : cut[c + 1]], slice(c * CLASSES, (c + 1) * CLASSES)
-        hs, inside = h[at], ids[at] - c * CLASSES
-        lw = _log_softmax(hs @ p["W"][block].T + p["w"][block])
-        out[at] += lw[np.arange(len(at)), inside]
-        if grads is not None:
-            d = np.exp(lw)
-            d[np.arange(len(at)), inside] -= 1
-            d /= n
-            grads["W"][block] += d.T @ hs
+    # sorted by class, so that a class is a slice
+    cls, scale = ids // CLASSES, 1 / len(ids) if grads is not None else 0.0
+    order = np.argsort(cls.astype(np.uint16), kind="stable")
+    ids, cls, ctx = ids[order], cls[order], ctx[order].T.copy()
+    xs = [p["E"].take(c, axis=0) for c in ctx]
+    z = xs[0] * p["A"][0] + p["b"]
+    for x, a in zip(xs[1:], p["A"][1:], strict=True):
+        z += x * a
+    h = np.tanh(z)
+    said, dc = _softmax(h @ p["C"] + p["c"], cls, scale)
+    cut = np.searchsorted(cls, np.arange(CLASSES + 1))
+    dh = dc @ p["C"].T if scale else None
+    for c in np.flatnonzero(np.diff(cut)).tolist():
+        at, block = slice(cut[c], cut[c + 1]), slice(c * CLASSES, (c + 1) * CLASSES)
+        more, d = _softmax(h[at] @ p["W"][block].T + p["w"][block], ids[at] - c * CLASSES, scale)
+        said[at] += more
+        if scale:
+            grads["W"][block] += d.T @ h[at]
             grads["w"][block] += d.sum(0)
-            dh[at] = d @ p["W"][block]
-    if grads is not None:
-        d = np.exp(lc)
-        d[rows, cls] -= 1
-        d /= n
-        grads["C"] += h.T @ d
-        grads["c"] += d.sum(0)
-        dz = (dh + d @ p["C"].T) * (1 - h * h)
+            dh[at] += d @ p["W"][block]
+    out = np.empty_like(said)
+    out[order] = said
+    if scale:
+        grads["C"] += h.T @ dc
+        grads["c"] += dc.sum(0)
+        dz = dh * (1 - h * h)
         grads["b"] += dz.sum(0)
-        grads["A"] += (dz[:, None] * x).sum(0)
-        flat, dx = ctx.ravel(), (dz[:, None] * p["A"]).reshape(-1, DIM)
-        for k in range(DIM):
-            grads["E"][:, k] += np.bincount(flat, dx[:, k], VOCABULARY + 1)
+        for k, (c, x) in enumerate(zip(ctx, xs, strict=True)):
+            grads["A"][k] += np.einsum("nd,nd->d", dz, x)
+            # rows of one word are added up where they lie sorted
+            by = np.argsort(c.astype(np.uint16), kind="stable")
+            first = np.flatnonzero(np.diff(c[by], prepend=-1))
+            grads["E"][c[by[first]]] += np.add.reduceat(dz[by], first, axis=0) * p["A"][k]
     return out
 
 
