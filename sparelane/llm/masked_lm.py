@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from ._text import LOWER, documents, word_hashes, words
 from .scratch import materialize
 
-CLASSES = 64
+CLASSES = 48
 VOCABULARY = CLASSES * CLASSES
 #: Hash buckets among the vocabulary, for words that are not in it.
 BUCKETS = 256

@@ -167,7 +167,7 @@ def test_network_probabilities_and_gradients():
     assert abs(every) < 1e-6
     grads = {k: np.zeros_like(v) for k, v in p.items()}
     masked_lm.forward(p, ctx, ids, grads)
-    for name, at in (("E", (ids[3], 2)), ("A", (1, 5)), ("b", (3,)), ("C", (4, 7)), ("c", (ids[0] // 64,)), ("W", (ids[5], 1)), ("w", (ids[9],))):
+    for name, at in (("E", (ids[3], 2)), ("A", (1, 5)), ("b", (3,)), ("C", (4, 7)), ("c", (ids[0] // masked_lm.CLASSES,)), ("W", (ids[5], 1)), ("w", (ids[9],))):
         loss = []
         for step in (1e-5, -1e-5):
             q = {k: v.copy() for k, v in p.items()}
