@@ -5,10 +5,12 @@ embeddings, scaled by position, are added and squashed; a softmax over word clas
 over the words of the class give the probability. A document's score is the sum of these
 conditional log-probabilities over its tokens (pseudo-log-likelihood), and its mean.
 
-Word counts over all documents make the vocabulary: the most frequent words, and hash buckets
-for the others. Training goes over every document once, in ``ROUNDS`` parts by a hash of the
-id; in each, every task trains from the shared parameters on its documents, and the results
-are averaged by tokens in a tree of tasks. Only parameters, of fixed size, reach the driver.
+Word counts over all documents make the vocabulary: every word that occurs ``MIN_COUNT`` times,
+and of a small corpus the most frequent words; hash buckets for the others. It grows with the
+corpus, and the number of classes with its square root. Training goes over every document once,
+in ``ROUNDS`` parts by a hash of the id; in each, every task trains from the shared parameters
+on its documents, and the results are averaged by tokens in pieces, in trees of tasks. Only the
+vocabulary and one set of parameters reach the driver.
 
 Defined results: a null or empty text has no tokens and score 0, mean null; a neighbour
 beyond the text is a padding token; a null ``doc_id`` is scored like any other; empty tables
@@ -17,27 +19,39 @@ give no rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._text import LOWER, documents, word_hashes, words
 from .scratch import materialize
 
-CLASSES = 48
+#: Classes at least, with as many words each, and the ids of so many.
+CLASSES = 64
 VOCABULARY = CLASSES * CLASSES
-#: Hash buckets among the vocabulary, for words that are not in it.
+#: Occurrences from which a word has an id of its own in any corpus.
+MIN_COUNT = 50
+#: Hash buckets among the vocabulary at least, for words that are not in it.
 BUCKETS = 256
-WINDOW, DIM = 2, 16
+WINDOW, DIM = 2, 24
 OFFSETS = [o for o in range(-WINDOW, WINDOW + 1) if o]
-PAD = VOCABULARY
-ROUNDS, BATCH, RATE = 2, 16384, 0.02
+#: The last row of the embeddings.
+PAD = -1
+ROUNDS, BATCH, RATE = 2, 8192, 0.01
+#: Bytes of parameters in a row of a table.
+PIECE = 1 << 20
 #: Logits are cut to this size, so that their exponentials need no maximum taken off.
 BOUND = 40.0
-SHAPES = {"E": (VOCABULARY + 1, DIM), "A": (len(OFFSETS), DIM), "b": (DIM,), "C": (DIM, CLASSES), "c": (CLASSES,), "W": (VOCABULARY, DIM), "w": (VOCABULARY,)}
+
+
+def shapes(classes: int) -> dict[str, tuple[int, ...]]:
+    n = classes * classes
+    return {"E": (n + 1, DIM), "A": (len(OFFSETS), DIM), "b": (DIM,), "C": (DIM, classes), "c": (classes,), "W": (n, DIM), "w": (n,)}
 
 
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -48,14 +62,15 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 class Vocabulary:
-    """Word hashes in order of their ids; other words share ``BUCKETS`` ids after them."""
+    """Word hashes in order of their ids; other words share the ids after them, ``BUCKETS`` at least."""
 
     def __init__(self, hashes: np.ndarray):
         self.order = np.argsort(hashes)
-        self.sorted, self.n = hashes[self.order], VOCABULARY - BUCKETS
+        self.sorted, self.n = hashes[self.order], len(hashes)
+        self.classes = max(CLASSES, math.isqrt(self.n + BUCKETS - 1) + 1)
 
     def ids(self, hashes: np.ndarray) -> np.ndarray:
-        other = self.n + (hashes.view(np.uint64) % np.uint64(BUCKETS)).astype(np.int64)
+        other = self.n + (hashes.view(np.uint64) % np.uint64(self.classes**2 - self.n)).astype(np.int64)
         if not len(self.sorted):
             return other
         at = np.minimum(np.searchsorted(self.sorted, hashes), len(self.sorted) - 1)
@@ -84,27 +99,30 @@ def _counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def vocabulary(docs: DataFrame) -> Vocabulary:
-    """The most frequent words of all documents."""
+    """The words of all documents that occur ``MIN_COUNT`` times; the most frequent if those are few."""
     counts = docs.select("doc_id", "text").mapInArrow(_counts, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.desc("n"), "h").limit(VOCABULARY - BUCKETS).collect()
-    return Vocabulary(np.array([r.h for r in top], np.int64))
+    top = counts.filter(F.col("n") >= MIN_COUNT).toArrow()
+    if top.num_rows < VOCABULARY - BUCKETS:
+        top = counts.orderBy(F.desc("n"), "h").limit(VOCABULARY - BUCKETS).toArrow()
+    h, n = (top.column(c).to_numpy().astype(np.int64) for c in ("h", "n"))
+    return Vocabulary(h[np.lexsort((h, -n))])
 
 
-def initial(seed: int = 5) -> dict[str, np.ndarray]:
+def initial(classes: int = CLASSES, seed: int = 5) -> dict[str, np.ndarray]:
     r = np.random.default_rng(seed)
     scale = {"E": 0.3, "C": 0.1, "W": 0.1}
-    out = {k: (r.normal(0, scale[k], s) if k in scale else np.zeros(s)).astype(np.float32) for k, s in SHAPES.items()}
+    out = {k: (r.normal(0, scale[k], s) if k in scale else np.zeros(s)).astype(np.float32) for k, s in shapes(classes).items()}
     out["A"] += 1
     return out
 
 
 def pack(p: dict[str, np.ndarray]) -> bytes:
-    return b"".join(p[k].astype(np.float32).tobytes() for k in SHAPES)
+    return b"".join(p[k].astype(np.float32).tobytes() for k in shapes(CLASSES))
 
 
-def unpack(b: bytes) -> dict[str, np.ndarray]:
+def unpack(b: bytes, classes: int) -> dict[str, np.ndarray]:
     flat, at, out = np.frombuffer(b, np.float32), 0, {}
-    for k, s in SHAPES.items():
+    for k, s in shapes(classes).items():
         n = int(np.prod(s))
         out[k] = flat[at : at + n].reshape(s).copy()
         at += n
@@ -142,8 +160,9 @@ def _softmax(x: np.ndarray, target: np.ndarray, scale: float) -> tuple[np.ndarra
 def forward(p: dict[str, np.ndarray], ctx: np.ndarray, ids: np.ndarray, grads: dict[str, np.ndarray] | None = None) -> np.ndarray:
     """log p(token | both sides) of each token; adds the gradient of minus their mean to ``grads``."""
     # sorted by class, so that a class is a slice
-    cls, scale = ids // CLASSES, 1 / len(ids) if grads is not None else 0.0
-    order = np.argsort(cls.astype(np.uint16), kind="stable")
+    classes = len(p["c"])
+    cls, scale = ids // classes, 1 / len(ids) if grads is not None else 0.0
+    order = np.argsort(cls.astype(np.min_scalar_type(classes)), kind="stable")
     ids, cls, ctx = ids[order], cls[order], ctx[order].T.copy()
     xs = [p["E"].take(c, axis=0) for c in ctx]
     z = xs[0] * p["A"][0] + p["b"]
@@ -151,11 +170,11 @@ def forward(p: dict[str, np.ndarray], ctx: np.ndarray, ids: np.ndarray, grads: d
         z += x * a
     h = np.tanh(z)
     said, dc = _softmax(h @ p["C"] + p["c"], cls, scale)
-    cut = np.searchsorted(cls, np.arange(CLASSES + 1))
+    cut = np.searchsorted(cls, np.arange(classes + 1))
     dh = dc @ p["C"].T if scale else None
     for c in np.flatnonzero(np.diff(cut)).tolist():
-        at, block = slice(cut[c], cut[c + 1]), slice(c * CLASSES, (c + 1) * CLASSES)
-        more, d = _softmax(h[at] @ p["W"][block].T + p["w"][block], ids[at] - c * CLASSES, scale)
+        at, block = slice(cut[c], cut[c + 1]), slice(c * classes, (c + 1) * classes)
+        more, d = _softmax(h[at] @ p["W"][block].T + p["w"][block], ids[at] - c * classes, scale)
         said[at] += more
         if scale:
             grads["W"][block] += d.T @ h[at]
@@ -171,78 +190,92 @@ def forward(p: dict[str, np.ndarray], ctx: np.ndarray, ids: np.ndarray, grads: d
         for k, (c, x) in enumerate(zip(ctx, xs, strict=True)):
             grads["A"][k] += np.einsum("nd,nd->d", dz, x)
             # rows of one word are added up where they lie sorted
-            by = np.argsort(c.astype(np.uint16), kind="stable")
-            first = np.flatnonzero(np.diff(c[by], prepend=-1))
+            by = np.argsort(c.astype(np.int32), kind="stable")
+            first = np.flatnonzero(np.diff(c[by], prepend=PAD - 1))
             grads["E"][c[by[first]]] += np.add.reduceat(dz[by], first, axis=0) * p["A"][k]
     return out
 
 
 class Trainer:
-    """Adam over batches of tokens."""
+    """Adam over batches of tokens; a word's moments and parameters move in batches that touch them."""
 
     def __init__(self, p: dict[str, np.ndarray]):
         self.p, self.step, self.seen = p, 0, 0
-        self.m = {k: np.zeros_like(v) for k, v in p.items()}
-        self.v = {k: np.zeros_like(v) for k, v in p.items()}
+        self.g, self.m, self.v = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(3))
+
+    def _move(self, k: str, at, rate: float) -> None:
+        g, m, v = self.g[k][at], self.m[k][at], self.v[k][at]
+        m += 0.1 * (g - m)
+        v += 0.01 * (g * g - v)
+        self.p[k][at] -= rate * m / (np.sqrt(v) + 1e-6)
+        self.m[k][at], self.v[k][at], self.g[k][at] = m, v, 0
 
     def learn(self, ctx: np.ndarray, ids: np.ndarray) -> None:
+        classes = len(self.p["c"])
         for i in range(0, len(ids), BATCH):
-            g = {k: np.zeros_like(v) for k, v in self.p.items()}
-            forward(self.p, ctx[i : i + BATCH], ids[i : i + BATCH], g)
+            near, here = ctx[i : i + BATCH], ids[i : i + BATCH]
+            forward(self.p, near, here, self.g)
             self.step += 1
-            rate = RATE * np.sqrt(1 - 0.99**self.step) / (1 - 0.9**self.step)
-            for k, x in g.items():
-                self.m[k] += 0.1 * (x - self.m[k])
-                self.v[k] += 0.01 * (x * x - self.v[k])
-                self.p[k] -= (rate * self.m[k] / (np.sqrt(self.v[k]) + 1e-6)).astype(np.float32)
-            self.seen += len(ids[i : i + BATCH])
+            rate = float(RATE * np.sqrt(1 - 0.99**self.step) / (1 - 0.9**self.step))
+            for k in "AbCc":
+                self._move(k, slice(None), rate)
+            self._move("E", np.unique(near), rate)
+            for c in np.unique(here // classes).tolist():
+                for k in "Ww":
+                    self._move(k, slice(c * classes, (c + 1) * classes), rate)
+            self.seen += len(here)
+
+
+PIECES = "piece int, task int, params binary, n long"
+
+
+def _pieces(rows: Iterable[tuple[int, int, bytes, int]]) -> Iterator[pa.RecordBatch]:
+    for piece, task, params, n in rows:
+        yield pa.RecordBatch.from_arrays([pa.array([piece], pa.int32()), pa.array([task], pa.int32()), pa.array([params], pa.binary()), pa.array([n], pa.int64())], ["piece", "task", "params", "n"])
 
 
 def _average(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total, n = None, 0
+    total: dict[tuple[int, int], list] = {}
     for batch in batches:
-        for b, k in zip(batch.column("params"), batch.column("n").to_pylist(), strict=True):
-            x = np.frombuffer(b.as_py(), np.float32).astype(np.float64) * k
-            total, n = x if total is None else total + x, n + k
-    if n:
-        yield pa.RecordBatch.from_arrays([pa.array([(total / n).astype(np.float32).tobytes()], pa.binary()), pa.array([n], pa.int64())], ["params", "n"])
+        for piece, task, b, n in zip(batch.column("piece").to_pylist(), batch.column("task").to_pylist(), batch.column("params"), batch.column("n").to_pylist(), strict=True):
+            x = np.frombuffer(b.as_buffer(), np.float32).astype(np.float64) * n
+            have = total.setdefault((piece, task), [0.0, 0])
+            have[0], have[1] = have[0] + x, have[1] + n
+    return _pieces((piece, task, (x / n).astype(np.float32).tobytes(), n) for (piece, task), (x, n) in total.items())
 
 
 def train(docs: DataFrame, vocab: Vocabulary, fan_in: int = 32) -> dict[str, np.ndarray]:
     """Parameters after one pass over all documents."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
-    now = pack(initial())
+    now = pack(initial(vocab.classes))
     for part in range(ROUNDS):
         shared = spark.sparkContext.broadcast((now, vocab))
 
         def run(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             start, vocab = shared.value
-            trainer = Trainer(unpack(start))
+            trainer = Trainer(unpack(start, vocab.classes))
             for _, data, offsets in documents(batches):
                 h, bounds = tokens(data, offsets)
                 if len(h):
                     ids = vocab.ids(h)
                     trainer.learn(contexts(ids, bounds), ids)
             if trainer.seen:
-                yield pa.RecordBatch.from_arrays([pa.array([pack(trainer.p)], pa.binary()), pa.array([trainer.seen], pa.int64())], ["params", "n"])
+                b, task = pack(trainer.p), TaskContext.get().partitionId()
+                yield from _pieces((i // PIECE, task, b[i : i + PIECE], trainer.seen) for i in range(0, len(b), PIECE))
 
-        rows = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(ROUNDS)) == part).mapInArrow(run, "params binary, n long")
+        rows = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(ROUNDS)) == part).mapInArrow(run, PIECES)
         rows = materialize(rows, "params")
-        n = rows.count()
+        n = (rows.agg(F.max("task")).first()[0] or 0) + 1
         while n > 1:
             n = -(-n // fan_in)
-            rows = materialize(rows.repartition(n).mapInArrow(_average, "params binary, n long"), "params")
-        got = rows.collect()
+            rows = rows.withColumn("task", F.floor(F.col("task") / fan_in).cast("int")).repartition("piece", "task")
+            rows = materialize(rows.mapInArrow(_average, PIECES), "params")
+        got = {r.piece: bytes(r.params) for r in rows.select("piece", "params").toLocalIterator()}
         if got:
-            now = bytes(got[0].params) if len(got) == 1 else pack(_mean(got))
-    return unpack(now)
-
-
-def _mean(rows: list) -> dict[str, np.ndarray]:
-    """Of partitions that happened to stay apart."""
-    n = sum(r.n for r in rows)
-    return unpack((sum(np.frombuffer(bytes(r.params), np.float32).astype(np.float64) * r.n for r in rows) / n).astype(np.float32).tobytes())
+            now = b"".join(got[i] for i in range(len(got)))
+        shared.unpersist()
+    return unpack(now, vocab.classes)
 
 
 def score_documents(docs: DataFrame, vocab: Vocabulary, p: dict[str, np.ndarray]) -> DataFrame:
@@ -250,7 +283,8 @@ def score_documents(docs: DataFrame, vocab: Vocabulary, p: dict[str, np.ndarray]
     shared = docs.sparkSession.sparkContext.broadcast((pack(p), vocab))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p, vocab = unpack(shared.value[0]), shared.value[1]
+        vocab = shared.value[1]
+        p = unpack(shared.value[0], vocab.classes)
         for docs_, data, offsets in documents(batches):
             h, bounds = tokens(data, offsets)
             n = np.diff(bounds)

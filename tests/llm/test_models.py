@@ -193,6 +193,24 @@ def test_scores_follow_training(spark, corpus, edge_docs, empty_docs):
     assert masked_lm.pseudo_likelihood(empty_docs).count() == 0
 
 
+def test_vocabulary_follows_the_corpus(spark):
+    least = masked_lm.VOCABULARY - masked_lm.BUCKETS
+    sizes = []
+    for n in (1000, 9000):
+        often = " ".join(f"w{i}" for i in range(n))
+        docs = [(j, often) for j in range(masked_lm.MIN_COUNT)] + [(99, " ".join(f"once{i}" for i in range(4000)))]
+        vocab = masked_lm.vocabulary(frame(spark, docs))
+        h = masked_lm.tokens(np.frombuffer(often.encode(), np.uint8), np.array([0, len(often)]))[0]
+        assert len(set(vocab.ids(h).tolist())) == n and vocab.ids(h).max() < vocab.n
+        sizes.append((vocab.n, vocab.classes))
+    assert sizes == [(least, masked_lm.CLASSES), (9000, 97)]
+    few = frame(spark, [(j, often) for j in range(4)])
+    trained = masked_lm.train(few, vocab, fan_in=2)
+    assert trained["W"].shape[0] == 97 * 97
+    total = lambda p: masked_lm.score_documents(few, vocab, p).agg({"pll": "sum"}).first()[0]
+    assert total(trained) > total(masked_lm.initial(97))
+
+
 ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+))""")
 
 
