@@ -5,7 +5,8 @@ levels its leading tokens, where a token with a digit is a variable field. In a
 token is constant at its position if lines of at least ``min_docs`` documents (counted for each
 distinct line) have it there, and a variable field otherwise; what is left of a line is its template. A template with at least
 ``min_constant`` of its tokens constant that ``min_docs`` documents have is recurring. Its
-lines stay in the first of them (smallest doc_id) and are dropped from the others.
+lines stay in the first of them (smallest doc_id) and are dropped from the others. A line without
+variable fields, or of ``LONG`` tokens, also recurs if just two documents have all its tokens.
 
 Counting is order-free, so the tree needs no sequential pass: each level is an aggregation,
 with partial sums before each shuffle. DataFrame functions only.
@@ -25,6 +26,8 @@ from .scratch import materialize
 FIELD = "<*>"
 #: Characters of leaves up to which they are broadcast.
 BROADCAST_CHARS = 8_000_000
+#: Tokens from which a line with variable fields is compared as it stands, too.
+LONG = 50
 
 
 def masked(token: Column) -> Column:
@@ -61,9 +64,22 @@ def recurring_lines(docs: DataFrame, min_docs: int = 10, depth: int = 3, min_con
     return rows.select("key", "doc_id", "line_no").join(chosen, "key").drop("key")
 
 
+def repeated_lines(docs: DataFrame) -> DataFrame:
+    """Lines without variable fields, or long ones, that several documents have: doc_id, line_no, first_doc."""
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    lines = lines.withColumn("line", F.trim(F.regexp_replace("line", r"[\t\x0b\x0c\r ]+", " "))).filter("line <> ''")
+    blanks = F.char_length("line") - F.char_length(F.translate("line", " ", ""))
+    lines = lines.filter(~F.col("line").rlike("[0-9]") | (blanks >= LONG - 1))
+    rows = materialize(lines.select("doc_id", "line_no", F.unhex(F.md5(F.col("line").cast("binary"))).alias("key")), "whole-lines")
+    by = rows.groupBy("key").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.max(F.col("doc_id").isNull()).alias("unnamed"))
+    several = by.filter(F.col("first_doc").isNotNull() & ((F.col("first_doc") < F.col("last_doc")) | F.col("unnamed"))).select("key", "first_doc")
+    return rows.join(several, "key").drop("key")
+
+
 def drop_lines(docs: DataFrame, min_docs: int = 10, depth: int = 3, min_constant: float = 0.6) -> DataFrame:
     """``docs`` with text less its recurring lines, and n_lines, n_dropped, emptied."""
-    found = recurring_lines(docs, min_docs, depth, min_constant).filter(~F.col("doc_id").eqNullSafe(F.col("first_doc")))
+    found = recurring_lines(docs, min_docs, depth, min_constant).select("doc_id", "line_no", "first_doc")
+    found = found.unionByName(repeated_lines(docs).select("doc_id", "line_no", "first_doc")).filter(~F.col("doc_id").eqNullSafe(F.col("first_doc")))
     drop = found.groupBy(F.col("doc_id").alias("__d")).agg(F.collect_set("line_no").alias("__drop"))
     joined = docs.join(drop, F.col("doc_id").eqNullSafe(F.col("__d")), "left")
     lines = F.split("text", "\n")

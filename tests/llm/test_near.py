@@ -111,6 +111,14 @@ def test_lines_of_recurring_templates_go(spark, edge_docs, empty_docs):
     assert line_templates.drop_lines(empty_docs).count() == 0
 
 
+def test_lines_that_two_documents_have_go(spark):
+    long = " ".join(f"t{i}" for i in range(50))
+    short = " ".join(f"t{i}" for i in range(49))
+    docs = [(1, f"same words here\nown a\n{long}"), (2, f"own b\n same  words here\n{short}"), (3, f"{long}\n{short}\nown c"), (None, "own c\nown d")]
+    out = {r.doc_id: r.text for r in line_templates.drop_lines(frame(spark, docs)).collect()}
+    assert out == {1: docs[0][1], 2: f"own b\n{short}", 3: f"{short}\nown c", None: "own d"}
+
+
 def by_jaccard(docs, size, percent):
     sets = []
     for i, t in docs:
