@@ -262,6 +262,23 @@ def test_network_adds_keys_and_leaves_names(spark):
         assert set(filter(None, base_spans(t or "")[0].split(","))) <= set(out[i].spans.split(","))
 
 
+def test_every_run_is_scored_and_recall_is_kept():
+    r = random.Random(9)
+    bare, short = key(r, "abcdefghijklmnop", 30), key(r, "abcdef123", 8)
+    joined = "AKIA1234567890AB12/" + key(r, "ghijkXYZ123", 24)
+    text = f"{bare} {short} {joined} password: 'abcdefgh12'".encode()
+    _, candidates = secrets._scan(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+    said = {(text[s:e].decode(), label) for _, s, e, label in candidates}
+    assert said == {(bare, secrets.OTHER), (short, secrets.OTHER), (joined, secrets.FINDING), (joined[20 - 2 :], secrets.REST), ("abcdefgh12", secrets.FINDING)}
+    net = secrets.CharCNN()
+    net.p["c"][:] = -50
+    windows = [(bytes(f"{i:04d}" * 5, "ascii"), i % 3, 20 - i % 2) for i in range(200)]
+    labels = np.array([i % 2 for i in range(200)], np.float32)
+    assert np.allclose(net.scores(windows), net._forward(windows)[0], atol=1e-3)
+    net.calibrate(windows, labels, 0.98)
+    assert net.threshold < 0 and (net.scores(windows)[labels > 0] >= net.threshold).mean() >= 0.98 and 0 < net.precision <= 1
+
+
 def test_network_gradients():
     r = np.random.default_rng(2)
     net = secrets.CharCNN()
