@@ -1,23 +1,31 @@
 """N-gram Jaccard join by grouped prefixes.
 
-A document's set holds its distinct word shingles. Shingles have one order for the whole
-corpus, rare ones first (by document counts in hash buckets over all documents). Two sets of
-similarity t share a shingle among the first n - ceil(t n) + 1 of either.
-
-* Documents of equal sets are one node; nodes of equal prefix and size are one group.
-* Groups that share a prefix shingle, fit in size and have it in the index part of the smaller one (of
-  which the first 14 hundredths suffice at 75) are candidates (group filter).
+A document's set holds its distinct word shingles; documents of equal sets are one node. Shingles
+have one order for the whole corpus, by the number of nodes that hold them, so those of a single
+node come first. Two sets of similarity t share a shingle among the first n - ceil(t n) + 1 of
+either.
+
+* Shingles are dealt by hash once, with their nodes. Those of a single node end there; the others go
+  back to their nodes with their counts. A node whose shared shingles are less than t n links with
+  nothing; the others keep their shared shingles, which is all that a comparison needs.
+* Nodes of equal prefix and size are one group. Groups that share a prefix shingle are candidates
+  if they fit in size, if the smaller one has it in its index part (of which the first 14 hundredths
+  suffice at 75) and if enough shingles follow it in both (group filter).
 * Candidates expand to nodes and are verified on their whole sets, in rounds: first each
-  node with the group that most of its lists point to, then with one node of a foreign
+  node with the group that most of its lists point to, then with one node of the largest
   component in each list, and in the end every pair of a list that still is in two
   components. So clusters cost their size, not its square, and no link that joins two
   components is missed.
 
+Shingles that a sample of documents shows to be very frequent (``HOT``) skip the deal by hash: their
+count is taken from the sample and broadcast, at most ``1 / HOT`` of a partition's worth of them. A wrong count
+only changes the order. Lists of more than ``BLOCK`` groups are split.
+
 Links between copies aren't expanded: the result is a class per document.
 
 Defined results: texts without words have an empty set and no links; fewer words than a
 shingle has are one shingle; a null ``doc_id`` is the last; rows that share a ``doc_id`` are
-compared each for itself; other columns are ignored.
+compared each for itself; other columns are ignored, whatever their names, unless asked for.
 """
 
 from __future__ import annotations
@@ -33,17 +41,20 @@ from pyspark.sql import functions as F
 from ._text import BASE, LOWER, U, documents, mix, prefix_hash, range_hash, word_hashes, words
 from ._windows import NO_ID, _planes, _unplane
 from .components import components
-from .scratch import materialize, partitions
+from .scratch import drop, materialize, partitions
 
-#: Buckets of the document counts that order shingles, and the pieces they are added in.
-BUCKETS, PIECES = 1 << 22, 64
-#: Members of one node that are verified in one task at a time.
-TOGETHER = 256
+#: Members of one node that are verified in one task at a time, and members of a list that are paired in one.
+TOGETHER, BLOCK = 256, 20_000
+#: Shingles that a task gathers before it sends them on.
 GATHERED = 1_000_000
+#: A shingle is hot if its nodes are this share of a partition; one in ``SAMPLED`` nodes tells.
+HOT, SAMPLED = 0.05, 16
 #: Bits of a shingle's hash; the others tell the documents of a buffer apart.
 BITS = 56
 MOST = 255
 MASK = U((1 << BITS) - 1)
+#: Bytes of sets in a batch of rows.
+BATCH = 8 << 20
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -68,10 +79,16 @@ def _sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return total[bounds[1:]] - total[bounds[:-1]]
 
 
-def node_keys(h: np.ndarray, bounds: np.ndarray) -> pa.Array:
-    """128 bits of each whole set."""
-    two = np.stack([mix(_sums(mix(h ^ U(c)), bounds) + U(c) * (np.diff(bounds).astype(U) + U(1))) for c in (0x5851F42D4C957F2D, 0x14057B7EF767814F)], 1)
-    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(bounds) - 1, [None, pa.py_buffer(np.ascontiguousarray(two).tobytes())]).cast(pa.binary())
+def node_hashes(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """64 bits of each whole set; with its size, the node."""
+    return mix(_sums(mix(h ^ U(0x5851F42D4C957F2D)), bounds))
+
+
+def node_keys(a: np.ndarray, n: np.ndarray) -> pa.Array:
+    """Hash and size as 12 bytes."""
+    both = np.empty(len(a), np.dtype([("a", ">u8"), ("n", ">u4")]))
+    both["a"], both["n"] = a, n
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(12), len(a), [None, pa.py_buffer(both.tobytes())]).cast(pa.binary())
 
 
 def prefix_size(n: np.ndarray, percent: int) -> np.ndarray:
@@ -83,214 +100,349 @@ def index_size(n: np.ndarray, percent: int) -> np.ndarray:
     return n - -(-2 * percent * n // (100 + percent)) + 1
 
 
-def _frequencies(size: int):
+def _sets(size: int, names: list[str], schema: pa.Schema):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, held, n = np.zeros(BUCKETS, np.uint32), [], 0
-        for _, data, offsets in documents(batches, most=MOST):
-            held.append((shingles(data, offsets, size)[0] % U(BUCKETS)).astype(np.int32))
-            n += len(held[-1])
-            if n > GATHERED:
-                counts += np.bincount(np.concatenate(held), minlength=BUCKETS).astype(np.uint32)
-                held, n = [], 0
-        if held:
-            counts += np.bincount(np.concatenate(held), minlength=BUCKETS).astype(np.uint32)
-        if counts.any():
-            z = zstandard.ZstdCompressor(level=1)
-            parts = counts.reshape(PIECES, -1)
-            yield pa.RecordBatch.from_arrays([pa.array(range(PIECES), pa.int32()), pa.array([z.compress(_planes(p, 4)) for p in parts], pa.binary())], ["piece", "counts"])
+        for batch in batches:
+            at = 0
+            for ids, data, offsets in documents([batch], most=MOST):
+                part = batch.slice(at, len(ids))
+                at += len(ids)
+                h, bounds = shingles(data, offsets, size)
+                n = np.diff(bounds)
+                yield pa.RecordBatch.from_arrays([pa.array([NO_ID if x is None else x for x in ids], pa.int64()), pa.array(n), node_keys(node_hashes(h, bounds), n), *(part.column(c) for c in names)], ["doc_id", "n", "node", *names])
 
     return run
 
 
-def _added(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for piece, b in zip(batch.column("piece").to_pylist(), batch.column("counts"), strict=True):
-            x = _unplane(zstandard.ZstdDecompressor().decompress(b.as_py()), 0, BUCKETS // PIECES, 4)
-            total[piece] = total[piece] + x if piece in total else x
-    if total:
-        yield pa.RecordBatch.from_arrays([pa.array(total, pa.int32()), pa.array([np.minimum(x, 0xFFFFFFFF).astype(np.uint32).tobytes() for x in total.values()], pa.binary())], ["piece", "counts"])
-
-
-def frequencies(docs: DataFrame, size: int) -> np.ndarray:
-    """Document counts of all shingles, by hash bucket: a table of fixed size."""
-    rows = docs.mapInArrow(_frequencies(size), "piece int, counts binary")
-    out = np.zeros((PIECES, BUCKETS // PIECES), np.uint32)
-    for r in rows.repartition(min(PIECES, partitions(docs.sparkSession)), "piece").mapInArrow(_added, "piece int, counts binary").collect():
-        out[r.piece] = np.frombuffer(bytes(r.counts), np.uint32)
-    return out.ravel()
-
-
-def _prefixes(h: np.ndarray, bounds: np.ndarray, counts: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Prefix shingles of all sets, whose they are, whether they are in the index part, and each group's key."""
-    n = np.diff(bounds)
-    doc = np.repeat(np.arange(len(n)), n)
-    # the count in 16 bits (as a float that was cut), then as much of the hash as fits
-    code = counts[h % U(BUCKETS)].astype(np.float32).view(np.uint32) >> np.uint32(16)
-    order = np.argsort((doc.astype(U) << U(56)) | (code.astype(U) << U(40)) | (h >> U(16)), kind="stable")
-    place = np.arange(len(h)) - bounds[doc]
-    keep = place < prefix_size(n, percent)[doc]
-    early = (place < index_size(n, percent)[doc])[keep]
-    p, doc = h[order][keep], doc[keep]
-    cut = np.searchsorted(doc, np.arange(len(n) + 1))
-    return p, doc, early, mix(_sums(mix(p), cut) + n.astype(U) * U(0x9E3779B97F4A7C15)) >> U(1)
-
-
-def _sets(size: int, percent: int, counts):
+def _frequent(size: int):
+    """Shingles that several sampled documents of a task hold, and how many do."""
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, data, offsets in documents(batches, most=MOST):
-            h, bounds = shingles(data, offsets, size)
-            gid = _prefixes(h, bounds, counts.value, percent)[3]
-            doc = pa.array([NO_ID if x is None else x for x in ids], pa.int64())
-            yield pa.RecordBatch.from_arrays([doc, pa.array(np.diff(bounds)), pa.array(gid.view(np.int64)), node_keys(h, bounds)], ["doc_id", "n", "gid", "node"])
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def fold(least: int) -> tuple[np.ndarray, np.ndarray]:
+            h, at = np.unique(np.concatenate([x for x, _ in held]), return_inverse=True)
+            n = np.bincount(at, np.concatenate([c for _, c in held])).astype(np.int64)
+            return h[n >= least], n[n >= least]
+
+        for _, data, offsets in documents(batches, most=MOST):
+            h = shingles(data, offsets, size)[0]
+            held.append((h, np.ones(len(h), np.int64)))
+            if sum(len(x) for x, _ in held) > GATHERED:
+                held = [fold(2)]
+        if held:
+            h, n = fold(3)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["h", "n"])
 
     return run
 
 
-def _entries(size: int, percent: int, counts, parts: int):
-    """(prefix shingle, group, twice the size plus whether it is in the index part), dealt by shingle; a group leaves a task once at a time."""
+def hot_shingles(docs: DataFrame, size: int, nodes: int, shingled: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, sorted, and estimated counts of shingles that ``HOT`` of a partition's shingles or more would be."""
+    least = max(64, HOT * shingled / partitions(docs.sparkSession))
+    if nodes < least:
+        return np.zeros(0, U), np.zeros(0, np.int64)
+    sample = docs.filter(F.pmod(F.xxhash64("text"), F.lit(SAMPLED)) == 0).select("doc_id", "text")
+    got = sample.mapInArrow(_frequent(size), "h long, n long").groupBy("h").agg((F.sum("n") * SAMPLED).alias("n")).filter(F.col("n") >= least).orderBy("h").toArrow()
+    return got.column("h").to_numpy().astype(np.int64).view(U), got.column("n").to_numpy().astype(np.int64)
+
+
+DEALT = "part int, blob binary"
+
+
+def _code(df: np.ndarray) -> np.ndarray:
+    """A count in 16 bits: a float that was cut."""
+    return (df.astype(np.float32).view(np.uint32) >> np.uint32(16)).astype(np.uint16)
+
+
+def _send(part: np.ndarray, a: np.ndarray, n: np.ndarray, h: np.ndarray, code: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+    """Rows (node, shingle) by part, rows of a node together; each node once in a blob."""
+    part = part.astype(np.uint16 if int(part.max(initial=0)) < 1 << 16 else np.uint32)  # 16 bits sort by radix
+    order = np.argsort(part, kind="stable")
+    part, a, n, h = part[order], a[order], n[order], h[order]
+    code = code[order] if code is not None else None
+    cut = np.flatnonzero(np.diff(part.astype(np.int64), prepend=-1))
+    z = zstandard.ZstdCompressor(level=1)
+    ids, blobs = [], []
+    for x, y in zip(cut.tolist(), [*cut[1:].tolist(), len(part)], strict=True):
+        new = np.ones(y - x, bool)
+        new[1:] = (a[x + 1 : y] != a[x : y - 1]) | (n[x + 1 : y] != n[x : y - 1])
+        first = np.flatnonzero(new)
+        raw = _planes(a[x:y][first]) + _planes(n[x:y][first], 4) + _planes(np.diff(np.append(first, y - x)), 4) + _planes(h[x:y], 7)
+        raw += code[x:y].tobytes() if code is not None else b""
+        ids.append(int(part[x]))
+        blobs.append(len(first).to_bytes(4, "little") + (y - x).to_bytes(4, "little") + z.compress(raw))
+    if ids:
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(blobs, pa.binary())], ["part", "blob"])
+
+
+def _receive(batches: Iterable[pa.RecordBatch], coded: bool) -> tuple[np.ndarray, ...] | None:
+    held = []
+    for batch in batches:
+        for b in batch.column("blob"):
+            b = b.as_py()
+            k, count, raw = int.from_bytes(b[:4], "little"), int.from_bytes(b[4:8], "little"), zstandard.ZstdDecompressor().decompress(b[8:])
+            times = _unplane(raw, 12 * k, k, 4).view(np.int64)
+            a, n, h = _unplane(raw, 0, k), _unplane(raw, 8 * k, k, 4).astype(np.uint32), _unplane(raw, 16 * k, count, 7)
+            code = np.frombuffer(raw, np.uint16, count, 16 * k + 7 * count) if coded else np.zeros(0, np.uint16)
+            held.append((np.repeat(a, times), np.repeat(n, times), h, code))
+    return tuple(np.concatenate(c) for c in zip(*held, strict=True)) if held else None
+
+
+def _entries(size: int, parts: int, hot):
+    """(node, shingle) dealt by shingle, hot ones by node; a node leaves a task once at a time."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         seen: set[int] = set()
         total = 0
+        often, counts = hot.value
 
         def flush() -> Iterator[pa.RecordBatch]:
-            h, gid, n = (np.concatenate(c) for c in zip(*held, strict=True))
-            part = (h % U(parts)).astype(np.int64)
-            order = np.lexsort((gid, part))
-            h, gid, n, part = h[order], gid[order], n[order], part[order]
-            cut = np.flatnonzero(np.diff(part, prepend=-1))
-            z, blobs = zstandard.ZstdCompressor(level=1), []
-            for a, b in zip(cut, np.append(cut[1:], len(part)), strict=True):
-                step = np.diff(gid[a:b], prepend=U(0))
-                blobs.append((int(b - a)).to_bytes(8, "little") + z.compress(_planes(h[a:b], 7) + _planes(step) + _planes(n[a:b], 5)))
-            yield pa.RecordBatch.from_arrays([pa.array(part[cut].astype(np.int32)), pa.array(blobs, pa.binary())], ["part", "blob"])
+            a, n, h = (np.concatenate(c) for c in zip(*held, strict=True))
+            held.clear()
+            if len(often):
+                at = np.minimum(np.searchsorted(often, h), len(often) - 1)
+                known = often[at] == h
+                if known.any():
+                    yield from _send(U(parts) + a[known] % U(parts), a[known], n[known], h[known], _code(counts[at[known]]))
+                    a, n, h = a[~known], n[~known], h[~known]
+            yield from _send(h % U(parts), a, n, h, None)
 
         for _, data, offsets in documents(batches, most=MOST):
             h, bounds = shingles(data, offsets, size)
-            p, doc, early, gid = _prefixes(h, bounds, counts.value, percent)
-            fresh = np.zeros(len(gid), bool)
-            for i, g in enumerate(gid.tolist()):
-                if g not in seen:
-                    seen.add(g)
+            a, n = node_hashes(h, bounds), np.diff(bounds)
+            fresh = np.zeros(len(a), bool)
+            for i, x in enumerate(a.tolist()):
+                if x not in seen:
+                    seen.add(x)
                     fresh[i] = True
-            keep = fresh[doc]
-            held.append((p[keep], gid[doc[keep]], np.diff(bounds)[doc[keep]] * 2 + early[keep]))
+            keep = np.repeat(fresh, n)
+            held.append((np.repeat(a[fresh], n[fresh]), np.repeat(n[fresh], n[fresh]).astype(np.uint32), h[keep]))
             total += int(keep.sum())
             if len(seen) > 200_000:
                 seen.clear()
             if total > GATHERED:
                 yield from flush()
-                held, total = [], 0
+                total = 0
         if total:
             yield from flush()
 
     return run
 
 
-def _lists(percent: int):
-    """Groups that share a prefix shingle: list (equal ones of a task once), group, size and, of those that fit, the first by size."""
+def _shared(parts: int):
+    """Shingles of several nodes back to these, with their number; hot ones are passed on."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = []
-        for batch in batches:
-            for b in batch.column("blob"):
-                b = b.as_py()
-                count, raw = int.from_bytes(b[:8], "little"), zstandard.ZstdDecompressor().decompress(b[8:])
-                h, gid, n = _unplane(raw, 0, count, 7), np.cumsum(_unplane(raw, 7 * count, count), dtype=U), _unplane(raw, 15 * count, count, 5)
-                held.append((h, gid, n.astype(np.int64)))
-        if not held:
+        def plain() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                own = np.array(batch.column("part").to_numpy()) < parts
+                if not own.all():
+                    done = batch.filter(pa.array(~own))
+                    passed.append(pa.RecordBatch.from_arrays([pa.array((done.column("part").to_numpy() - parts).astype(np.int32)), done.column("blob")], ["part", "blob"]))
+                yield batch.filter(pa.array(own))
+
+        passed: list[pa.RecordBatch] = []
+        got = _receive(plain(), False)
+        yield from passed
+        if got is None:
+            return
+        a, n, h, _ = got
+        del got
+        order = np.argsort(h)
+        by = h[order]
+        same = by[1:] == by[:-1]
+        keep = np.append(same, False)
+        keep[1:] |= same
+        order = order[keep]
+        a, n, h = a[order], n[order], h[order]
+        # copies of a node come from several tasks
+        order = np.lexsort((n, a, h))
+        a, n, h = a[order], n[order], h[order]
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (a[1:] != a[:-1]) | (n[1:] != n[:-1])
+        a, n, h = a[new], n[new], h[new]
+        group = np.cumsum(np.append(True, h[1:] != h[:-1])) - 1 if len(h) else np.zeros(0, np.int64)
+        df = np.bincount(group)[group] if len(h) else group
+        keep = df > 1
+        a, n, h, df = a[keep], n[keep], h[keep], df[keep]
+        order = np.lexsort((n, a))
+        a, n, h, df = a[order], n[order], h[order], df[order]
+        yield from _send(a % U(parts), a, n, h, _code(df))
+
+    return run
+
+
+LINKABLE = "node binary, n long, gid long, skipped long, shared binary, prefix binary"
+
+
+def _linkable(percent: int):
+    """Nodes that hold enough shared shingles: these in order of hash, and those of the prefix in corpus order after ``skipped`` others."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = _receive(batches, True)
+        if got is None:
             return
-        h, gid, n = (np.concatenate(c) for c in zip(*held, strict=True))
-        held.clear()
-        h, at = np.unique(h, return_inverse=True)
-        shared = np.bincount(at)[at] > 1
-        at, gid, early, n = at[shared], gid[shared], n[shared] & 1 > 0, n[shared] >> 1
-        order = np.lexsort((gid, n, at))
-        at, gid, early, n = at[order], gid[order], early[order], n[order]
-        # a pair counts if its smaller member is in the index part: what is below all those goes
-        least = np.full(at.max(initial=-1) + 1, 1 << 40)
-        np.minimum.at(least, at[early], n[early])
-        new = n >= least[at]
-        new[1:] &= (at[1:] != at[:-1]) | (gid[1:] != gid[:-1])
-        at, gid, early, n = at[new], gid[new], early[new], n[new]
-        edge = np.flatnonzero(np.diff(at, prepend=-1))
-        bounds = np.append(edge, len(at))
-        key = mix(_sums(mix(gid * U(2) + early), bounds) + np.diff(bounds).astype(U))
-        chosen = np.sort(np.unique(key, return_index=True)[1])
-        chosen = chosen[np.diff(bounds)[chosen] > 1]
-        rows = np.concatenate([np.arange(bounds[i], bounds[i + 1]) for i in chosen]) if len(chosen) else np.zeros(0, np.int64)
-        which = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-        # (list, size) as one number: the first index member that isn't too small; none: the row itself
-        index = np.flatnonzero(early)
-        big = which * (1 << 40)
-        first = np.searchsorted((big + n)[index], big + -(-n * percent // 100))
-        first = index[np.minimum(first, len(index) - 1)] if len(index) else np.arange(len(n))
-        first = np.where(which[first] == which, first, np.arange(len(n))) if len(n) else first
-        for i in range(0, len(rows), 100_000):
-            r = rows[i : i + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array((key[which[r]] >> U(1)).view(np.int64)), pa.array(gid[r].view(np.int64)), pa.array(n[r]), pa.array(early[r]), pa.array(gid[first[r]].view(np.int64))], ["list", "gid", "n", "early", "leader"])
+        a, n, h, code = got
+        del got
+        order = np.lexsort((h, n, a))
+        a, n, h, code = a[order], n[order], h[order], code[order]
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (a[1:] != a[:-1]) | (n[1:] != n[:-1])
+        a, n, h, code = a[new], n[new], h[new], code[new]
+        edge = np.ones(len(a), bool)
+        edge[1:] = (a[1:] != a[:-1]) | (n[1:] != n[:-1])
+        first = np.flatnonzero(edge)
+        cut = np.append(first, len(a))
+        rows, held = [], 0
+        size = n[first].astype(np.int64)
+        m = np.diff(cut)
+        for i in np.flatnonzero(m >= -(-size * percent // 100)).tolist():
+            x, y, k = int(cut[i]), int(cut[i + 1]), int(size[i])
+            skipped = k - int(m[i])
+            head = h[x:y][np.lexsort((h[x:y], code[x:y]))[: max(0, int(prefix_size(size[i], percent)) - skipped)]]
+            # with a shingle of its own among the first, a node is a group of its own
+            mine = a[x : x + 1] if skipped else _sums(mix(head), np.array([0, len(head)]))
+            gid = mix(mine + U(k) * U(0x9E3779B97F4A7C15)).view(np.int64)[0]
+            rows.append((int(a[x]), k, int(gid), skipped, h[x:y].tobytes(), head.tobytes()))
+            held += len(rows[-1][4]) + len(rows[-1][5])
+            if held > BATCH:
+                yield _rows(rows)
+                rows, held = [], 0
+        if rows:
+            yield _rows(rows)
+
+    return run
+
+
+def _rows(rows: list) -> pa.RecordBatch:
+    a, n, gid, skipped, shared, prefix = zip(*rows, strict=True)
+    keys = node_keys(np.array(a, U), np.array(n))
+    return pa.RecordBatch.from_arrays([keys, pa.array(n, pa.int64()), pa.array(gid, pa.int64()), pa.array(skipped, pa.int64()), pa.array(shared, pa.binary()), pa.array(prefix, pa.binary())], ["node", "n", "gid", "skipped", "shared", "prefix"])
+
+
+ENTRIES = "list long, gid long, n long, place long"
+
+
+def _postings(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The prefix shingles of groups, each with its place in the group's sets."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, 1000):
+            some = batch.slice(i, 1000)
+            heads = [np.frombuffer(x, np.int64) for x in some.column("prefix").to_pylist()]
+            times = np.array([len(x) for x in heads])
+            if not times.sum():
+                continue
+            gid, n, skipped = (np.repeat(some.column(c).to_numpy(), times) for c in ("gid", "n", "skipped"))
+            place = skipped + np.arange(len(n)) - np.repeat(np.cumsum(times) - times, times)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(heads)), pa.array(gid), pa.array(n), pa.array(place)], ["list", "gid", "n", "place"])
+
+
+def _fit(n: np.ndarray, place: np.ndarray, i: int, j: np.ndarray, percent: int) -> np.ndarray:
+    """Whether the groups of row i and of rows j may be similar if this is the first shingle they share."""
+    small, large = np.minimum(n[j], n[i]), np.maximum(n[j], n[i])
+    near = 100 * small >= percent * large
+    need = -(-percent * (small + large) // (100 + percent))
+    near &= np.minimum(n[j] - place[j], n[i] - place[i]) >= need
+    early = place < index_size(n, percent)
+    return near & (((n[i] <= n[j]) & early[i]) | ((n[j] <= n[i]) & early[j]))
+
+
+def _lists(batches: Iterable[pa.RecordBatch], columns: tuple[str, ...]) -> Iterator[list[np.ndarray]]:
+    """The rows of each list and block (sorted by these)."""
+    kept: list[list] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = np.stack([batch.column("list").to_numpy(), batch.column("block").to_numpy()], 1)
+        values = [batch.column(c).to_numpy(zero_copy_only=False) for c in columns]
+        cut = np.flatnonzero(np.append(True, (key[1:] != key[:-1]).any(1)))
+        for x, y in zip(cut.tolist(), [*cut[1:].tolist(), len(key)], strict=True):
+            mine = (tuple(key[x]), [v[x:y] for v in values])
+            if kept and kept[-1][0] != mine[0]:
+                yield [np.concatenate(c) for c in zip(*(k[1] for k in kept), strict=True)]
+                kept = []
+            kept.append(mine)
+    if kept:
+        yield [np.concatenate(c) for c in zip(*(k[1] for k in kept), strict=True)]
+
+
+def _leaders(percent: int):
+    """Each group with the first one of its list that it may be similar to, sizes ascending."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        total = 0
+        for gid, n, place in _lists(batches, ("gid", "n", "place")):
+            if len(gid) < 2:
+                continue
+            order = np.lexsort((gid, n))
+            gid, n, place = gid[order], n[order], place[order]
+            # the first that isn't too small, and has the shingle early
+            index = np.flatnonzero(place < index_size(n, percent))
+            if not len(index):
+                continue
+            at = np.searchsorted(n[index], -(-n * percent // 100))
+            to = index[np.minimum(at, len(index) - 1)]
+            good = (to < np.arange(len(n))) & (np.minimum(n - place, (n - place)[to]) >= -(-percent * (n + n[to]) // (100 + percent)))
+            found.append((gid[good], gid[to[good]]))
+            total += int(good.sum())
+            if total > 100_000:
+                yield _voted(found)
+                found, total = [], 0
+        if total:
+            yield _voted(found)
 
     return run
 
 
-def _verify(size: int, percent: int):
-    """Pairs whose sets are similar; rows come sorted by node, the node's own text first."""
+def _voted(found: list) -> pa.RecordBatch:
+    pairs, votes = np.unique(np.stack([np.concatenate(c) for c in zip(*found, strict=True)], 1), axis=0, return_counts=True)
+    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(votes)], ["gid", "leader", "votes"])
+
+
+def _verify(percent: int):
+    """Pairs whose sets are similar; rows come sorted by node, the node's own set first."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, own = None, np.zeros(0, U)
+        now, own, size = None, np.zeros(0, U), 0
         for batch in batches:
-            batch = batch.rename_columns(["doc_id" if c == "member" else c for c in batch.schema.names])
-            nodes, at = batch.column("node").to_pylist(), 0
-            found: list[tuple] = []
-            for members, data, offsets in documents([batch], most=MOST):
-                h, bounds = shingles(data, offsets, size)
-                for i, member in enumerate(members):
-                    mine = h[bounds[i] : bounds[i + 1]]
-                    node = nodes[at + i]
-                    if member is None:
-                        now, own = node, mine
-                        continue
-                    if node != now or not len(own) or not len(mine):
-                        continue
-                    both = int((own[np.minimum(np.searchsorted(own, mine), len(own) - 1)] == mine).sum())
-                    if 100 * both >= percent * (len(own) + len(mine) - both):
-                        found.append((member, node))
-                at += len(members)
+            found = []
+            for node, member, n, shared in zip(*(batch.column(c).to_pylist() for c in ("node", "member", "n", "shared")), strict=True):
+                mine = np.frombuffer(shared, U)
+                if member is None:
+                    now, own, size = node, mine, n
+                    continue
+                if node != now or not len(own) or not len(mine):
+                    continue
+                both = int((own[np.minimum(np.searchsorted(own, mine), len(own) - 1)] == mine).sum())
+                if 100 * both >= percent * (size + n - both):
+                    found.append((member, node))
             if found:
-                a, b = zip(*found, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+                yield _batch(found)
 
     return run
 
 
-def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of ``pairs`` (a, b: nodes) whose whole sets are similar. A node of many pairs is split over tasks."""
     parts = partitions(pairs.sparkSession)
-    pairs = materialize(pairs, "pairs")
     salts = pairs.groupBy("b").agg(F.ceil(F.count("*") / TOGETHER).cast("int").alias("salts"))
-    mine = texts.join(salts, F.col("node") == F.col("b")).select("node", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("binary").alias("member"), "text")
-    other = pairs.join(salts, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("salts")).cast("int").alias("salt")).join(texts, F.col("a") == F.col("node")).select(F.col("b").alias("node"), "salt", F.col("a").alias("member"), "text")
+    mine = sets.join(salts, F.col("node") == F.col("b")).select("node", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("binary").alias("member"), "n", "shared")
+    other = pairs.join(salts, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("salts")).cast("int").alias("salt")).join(sets, F.col("a") == F.col("node")).select(F.col("b").alias("node"), "salt", F.col("a").alias("member"), "n", "shared")
     rows = mine.unionAll(other).repartition(parts, "node", "salt").sortWithinPartitions("node", "salt", F.col("member").asc_nulls_first())
-    return rows.mapInArrow(_verify(size, percent), "a binary, b binary")
-
-
-def _fit(n: np.ndarray, early: np.ndarray, i: int, j: np.ndarray, percent: int) -> np.ndarray:
-    """Whether member i and members j may be similar: near enough in size, and the smaller one in the index part."""
-    near = 100 * np.minimum(n[j], n[i]) >= percent * np.maximum(n[j], n[i])
-    return near & (((n[i] <= n[j]) & early[i]) | ((n[j] <= n[i]) & early[j]))
+    return rows.mapInArrow(_verify(percent), "a binary, b binary")
 
 
 def _foreign(percent: int):
-    """For each list, each member with one of the largest component that it isn't in (the least by hash)."""
+    """Each member with one of the list's largest component that it isn't in (the least by hash)."""
 
-    def pairs(n: np.ndarray, early: np.ndarray, label: np.ndarray, order: np.ndarray) -> Iterator[tuple]:
-        top = np.bincount(label).argmax()
-        inside, out = np.flatnonzero(label == top), np.flatnonzero(label != top)
+    def pairs(n: np.ndarray, place: np.ndarray, label: np.ndarray, top: np.ndarray, order: np.ndarray) -> Iterator[tuple]:
+        inside = np.flatnonzero(top)
         inside = inside[np.argsort(order[inside], kind="stable")]
-        for i in out.tolist():
-            fit = _fit(n, early, i, inside, percent)
+        for i in np.flatnonzero(~top).tolist():
+            fit = _fit(n, place, i, inside, percent)
             if fit.any():
                 yield i, inside[fit.argmax()]
 
@@ -298,113 +450,118 @@ def _foreign(percent: int):
 
 
 def _all_foreign(percent: int):
-    """For each list, all pairs in different components that may be similar."""
-
-    def pairs(n: np.ndarray, early: np.ndarray, label: np.ndarray, order: np.ndarray) -> Iterator[tuple]:
-        for i in range(len(n) - 1):
-            rest = np.arange(i + 1, len(n))
-            for j in rest[(label[rest] != label[i]) & _fit(n, early, i, rest, percent)].tolist():
+    """All pairs in different components that may be similar; members of the largest one need no pairs among themselves."""
+
+    def pairs(n: np.ndarray, place: np.ndarray, label: np.ndarray, top: np.ndarray, order: np.ndarray) -> Iterator[tuple]:
+        out = np.flatnonzero(~top)
+        rest = np.concatenate([out, np.flatnonzero(top)])
+        for k, i in enumerate(out.tolist()):
+            after = rest[k + 1 :]
+            for j in after[(label[after] != label[i]) & _fit(n, place, i, after, percent)].tolist():
                 yield i, j
 
     return pairs
 
 
 def _pairs(choose):
-    """Rows of lists (sorted by list) to pairs of nodes."""
+    """Rows of lists (sorted by list and block) to pairs of nodes."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def of(rows: list) -> Iterator[tuple]:
-            nodes = [r[0] for r in rows]
-            codes = {x: i for i, x in enumerate(dict.fromkeys(r[3] for r in rows))}
-            order = np.array([int.from_bytes(x[8:], "little") for x in nodes], U)
-            for i, j in choose(np.array([r[1] for r in rows]), np.array([r[2] for r in rows]), np.array([codes[r[3]] for r in rows]), order):
+        out: set[tuple] = set()
+        for nodes, n, place, label, top in _lists(batches, ("node", "n", "place", "label", "top")):
+            codes = np.unique(label, return_inverse=True)[1]
+            order = np.array([int.from_bytes(x[:8], "big") for x in nodes], U)
+            for i, j in choose(n, place, codes, top.astype(bool), order):
                 a, b = nodes[i], nodes[j]
-                yield (a, b) if a > b else (b, a)
-
-        now, rows, out = None, [], set()
-        for batch in batches:
-            for key, *row in zip(*(batch.column(c).to_pylist() for c in ("list", "node", "n", "early", "label")), strict=True):
-                if key != now:
-                    out.update(of(rows) if rows else ())
-                    now, rows = key, []
-                rows.append(row)
-                if len(out) > 50_000:
-                    yield _batch(out)
-                    out = set()
-        out.update(of(rows) if rows else ())
+                out.add((a, b) if a > b else (b, a))
+            if len(out) > 50_000:
+                yield _batch(out)
+                out = set()
         if out:
             yield _batch(out)
 
     return run
 
 
-def _batch(pairs: set) -> pa.RecordBatch:
+def _batch(pairs: Iterable) -> pa.RecordBatch:
     a, b = zip(*pairs, strict=True)
     return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
 
 
-def _texts(size: int):
-    """The texts of nodes; where rows share a doc_id, those whose set is the node's."""
+def _opened(expanded: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members of lists in several components, in blocks: the largest component is dealt out, others go to each block."""
+    of = labels.withColumnRenamed("node", "m")
+    named = expanded.join(of, F.col("node") == F.col("m"), "left").select("list", "node", "n", "place", F.coalesce("label", "node").alias("label"))
+    counts = named.groupBy("list", "label").agg(F.count("*").alias("k"))
+    tops = counts.groupBy("list").agg(F.max(F.struct("k", "label")).alias("most"), F.count("*").alias("labels")).filter("labels > 1")
+    tops = tops.select("list", F.col("most.label").alias("first"), F.ceil(F.col("most.k") / BLOCK).cast("int").alias("blocks"))
+    rows = named.join(tops, "list").withColumn("top", F.col("label") == F.col("first"))
+    block = F.when(F.col("top"), F.array(F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
+    return rows.select("list", F.explode(block).alias("block"), "node", "n", "place", "label", "top")
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = 0
-            for ids, data, offsets in documents([batch], most=MOST):
-                part = batch.slice(at, len(ids))
-                at += len(ids)
-                mine = node_keys(*shingles(data, offsets, size)).to_pylist()
-                same = pa.array([a == b for a, b in zip(mine, part.column("node").to_pylist(), strict=True)], pa.bool_())
-                yield part.select(["node", "text"]).filter(same)
-
-    return run
 
-
-def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id (smallest doc_id that links reach)."""
+def linked_nodes(docs: DataFrame, sets: DataFrame, size: int, percent: int) -> DataFrame:
+    """``node`` and ``label`` (the smallest node that links reach) of the nodes with links."""
     spark = docs.sparkSession
     parts = partitions(spark)
     docs = docs.select("doc_id", "text")
-    counts = spark.sparkContext.broadcast(frequencies(docs, size))
-    sets = materialize(docs.mapInArrow(_sets(size, percent, counts), "doc_id long, n long, gid long, node binary"), "sets")
-    nodes = materialize(sets.filter("n > 0").groupBy("node", "gid", "n").agg(F.min("doc_id").alias("rep")), "nodes")
-    dealt = docs.mapInArrow(_entries(size, percent, counts, parts), "part int, blob binary")
-    lists = materialize(dealt.repartitionById(parts, F.col("part")).mapInArrow(_lists(percent), "list long, gid long, n long, early boolean, leader long"), "lists")
-    # groups of more than one node are lists as well
-    several = nodes.groupBy("gid").agg(F.count("*").alias("k")).filter("k > 1").select("gid")
-    members = lists.select("list", "gid", "early").unionAll(several.select(F.col("gid").alias("list"), "gid", F.lit(True).alias("early")))
-    there = materialize(nodes.join(members.select("gid").distinct(), "gid", "left_semi"), "there")
-    wanted = there.select(F.col("rep").alias("d"), "node")
-    fetched = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text").join(wanted, F.col("doc_id") == F.col("d")).select("doc_id", "node", "text")
-    texts = materialize(fetched.mapInArrow(_texts(size), "node binary, text string").dropDuplicates(["node"]), "texts")
-
-    first = there.groupBy("gid").agg(F.min(F.struct("rep", "node"))["node"].alias("first"))
-    votes = lists.filter("leader <> gid").groupBy("gid", "leader").agg(F.count("*").alias("votes")).groupBy("gid").agg(F.max_by("leader", F.struct("votes", "leader")).alias("leader"))
-    inner = there.join(first, "gid").filter("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))
-    outer = votes.join(first, "gid").select("leader", F.col("first").alias("a")).join(first.select(F.col("gid").alias("g"), F.col("first").alias("b")), F.col("leader") == F.col("g")).select("a", "b")
+    total = sets.agg(F.count("*").alias("rows"), F.sum("n").alias("n")).first()
+    hot = spark.sparkContext.broadcast(hot_shingles(docs, size, total.rows, total.n or 0))
+    part = F.pmod("part", F.lit(parts)).cast("int")
+    dealt = docs.mapInArrow(_entries(size, parts, hot), DEALT).repartitionById(parts, part)
+    back = dealt.mapInArrow(_shared(parts), DEALT).repartitionById(parts, F.col("part"))
+    nodes = materialize(back.mapInArrow(_linkable(percent), LINKABLE), "linkable")
+    hot.unpersist()
+    whole = nodes.select("node", "n", "shared")
+    groups = nodes.select("gid", "n", "skipped", "prefix").dropDuplicates(["gid"])
+    posted = groups.mapInArrow(_postings, ENTRIES)
+    counts = posted.groupBy("list").agg(F.count("*").alias("k")).filter("k > 1").select("list", F.ceil(F.col("k") / BLOCK).cast("int").alias("blocks"))
+    lists = materialize(posted.join(counts, "list").withColumn("block", F.pmod(F.xxhash64("gid"), F.col("blocks")).cast("int")).drop("blocks"), "lists")
+    ordered = lists.repartition(parts, "list", "block").sortWithinPartitions("list", "block")
+    votes = ordered.mapInArrow(_leaders(percent), "gid long, leader long, votes long").groupBy("gid", "leader").agg(F.sum("votes").alias("votes"))
+    best = votes.groupBy("gid").agg(F.max_by("leader", F.struct("votes", "leader")).alias("leader"))
+    first = nodes.groupBy("gid").agg(F.min("node").alias("first"), F.count("*").alias("k"))
+    inner = nodes.select("gid", "node").join(first.filter("k > 1"), "gid").filter("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))
+    heads = first.select(F.col("gid").alias("g"), F.col("first").alias("b"))
+    outer = best.join(first.select("gid", F.col("first").alias("a")), "gid").join(heads, F.col("leader") == F.col("g")).select("a", "b")
     tried = materialize(inner.unionAll(outer), "tried")
-    links = materialize(verified(tried, texts, size, percent), "links")
+    links = materialize(verified(tried, whole, percent), "links")
 
-    expanded = materialize(members.distinct().join(there.select("gid", "node", "n"), "gid").select("list", "node", "n", "early"), "expanded")
+    # groups of several nodes are lists as well, at place 0
+    several = nodes.select("gid", "node", "n").join(first.filter("k > 1").select("gid"), "gid", "left_semi")
+    expanded = lists.select("list", "gid", "place").join(nodes.select("gid", "node", "n"), "gid").select("list", "node", "n", "place")
+    expanded = materialize(expanded.unionAll(several.select(F.col("gid").alias("list"), "node", "n", F.lit(0).cast("long").alias("place"))), "expanded")
     labels = components(links)
-    for choose in (_foreign(percent), _all_foreign(percent)):
-        of = labels.withColumnRenamed("node", "m")
-        named = expanded.join(of, F.col("node") == F.col("m"), "left").select("list", "node", "n", "early", F.coalesce("label", "node").alias("label"))
-        open_lists = materialize(named.groupBy("list").agg(F.min("label").alias("s"), F.max("label").alias("t")).filter("s <> t").select("list"), "open")
-        if not open_lists.limit(1).count():
-            break
-        todo = named.join(open_lists, "list", "left_semi").repartition(parts, "list").sortWithinPartitions("list")
+    for choose in (_foreign(percent), _foreign(percent), _all_foreign(percent)):
+        todo = _opened(expanded, labels).repartition(parts, "list", "block").sortWithinPartitions("list", "block")
         both = todo.mapInArrow(_pairs(choose), "a binary, b binary").distinct()
         done = tried.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         fresh = materialize(both.join(done, ["a", "b"], "left_anti"), "fresh")
-        more = materialize(verified(fresh, texts, size, percent), "more")
+        more = materialize(verified(fresh, whole, percent), "more")
         if more.limit(1).count():
             links = links.unionAll(more)
             labels = components(links)
         tried = tried.unionAll(fresh)
+    labels = materialize(labels, "linked")
+    drop(nodes, lists, expanded)
+    return labels
+
+
+def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 75, columns: list[str] | None = None) -> DataFrame:
+    """Per row: doc_id, n_shingles, component_id (smallest doc_id that links reach); with ``columns``, also these and ``class``.
+
+    ``class`` is a key of the component, null for an empty set: it also tells apart components without any id.
+    """
+    names = list(columns or [])
+    kinds = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
+    sets = materialize(docs.select(*dict.fromkeys(["doc_id", "text", *names])).mapInArrow(_sets(size, names, None), "doc_id long, n long, node binary" + kinds), "sets")
+    nodes = sets.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"))
+    labels = linked_nodes(docs, sets.select("n"), size, percent).withColumnRenamed("node", "m")
     # the smallest document of each component; copies are in one node
-    classes = nodes.select("node", "rep").join(labels, "node", "left").select("node", "rep", F.coalesce("label", "node").alias("label"))
+    classes = materialize(nodes.join(labels, F.col("node") == F.col("m"), "left").select("node", "rep", F.coalesce("label", "node").alias("label")), "classes")
     least = classes.groupBy("label").agg(F.min("rep").alias("component"))
-    named = classes.join(least, "label").select("node", "component")
+    named = classes.join(least, "label").select("node", "component", "label")
     out = sets.join(named, "node", "left")
     known = lambda c: F.when(c != NO_ID, c)
-    return out.select(known(F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), known(F.coalesce("component", "doc_id")).alias("component_id"))
+    rows = out.select(known(F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), known(F.coalesce("component", "doc_id")).alias("component_id"), *names, *([F.col("label").alias("class")] if columns else []))
+    return rows

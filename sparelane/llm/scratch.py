@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,9 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_root(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; set to a fresh folder only where it is unset (tests, local mode)."""
+    """``spark.checkpoint.dir``; a fresh folder where it is unset, on one machine only (tests, local mode)."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="sparelane-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -26,14 +29,39 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_root(spark)}/sparelane/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _written.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
 
 
-def discard(spark: SparkSession) -> None:
-    """Delete every table of :func:`materialize`; frames that read them are void afterwards."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_root(spark)}/sparelane")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+#: Folders written since the last :func:`taken`.
+_written: list[str] = []
+
+
+def taken() -> list[str]:
+    """The folders written since the last call, for whoever ends their use."""
+    out = list(_written)
+    _written.clear()
+    return out
+
+
+def _delete(spark: SparkSession, paths: list[str]) -> None:
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(conf).delete(path, True)
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables of :func:`materialize` that nothing reads any more."""
+    for t in tables:
+        _delete(t.sparkSession, [t.scratch_path])
+
+
+def discard(spark: SparkSession, paths: list[str] | None = None) -> None:
+    """Delete these folders, or every table of :func:`materialize`; frames that read them are void afterwards."""
+    _delete(spark, [f"{shared_root(spark)}/sparelane"] if paths is None else paths)
 
 
 def partitions(spark: SparkSession) -> int:
