@@ -102,26 +102,26 @@ def _unplane(b: bytes, at: int, count: int, n: int = 8) -> np.ndarray:
 
 
 def _pack(e: dict[str, np.ndarray]) -> bytes:
-    """Byte planes, compressed: key (48 bits), digest (40), document (differences), start, n and flag."""
+    """Byte planes, compressed: key (48 bits), digest (64), document (differences), start, n and flag, row."""
     step = np.diff(e["doc"], prepend=0)
     zigzag = (step.astype(np.int64) << 1) ^ (step.astype(np.int64) >> 63)
-    raw = _planes(e["key"], 6) + _planes(e["digest"], 5) + _planes(zigzag.view(U)) + _planes(e["start"], 5) + _planes(e["n"], 4)
+    raw = _planes(e["key"], 6) + _planes(e["digest"]) + _planes(zigzag.view(U)) + _planes(e["start"], 5) + _planes(e["n"], 4) + _planes(e["row"].view(U))
     return len(e["key"]).to_bytes(8, "little") + zstandard.ZstdCompressor(level=1).compress(raw)
 
 
 def _unpack(b: bytes) -> dict[str, np.ndarray]:
     n, raw = int.from_bytes(b[:8], "little"), zstandard.ZstdDecompressor().decompress(b[8:])
     at, out = 0, []
-    for size in (6, 5, 8, 5, 4):
+    for size in (6, 8, 8, 5, 4, 8):
         out.append(_unplane(raw, at, n, size))
         at += n * size
     z = out[2]
     step = ((z >> U(1)) ^ (U(0) - (z & U(1)))).view(np.int64)
-    return {"key": out[0], "digest": out[1], "doc": np.cumsum(step), "start": out[3].view(np.int64), "n": out[4].view(np.int64)}
+    return {"key": out[0], "digest": out[1], "doc": np.cumsum(step), "start": out[3].view(np.int64), "n": out[4].view(np.int64), "row": out[5].view(np.int64)}
 
 
 def _order(e: dict[str, np.ndarray]) -> np.ndarray:
-    return np.lexsort((e["start"], e["doc"], e["digest"], e["key"]))
+    return np.lexsort((e["start"], e["row"], e["doc"], e["digest"], e["key"]))
 
 
 def _split(e: dict[str, np.ndarray], scheme: Scheme) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
@@ -132,7 +132,9 @@ def _split(e: dict[str, np.ndarray], scheme: Scheme) -> tuple[dict[str, np.ndarr
     first = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
     later = e["doc"] > e["doc"][first]
     if scheme.same_document:
-        later |= e["start"] > e["start"][first]
+        here = new.copy()
+        here[1:] |= (e["doc"][1:] != e["doc"][:-1]) | (e["row"][1:] != e["row"][:-1])
+        later |= e["start"] > e["start"][np.maximum.accumulate(np.where(here, np.arange(len(here)), 0))]
     return e, ~later, new
 
 
@@ -145,7 +147,7 @@ def _scan(scheme: Scheme, parts: int):
         def flush() -> Iterator[pa.RecordBatch]:
             e = {k: np.concatenate([h[k] for h in held]) for k in held[0]}
             held.clear()
-            e["key"], e["digest"] = e["key"] >> U(16), e["digest"] >> U(24)
+            e["key"] >>= U(16)
             e, own, new = _split(e, scheme)
             more = np.bincount(np.cumsum(new) - 1)[np.cumsum(new) - 1] > 1
             e["n"] = (e["n"] << 1) | more
@@ -160,24 +162,28 @@ def _scan(scheme: Scheme, parts: int):
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(blobs, pa.binary())], ["part", "blob"])
 
         gathered = 0
-        for ids, data, offsets in documents(batches):
-            values, bounds, _, _ = scheme.symbols(data, offsets)
-            e = segments(values, bounds, scheme.k, scheme.m)
-            if len(e["key"]):
-                del e["place"]
-                e["doc"] = np.array([NO_ID if x is None else x for x in ids], np.int64)[e["doc"]]
-                held.append(e)
-                gathered += len(e["key"])
-                if gathered >= GATHERED:
-                    yield from flush()
-                    gathered = 0
+        for batch in batches:
+            rows, at = batch.column("row").to_numpy(), 0
+            for ids, data, offsets in documents([batch]):
+                values, bounds, _, _ = scheme.symbols(data, offsets)
+                e = segments(values, bounds, scheme.k, scheme.m)
+                if len(e["key"]):
+                    del e["place"]
+                    e["row"] = rows[at : at + len(ids)][e["doc"]]
+                    e["doc"] = np.array([NO_ID if x is None else x for x in ids], np.int64)[e["doc"]]
+                    held.append(e)
+                    gathered += len(e["key"])
+                    if gathered >= GATHERED:
+                        yield from flush()
+                        gathered = 0
+                at += len(ids)
         if held:
             yield from flush()
 
     return run
 
 
-FOUND = "doc_id long, start long, n long, key long, kind int"
+FOUND = "doc_id long, row long, start long, n long, key long, kind int"
 LATER, CONTENT, WINDOWS = 0, 1, 2
 
 
@@ -187,7 +193,7 @@ def _group(scheme: Scheme, parts: int):
     def send(e: dict[str, np.ndarray], kind: np.ndarray) -> Iterator[pa.RecordBatch]:
         for i in range(0, len(kind), 100_000):
             s = slice(i, i + 100_000)
-            yield pa.RecordBatch.from_arrays([pa.array(e["doc"][s]), pa.array(e["start"][s]), pa.array(e["n"][s] >> 1), pa.array(e["key"][s].view(np.int64)), pa.array(kind[s].astype(np.int32))], ["doc_id", "start", "n", "key", "kind"])
+            yield pa.RecordBatch.from_arrays([pa.array(e["doc"][s]), pa.array(e["row"][s]), pa.array(e["start"][s]), pa.array(e["n"][s] >> 1), pa.array(e["key"][s].view(np.int64)), pa.array(kind[s].astype(np.int32))], ["doc_id", "row", "start", "n", "key", "kind"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = []
@@ -213,7 +219,7 @@ def _group(scheme: Scheme, parts: int):
     return run
 
 
-CONTENTS = "key long, doc_id long, start long, n long, content binary"
+CONTENTS = "key long, doc_id long, row long, start long, n long, content binary"
 
 
 def _cut(scheme: Scheme):
@@ -224,8 +230,8 @@ def _cut(scheme: Scheme):
     """
 
     def send(rows: list) -> pa.RecordBatch:
-        types = [pa.int64()] * 4 + [pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["key", "doc_id", "start", "n", "content"])
+        types = [pa.int64()] * 5 + [pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["key", "doc_id", "row", "start", "n", "content"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list = []
@@ -234,6 +240,7 @@ def _cut(scheme: Scheme):
             at = 0
             for ids, data, offsets in documents([batch]):
                 wanted = batch.column("wanted").slice(at, len(ids)).to_pylist()
+                row_of = batch.column("row").slice(at, len(ids)).to_pylist()
                 at += len(ids)
                 values, bounds, starts, ends = scheme.symbols(data, offsets)
                 raw, prefix = data.tobytes(), None
@@ -242,69 +249,76 @@ def _cut(scheme: Scheme):
                     end = b + m + scheme.k - 1  # noqa: B023
                     return raw[b:end] if starts is None else raw[starts[b] : ends[end - 1]]  # noqa: B023
 
-                for doc, base, of in zip(ids, bounds[:-1].tolist(), wanted, strict=True):
+                for doc, row, base, of in zip(ids, row_of, bounds[:-1].tolist(), wanted, strict=True):
                     for x in of:
                         a, n = base + x["start"], x["n"]
                         if x["kind"] == CONTENT:
-                            rows.append((x["key"], doc, x["start"], n, text(a, n)))
+                            rows.append((x["key"], doc, row, x["start"], n, text(a, n)))
                             continue
                         prefix = prefix_hash(values, BASE) if prefix is None else prefix
                         w = np.arange(a, a + n)
                         for h, b in zip(range_hash(prefix, w, w + scheme.k, BASE).view(np.int64).tolist(), w.tolist(), strict=True):
-                            this = (doc, b - base, text(b, 1))
+                            this = (doc, row, b - base, text(b, 1))
                             old = single.setdefault(h, this)
                             if old is not this:
                                 first, other = (this, old) if this < old else (old, this)
                                 single[h] = first
-                                later = first[2] == other[2] and (scheme.same_document or first[0] < other[0])
-                                rows.append((other[0] * 31 + other[1] & 0x7FFFFFFF if later else h, *other[:2], 1, None if later else other[2]))
+                                later = first[3] == other[3] and (first[0] < other[0] or scheme.same_document and first[1] == other[1] and first[2] < other[2])
+                                rows.append((other[0] * 31 + other[2] & 0x7FFFFFFF if later else h, *other[:3], 1, None if later else other[3]))
                     if len(single) > 100_000:
-                        rows += [(h, *x[:2], 1, x[2]) for h, x in single.items()]
+                        rows += [(h, *x[:3], 1, x[3]) for h, x in single.items()]
                         single.clear()
                     if len(rows) > 20_000:
                         yield send(rows)
                         rows = []
-        rows += [(h, *x[:2], 1, x[2]) for h, x in single.items()]
+        rows += [(h, *x[:3], 1, x[3]) for h, x in single.items()]
         if rows:
             yield send(rows)
 
     return run
 
 
-MARKED = "doc_id long, start long, n long"
+MARKED = "doc_id long, row long, start long, n long"
+
+
+def with_rows(docs: DataFrame) -> DataFrame:
+    """doc_id (null: ``NO_ID``), text, and ``row``, which tells rows of one doc_id apart by their text; 0 if ids are unique."""
+    unique = docs.groupBy("doc_id").agg(F.count("*").alias("k")).filter("k > 1").limit(1).count() == 0
+    row = F.lit(0).cast("long") if unique else F.xxhash64("text")
+    return docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text", row.alias("row"))
 
 
 def marked_windows(docs: DataFrame, scheme: Scheme, compare: Callable) -> DataFrame:
-    """Windows (doc_id, start, n: a run of n) that also start earlier; doc_id null is ``NO_ID``, the last.
+    """Windows (doc_id, row, start, n: a run of n) that also start earlier; ``docs`` as from :func:`with_rows`.
 
-    ``compare`` gets the distinct segments of a shard of keys (documents, starts, window counts,
+    ``compare`` gets the distinct segments of a shard of keys (documents, rows, starts, window counts,
     contents) and returns runs of windows (segment, first window, count) that start earlier in
     another of them.
     """
     spark = docs.sparkSession
     parts = partitions(spark)
-    dealt = docs.select("doc_id", "text").mapInArrow(_scan(scheme, parts), SCHEMA)
+    dealt = docs.mapInArrow(_scan(scheme, parts), SCHEMA)
     found = materialize(dealt.repartitionById(parts, F.pmod("part", F.lit(parts)).cast("int")).mapInArrow(_group(scheme, parts), FOUND), "segments")
-    wanted = found.filter(F.col("kind") != LATER).groupBy(F.col("doc_id").alias("d")).agg(F.collect_list(F.struct("start", "n", "key", "kind")).alias("wanted"))
-    texts = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text").join(wanted, F.col("doc_id") == F.col("d")).select("doc_id", "text", "wanted")
+    wanted = found.filter(F.col("kind") != LATER).groupBy(F.col("doc_id").alias("d"), F.col("row").alias("r")).agg(F.collect_list(F.struct("start", "n", "key", "kind")).alias("wanted"))
+    texts = docs.join(wanted, (F.col("doc_id") == F.col("d")) & (F.col("row") == F.col("r"))).select("doc_id", "row", "text", "wanted")
     contents = texts.mapInArrow(_cut(scheme), CONTENTS)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers, contents = [[], [], []], []
+        numbers, contents = [[], [], [], []], []
         for batch in batches:
             there = batch.column("content").is_valid()
             done, batch = batch.filter(pc.invert(there)), batch.filter(there)
             if done.num_rows:
-                yield done.select(["doc_id", "start", "n"])
-            for held, name in zip(numbers, ("doc_id", "start", "n"), strict=True):
+                yield done.select(["doc_id", "row", "start", "n"])
+            for held, name in zip(numbers, ("doc_id", "row", "start", "n"), strict=True):
                 held.append(batch.column(name).to_numpy())
             contents += batch.column("content").to_pylist()
         if contents:
-            doc, start, n = (np.concatenate(c) for c in numbers)
-            at, first, count = compare(doc, start, n, contents)
-            yield pa.RecordBatch.from_arrays([pa.array(doc[at]), pa.array(start[at] + first), pa.array(count)], ["doc_id", "start", "n"])
+            doc, row, start, n = (np.concatenate(c) for c in numbers)
+            at, first, count = compare(doc, row, start, n, contents)
+            yield pa.RecordBatch.from_arrays([pa.array(doc[at]), pa.array(row[at]), pa.array(start[at] + first), pa.array(count)], ["doc_id", "row", "start", "n"])
 
-    later = found.filter(F.col("kind") == LATER).select("doc_id", "start", "n")
+    later = found.filter(F.col("kind") == LATER).select("doc_id", "row", "start", "n")
     return later.unionAll(contents.repartition(parts, "key").mapInArrow(run, MARKED))
 
 
@@ -330,9 +344,10 @@ def flagged_runs(flags: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.
 
 
 def with_marks(docs: DataFrame, marks: DataFrame) -> DataFrame:
-    """``doc_id``, ``text`` and ``marks`` (a list of runs, or null) of every row."""
-    by = marks.groupBy(F.col("doc_id").alias("__d")).agg(F.collect_list(F.struct("start", "n")).alias("marks"))
-    return docs.select("doc_id", "text").join(by, F.coalesce("doc_id", F.lit(NO_ID)) == F.col("__d"), "left").select("doc_id", "text", "marks")
+    """``doc_id``, ``text`` and ``marks`` (a list of runs, or null) of every row of :func:`with_rows`."""
+    by = marks.groupBy(F.col("doc_id").alias("d"), F.col("row").alias("r")).agg(F.collect_list(F.struct("start", "n")).alias("marks"))
+    found = docs.join(by, (F.col("doc_id") == F.col("d")) & (F.col("row") == F.col("r")), "left")
+    return found.select(F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias("doc_id"), "text", "marks")
 
 
 def covered(marks: list | None, size: int, k: int) -> np.ndarray:

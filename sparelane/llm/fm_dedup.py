@@ -8,8 +8,8 @@ that match the longest stretch of at most ``k`` words (matching statistics). A s
 window; the smallest document among its rows tells whether it also starts earlier.
 
 Defined results: a null text has no words; a null ``doc_id`` is the last document; of rows
-that share a ``doc_id`` none is earlier than the other, and what is marked in one is marked in all
-that are long enough; texts shorter than a window are kept whole.
+that share a ``doc_id``, or have none, none is earlier than the other, and each is judged by its own
+text; texts shorter than a window are kept whole; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ._text import U, documents, word_hashes, words
-from ._windows import Scheme, buffers, covered, flagged_runs, marked_windows, with_marks
+from ._windows import Scheme, buffers, covered, flagged_runs, marked_windows, with_marks, with_rows
 
 
 class WaveletMatrix:
@@ -175,7 +175,7 @@ def _ranks(keys: np.ndarray, order: np.ndarray) -> np.ndarray:
 
 
 def _compare(k: int):
-    def run(doc: np.ndarray, start: np.ndarray, n: np.ndarray, contents: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def run(doc: np.ndarray, row: np.ndarray, start: np.ndarray, n: np.ndarray, contents: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         hashes, sizes = [], []
         for data, offsets in buffers(contents):
             starts, ends, bounds = words(data, offsets)
@@ -201,7 +201,7 @@ OUT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 
 def repeated_windows(docs: DataFrame, window: int = 13) -> DataFrame:
-    """Runs of windows (doc_id, start, n; in words) that also start in a document of smaller id."""
+    """Runs of windows (doc_id, row, start, n; in words) that also start in a document of smaller id; ``docs`` as from ``with_rows``."""
     return marked_windows(docs, Scheme(window, max(1, window // 3), True, False), _compare(window))
 
 
@@ -225,4 +225,5 @@ def remove_repeats(docs: DataFrame, window: int = 13, texts: bool = False) -> Da
                 types = [pa.int64()] * 3 + [pa.string()] * (1 + texts)
                 yield pa.RecordBatch.from_arrays([pa.array([x.decode() if isinstance(x, bytes) else x for x in c], t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
+    docs = with_rows(docs)
     return with_marks(docs, repeated_windows(docs, window)).mapInArrow(run, OUT + ", kept string" * texts)

@@ -30,12 +30,13 @@ compared each for itself; other columns are ignored, whatever their names, unles
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._text import BASE, LOWER, U, documents, mix, prefix_hash, range_hash, word_hashes, words
@@ -49,6 +50,8 @@ TOGETHER, BLOCK = 256, 20_000
 GATHERED = 1_000_000
 #: A shingle is hot if its nodes are this share of a partition; one in ``SAMPLED`` nodes tells.
 HOT, SAMPLED = 0.05, 16
+#: Members of a list that others are paired with at first.
+HUBS = 4
 #: Bits of a shingle's hash; the others tell the documents of a buffer apart.
 BITS = 56
 MOST = 255
@@ -100,7 +103,7 @@ def index_size(n: np.ndarray, percent: int) -> np.ndarray:
     return n - -(-2 * percent * n // (100 + percent)) + 1
 
 
-def _sets(size: int, names: list[str], schema: pa.Schema):
+def _sets(size: int, names: list[str]):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = 0
@@ -304,7 +307,7 @@ def _linkable(percent: int):
             head = h[x:y][np.lexsort((h[x:y], code[x:y]))[: max(0, int(prefix_size(size[i], percent)) - skipped)]]
             # with a shingle of its own among the first, a node is a group of its own
             mine = a[x : x + 1] if skipped else _sums(mix(head), np.array([0, len(head)]))
-            gid = mix(mine + U(k) * U(0x9E3779B97F4A7C15)).view(np.int64)[0]
+            gid = mix(mine + size[i : i + 1].astype(U) * U(0x9E3779B97F4A7C15)).view(np.int64)[0]
             rows.append((int(a[x]), k, int(gid), skipped, h[x:y].tobytes(), head.tobytes()))
             held += len(rows[-1][4]) + len(rows[-1][5])
             if held > BATCH:
@@ -322,7 +325,7 @@ def _rows(rows: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([keys, pa.array(n, pa.int64()), pa.array(gid, pa.int64()), pa.array(skipped, pa.int64()), pa.array(shared, pa.binary()), pa.array(prefix, pa.binary())], ["node", "n", "gid", "skipped", "shared", "prefix"])
 
 
-ENTRIES = "list long, gid long, n long, place long"
+ENTRIES = "list long, gid long, n long, place long, skipped long"
 
 
 def _postings(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -336,7 +339,7 @@ def _postings(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             gid, n, skipped = (np.repeat(some.column(c).to_numpy(), times) for c in ("gid", "n", "skipped"))
             place = skipped + np.arange(len(n)) - np.repeat(np.cumsum(times) - times, times)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(heads)), pa.array(gid), pa.array(n), pa.array(place)], ["list", "gid", "n", "place"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(heads)), pa.array(gid), pa.array(n), pa.array(place), pa.array(skipped)], ["list", "gid", "n", "place", "skipped"])
 
 
 def _fit(n: np.ndarray, place: np.ndarray, i: int, j: np.ndarray, percent: int) -> np.ndarray:
@@ -369,25 +372,22 @@ def _lists(batches: Iterable[pa.RecordBatch], columns: tuple[str, ...]) -> Itera
 
 
 def _leaders(percent: int):
-    """Each group with the first one of its list that it may be similar to, sizes ascending."""
+    """Each group with the one of its list that has the fewest shingles of its own, of those that it may be similar to."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: list[tuple[np.ndarray, np.ndarray]] = []
         total = 0
-        for gid, n, place in _lists(batches, ("gid", "n", "place")):
+        for gid, n, place, skipped in _lists(batches, ("gid", "n", "place", "skipped")):
             if len(gid) < 2:
                 continue
-            order = np.lexsort((gid, n))
-            gid, n, place = gid[order], n[order], place[order]
-            # the first that isn't too small, and has the shingle early
-            index = np.flatnonzero(place < index_size(n, percent))
-            if not len(index):
-                continue
-            at = np.searchsorted(n[index], -(-n * percent // 100))
-            to = index[np.minimum(at, len(index) - 1)]
-            good = (to < np.arange(len(n))) & (np.minimum(n - place, (n - place)[to]) >= -(-percent * (n + n[to]) // (100 + percent)))
-            found.append((gid[good], gid[to[good]]))
-            total += int(good.sum())
+            rest = np.lexsort((gid, skipped / n))
+            for _ in range(HUBS):
+                fit = _fit(n, place, rest[0], rest[1:], percent)
+                found.append((gid[rest[1:][fit]], np.full(int(fit.sum()), gid[rest[0]])))
+                total += len(found[-1][0])
+                rest = rest[1:][~fit]
+                if len(rest) < 2:
+                    break
             if total > 100_000:
                 yield _voted(found)
                 found, total = [], 0
@@ -435,12 +435,15 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(_verify(percent), "a binary, b binary")
 
 
-def _foreign(percent: int):
-    """Each member with one of the list's largest component that it isn't in (the least by hash)."""
+def _foreign(percent: int, any_of: bool = False):
+    """Each member with one of the list's largest component that it isn't in and that fits.
+
+    The one with the fewest shingles of its own; with ``any_of`` another one in each list.
+    """
 
-    def pairs(n: np.ndarray, place: np.ndarray, label: np.ndarray, top: np.ndarray, order: np.ndarray) -> Iterator[tuple]:
+    def pairs(n: np.ndarray, place: np.ndarray, label: np.ndarray, top: np.ndarray, skipped: np.ndarray) -> Iterator[tuple]:
         inside = np.flatnonzero(top)
-        inside = inside[np.argsort(order[inside], kind="stable")]
+        inside = np.random.default_rng(int(place.sum())).permutation(inside) if any_of else inside[np.argsort((skipped / n)[inside], kind="stable")]
         for i in np.flatnonzero(~top).tolist():
             fit = _fit(n, place, i, inside, percent)
             if fit.any():
@@ -452,7 +455,7 @@ def _foreign(percent: int):
 def _all_foreign(percent: int):
     """All pairs in different components that may be similar; members of the largest one need no pairs among themselves."""
 
-    def pairs(n: np.ndarray, place: np.ndarray, label: np.ndarray, top: np.ndarray, order: np.ndarray) -> Iterator[tuple]:
+    def pairs(n: np.ndarray, place: np.ndarray, label: np.ndarray, top: np.ndarray, skipped: np.ndarray) -> Iterator[tuple]:
         out = np.flatnonzero(~top)
         rest = np.concatenate([out, np.flatnonzero(top)])
         for k, i in enumerate(out.tolist()):
@@ -463,41 +466,42 @@ def _all_foreign(percent: int):
     return pairs
 
 
+PAIRS = "a binary, b binary, votes long"
+
+
 def _pairs(choose):
-    """Rows of lists (sorted by list and block) to pairs of nodes."""
+    """Rows of lists (sorted by list and block) to pairs of nodes, and how many lists of the task say so."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: set[tuple] = set()
-        for nodes, n, place, label, top in _lists(batches, ("node", "n", "place", "label", "top")):
+        out: Counter = Counter()
+        for nodes, n, place, skipped, label, top in _lists(batches, ("node", "n", "place", "skipped", "label", "top")):
             codes = np.unique(label, return_inverse=True)[1]
-            order = np.array([int.from_bytes(x[:8], "big") for x in nodes], U)
-            for i, j in choose(n, place, codes, top.astype(bool), order):
-                a, b = nodes[i], nodes[j]
-                out.add((a, b) if a > b else (b, a))
+            out.update((nodes[i], nodes[j]) for i, j in choose(n, place, codes, top.astype(bool), skipped))
             if len(out) > 50_000:
-                yield _batch(out)
-                out = set()
+                yield _batch(out, list(out.values()))
+                out.clear()
         if out:
-            yield _batch(out)
+            yield _batch(out, list(out.values()))
 
     return run
 
 
-def _batch(pairs: Iterable) -> pa.RecordBatch:
+def _batch(pairs: Iterable, votes: list[int] | None = None) -> pa.RecordBatch:
     a, b = zip(*pairs, strict=True)
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+    both = [pa.array(a, pa.binary()), pa.array(b, pa.binary())]
+    return pa.RecordBatch.from_arrays(both, ["a", "b"]) if votes is None else pa.RecordBatch.from_arrays([*both, pa.array(votes, pa.int64())], ["a", "b", "votes"])
 
 
 def _opened(expanded: DataFrame, labels: DataFrame) -> DataFrame:
     """Members of lists in several components, in blocks: the largest component is dealt out, others go to each block."""
     of = labels.withColumnRenamed("node", "m")
-    named = expanded.join(of, F.col("node") == F.col("m"), "left").select("list", "node", "n", "place", F.coalesce("label", "node").alias("label"))
+    named = expanded.join(of, F.col("node") == F.col("m"), "left").select("list", "node", "n", "place", "skipped", F.coalesce("label", "node").alias("label"))
     counts = named.groupBy("list", "label").agg(F.count("*").alias("k"))
     tops = counts.groupBy("list").agg(F.max(F.struct("k", "label")).alias("most"), F.count("*").alias("labels")).filter("labels > 1")
     tops = tops.select("list", F.col("most.label").alias("first"), F.ceil(F.col("most.k") / BLOCK).cast("int").alias("blocks"))
     rows = named.join(tops, "list").withColumn("top", F.col("label") == F.col("first"))
     block = F.when(F.col("top"), F.array(F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
-    return rows.select("list", F.explode(block).alias("block"), "node", "n", "place", "label", "top")
+    return rows.select("list", F.explode(block).alias("block"), "node", "n", "place", "skipped", "label", "top")
 
 
 def linked_nodes(docs: DataFrame, sets: DataFrame, size: int, percent: int) -> DataFrame:
@@ -529,14 +533,18 @@ def linked_nodes(docs: DataFrame, sets: DataFrame, size: int, percent: int) -> D
 
     # groups of several nodes are lists as well, at place 0
     several = nodes.select("gid", "node", "n").join(first.filter("k > 1").select("gid"), "gid", "left_semi")
-    expanded = lists.select("list", "gid", "place").join(nodes.select("gid", "node", "n"), "gid").select("list", "node", "n", "place")
-    expanded = materialize(expanded.unionAll(several.select(F.col("gid").alias("list"), "node", "n", F.lit(0).cast("long").alias("place"))), "expanded")
+    expanded = lists.select("list", "gid", "place", "skipped").join(nodes.select("gid", "node", "n"), "gid").select("list", "node", "n", "place", "skipped")
+    expanded = materialize(expanded.unionAll(several.select(F.col("gid").alias("list"), "node", "n", F.lit(0).cast("long").alias("place"), F.lit(0).cast("long").alias("skipped"))), "expanded")
     labels = components(links)
-    for choose in (_foreign(percent), _foreign(percent), _all_foreign(percent)):
+    for choose, one in ((_foreign(percent), True), (_foreign(percent, any_of=True), True), (_all_foreign(percent), False)):
         todo = _opened(expanded, labels).repartition(parts, "list", "block").sortWithinPartitions("list", "block")
-        both = todo.mapInArrow(_pairs(choose), "a binary, b binary").distinct()
-        done = tried.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        fresh = materialize(both.join(done, ["a", "b"], "left_anti"), "fresh")
+        both = todo.mapInArrow(_pairs(choose), PAIRS).groupBy("a", "b").agg(F.sum("votes").alias("votes"))
+        done = tried.select("a", "b").unionAll(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        both = both.join(done, ["a", "b"], "left_anti")
+        if one:
+            # one pair for each node: the one that most lists say
+            both = both.groupBy("a").agg(F.max_by("b", F.struct("votes", "b")).alias("b"))
+        fresh = materialize(both.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "fresh")
         more = materialize(verified(fresh, whole, percent), "more")
         if more.limit(1).count():
             links = links.unionAll(more)
@@ -547,14 +555,15 @@ def linked_nodes(docs: DataFrame, sets: DataFrame, size: int, percent: int) -> D
     return labels
 
 
-def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 75, columns: list[str] | None = None) -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id (smallest doc_id that links reach); with ``columns``, also these and ``class``.
+def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 75, row: Column | None = None) -> DataFrame:
+    """Per row: doc_id, n_shingles, component_id (smallest doc_id that links reach); with ``row``, an expression of ``docs``, also ``row`` and ``class``.
 
     ``class`` is a key of the component, null for an empty set: it also tells apart components without any id.
     """
-    names = list(columns or [])
-    kinds = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
-    sets = materialize(docs.select(*dict.fromkeys(["doc_id", "text", *names])).mapInArrow(_sets(size, names, None), "doc_id long, n long, node binary" + kinds), "sets")
+    names = [] if row is None else ["row"]
+    given = docs.select("doc_id", "text", *([] if row is None else [row.alias("row")]))
+    kinds = "".join(f", {c} {given.schema[c].dataType.simpleString()}" for c in names)
+    sets = materialize(given.mapInArrow(_sets(size, names), "doc_id long, n long, node binary" + kinds), "sets")
     nodes = sets.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"))
     labels = linked_nodes(docs, sets.select("n"), size, percent).withColumnRenamed("node", "m")
     # the smallest document of each component; copies are in one node
@@ -563,5 +572,5 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 75, column
     named = classes.join(least, "label").select("node", "component", "label")
     out = sets.join(named, "node", "left")
     known = lambda c: F.when(c != NO_ID, c)
-    rows = out.select(known(F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), known(F.coalesce("component", "doc_id")).alias("component_id"), *names, *([F.col("label").alias("class")] if columns else []))
-    return rows
+    more = [] if row is None else ["row", F.col("label").alias("class")]
+    return out.select(known(F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), known(F.coalesce("component", "doc_id")).alias("component_id"), *more)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ._text import BYTE, U, documents
-from ._windows import Scheme, buffers, covered, flagged_runs, marked_windows, segments, with_marks
+from ._windows import Scheme, buffers, covered, flagged_runs, marked_windows, segments, with_marks, with_rows
 
 #: Rows of a block; bytes of a file that stay in memory before it goes to disk.
 BLOCK, IN_MEMORY = 1 << 17, 1 << 18
@@ -237,7 +237,7 @@ class CollectionBWT:
 
 
 def _compare(k: int, m: int):
-    def run(doc: np.ndarray, start: np.ndarray, n: np.ndarray, contents: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def run(doc: np.ndarray, row: np.ndarray, start: np.ndarray, n: np.ndarray, contents: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         # equal windows have their key at the same place, so segments line up by it
         place = [segments(BYTE[data], offsets, k, m)["place"] for data, offsets in buffers(contents)]
         right = np.array([len(c) for c in contents]) - np.concatenate(place)
@@ -247,12 +247,14 @@ def _compare(k: int, m: int):
         bounds = np.append(0, np.cumsum(n))
         flags = np.zeros(bounds[-1], bool)
         if len(seq):
-            # the first start of each class stays
-            order = np.lexsort((start[seq] + place, doc[seq], group))
+            # the first start of each class stays, in each row of its document
+            order = np.lexsort((start[seq] + place, row[seq], doc[seq], group))
             group, seq, place = group[order], seq[order], place[order]
+            begin, at = start[seq] + place, np.arange(len(group))
             first = np.append(True, group[1:] != group[:-1])
-            head = np.maximum.accumulate(np.where(first, np.arange(len(group)), 0))
-            later = (doc[seq] > doc[seq[head]]) | (start[seq] + place > start[seq[head]] + place[head])
+            here = first | np.append(True, (doc[seq[1:]] != doc[seq[:-1]]) | (row[seq[1:]] != row[seq[:-1]]))
+            head, own = (np.maximum.accumulate(np.where(x, at, 0)) for x in (first, here))
+            later = (doc[seq] > doc[seq[head]]) | (begin > begin[own])
             flags[bounds[seq[later]] + place[later]] = True
         return flagged_runs(flags, bounds)
 
@@ -263,7 +265,7 @@ OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 stri
 
 
 def repeated_bytes(docs: DataFrame, window: int = 100) -> DataFrame:
-    """Runs of windows (doc_id, start, n; in bytes) that also start earlier."""
+    """Runs of windows (doc_id, row, start, n; in bytes) that also start earlier; ``docs`` as from ``with_rows``."""
     key = max(1, window // 6)
     return marked_windows(docs, Scheme(window, key, False, True), _compare(window, key))
 
@@ -287,4 +289,5 @@ def remove_repeats(docs: DataFrame, window: int = 100, spans: bool = False) -> D
                 types = [pa.int64()] * 4 + [pa.string()] + [pa.binary()] * spans
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
+    docs = with_rows(docs)
     return with_marks(docs, repeated_bytes(docs, window)).mapInArrow(run, OUT + ", kept binary" * spans)

@@ -9,6 +9,7 @@ import re
 import numpy as np
 import pytest
 
+from conftest import prose
 from sparelane.llm import _windows, exact_dedup, fm_dedup, suffix_dedup
 from sparelane.llm.exact_dedup import PatriciaTrie
 
@@ -83,13 +84,14 @@ def by_bytes(docs, k):
     texts = [(BIG if i is None else i, i, (t or "").encode()) for i, t in docs]
     for n, _, b in texts:
         for j in range(len(b) - k + 1):
-            x = b[j : j + k]
-            first[x] = min(first.get(x, (BIG + 1, 0)), (n, j))
+            first[b[j : j + k]] = min(first.get(b[j : j + k], BIG), n)
     for n, i, b in texts:
-        gone = np.zeros(len(b), bool)
+        gone, seen = np.zeros(len(b), bool), set()
         for j in range(len(b) - k + 1):
-            if first[b[j : j + k]] < (n, j):
+            x = b[j : j + k]
+            if first[x] < n or x in seen:
                 gone[j : j + k] = True
+            seen.add(x)
         kept = bytes(c for c, g in zip(b, gone, strict=True) if not g)
         out.append((i, len(b), int(gone.sum()), int((np.diff(gone.astype(int), prepend=0) == 1).sum()), sha(kept)))
     return sorted(out, key=repr)
@@ -120,6 +122,27 @@ def test_bytes_that_recur_go(spark, edge_docs, empty_docs, corpus, crowded, monk
         assert suffix_dedup.remove_repeats(empty_docs).count() == 0
 
 
+@pytest.mark.parametrize("of", [lambda i: None, lambda i: 7, lambda i: 1 + i // 3, lambda i: 9 - i // 2])
+@pytest.mark.parametrize("crowded", [_windows.CROWDED, 2])
+def test_rows_that_share_an_id_or_have_none_are_judged_each_by_its_own_text(spark, of, crowded, monkeypatch):
+    monkeypatch.setattr(_windows, "CROWDED", crowded)
+    p, q, z = (prose(seed, 60) for seed in (1, 2, 3))
+    texts = [p, p + " x y z", q, q, z + " " + p, q + " " + z + " " + z, p, p[:150] + q[:150] + p[:150]]
+    docs = [(1, p)] + [(of(i), t) for i, t in enumerate(texts)]
+    assert collected(fm_dedup.remove_repeats(frame(spark, docs), 13)) == by_words(docs, 13)
+    assert collected(suffix_dedup.remove_repeats(frame(spark, docs), 100)) == by_bytes(docs, 100)
+
+
+def test_very_long_texts_and_clashing_columns(spark):
+    """A megabyte in one text, and columns named like the operators' own."""
+    long = prose(5, 180_000, 50_000)
+    docs = [(1, long), (2, "a b " + long[500_000:500_900]), (3, long[-400:] + " end"), (4, "short")]
+    extra = ", d long, r long, row long, wanted string, marks int, kind int, content binary"
+    df = spark.createDataFrame([(*x, 1, 2, 3, "w", 4, 5, b"c") for x in docs], "doc_id long, text string" + extra)
+    assert collected(fm_dedup.remove_repeats(df, 13)) == by_words(docs, 13)
+    assert collected(suffix_dedup.remove_repeats(df, 100)) == by_bytes(docs, 100)
+
+
 def test_crowded_keys_are_told_to_workers():
     """The limit goes along with the tasks, so a changed one holds there too."""
     scheme = _windows.Scheme(13, 4, True, False)

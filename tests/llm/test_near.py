@@ -8,6 +8,7 @@ import re
 from pyspark.sql import functions as F
 
 from sparelane.llm import components, decontaminate, line_templates, ngram_join
+from conftest import prose
 from test_exact import BIG, collected, frame
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -150,6 +151,25 @@ def test_jaccard_components(spark, edge_docs, empty_docs, corpus):
     assert ngram_join.jaccard_components(empty_docs).count() == 0
 
 
+def test_jaccard_components_of_hot_shingles_and_split_lists(spark, corpus, monkeypatch):
+    """Hot shingles pass by the deal, and lists stand in several blocks: same result."""
+    for name, value in (("BLOCK", 3), ("TOGETHER", 2), ("SAMPLED", 1), ("HOT", 0.0), ("GATHERED", 500)):
+        monkeypatch.setattr(ngram_join, name, value)
+    many = [(1000 + i, f"one{i} " + corpus[70][1] + f" two{i}") for i in range(80)]
+    docs = corpus + many
+    found = ngram_join.hot_shingles(frame(spark, docs), 5, len(docs), 10_000)
+    assert len(found[0]) and found[1].min() >= 64
+    assert collected(ngram_join.jaccard_components(frame(spark, docs))) == by_jaccard(docs, 5, 75)
+
+
+def test_classes_tell_rows_without_ids_apart(spark):
+    a, b = prose(1, 60), prose(2, 60)
+    docs = spark.createDataFrame([(None, a, 1), (None, a + " end", 2), (None, b, 3), (None, None, 4)], "doc_id long, text string, node int")
+    got = ngram_join.jaccard_components(docs, row=F.col("node")).collect()
+    of = {r["row"]: r["class"] for r in got}
+    assert of[1] == of[2] != of[3] and of[4] is None and {r.component_id for r in got} == {None}
+
+
 def test_links_that_only_chain_through_other_copies(spark, monkeypatch):
     """Each text is near the next, but the ends are far apart; nodes of many pairs are split."""
     monkeypatch.setattr(ngram_join, "TOGETHER", 2)
