@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._text import BASE, BASE2, BYTE, U, documents, mix, prefix_hash, range_hash, runs, word_hashes, words
+from ._tables import told_apart
 from .scratch import materialize, partitions
 
 LOW32 = U(0xFFFFFFFF)
@@ -283,9 +284,7 @@ MARKED = "doc_id long, row long, start long, n long"
 
 def with_rows(docs: DataFrame) -> DataFrame:
     """doc_id (null: ``NO_ID``), text, and ``row``, which tells rows of one doc_id apart by their text; 0 if ids are unique."""
-    unique = docs.groupBy("doc_id").agg(F.count("*").alias("k")).filter("k > 1").limit(1).count() == 0
-    row = F.lit(0).cast("long") if unique else F.xxhash64("text")
-    return docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text", row.alias("row"))
+    return docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text", told_apart(docs).alias("row"))
 
 
 def marked_windows(docs: DataFrame, scheme: Scheme, compare: Callable) -> DataFrame:

@@ -4,15 +4,15 @@
 as a table in the shared folder. It holds the terms that a search starts from: corpus
 counts choose the two rarest terms of each test phrase, and only their postings are
 written. A search shifts both lists by the terms' offsets in the phrase, intersects them,
-and compares the whole phrase in the documents that are left.
+and compares the whole phrase in the documents that are left. ``proximity`` indexes the terms it
+is asked for and intersects their lists within a distance.
 
 DataFrame functions only. Test terms are broadcast only below ``BROADCAST_CHARS``
 characters; beyond that the same joins shuffle.
 
-Defined results: a null text has no words and no phrases; rows that share a ``doc_id`` are
-one document, whose occurrences are united and whose length is that of the longest row; a
-null ``doc_id`` is one document of its own; repeated benchmark rows count once; empty tables
-give empty results or no hits; other columns are ignored.
+Defined results: a null text has no words and no phrases; every row is a document of its own,
+also where rows share a ``doc_id`` or have none; repeated benchmark rows count once; empty tables
+give empty results or no hits; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ._tables import told_apart
 from .scratch import materialize
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -27,6 +28,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Characters of test terms or phrases up to which they are broadcast.
 BROADCAST_CHARS = 32_000_000
+#: Places to compare up to which they go to the documents, and not the documents to them.
+BROADCAST_PLACES = 1_000_000
 
 
 def lower_ascii(text: Column) -> Column:
@@ -69,7 +72,8 @@ class PositionalIndex:
     """
 
     def __init__(self, docs: DataFrame, terms: DataFrame):
-        """``terms``: a column ``term`` of distinct words to index."""
+        """``terms``: a column ``term`` of distinct words to index; a doc_id may be of any type, but names one row."""
+        self.terms = terms.select("term")
         self.docs = docs.select("doc_id", pieces(F.col("text")).alias("parts"))
         chosen = _bounded(terms.select("term", F.lit(True).alias("wanted")), "term")
         flat = self.docs.select("doc_id", n_words(F.col("parts")).alias("n_words"), (F.element_at("parts", 1) == "").cast("int").alias("skip"), (F.size("parts") - 1).alias("last"), F.posexplode("parts").alias("at", "term"))
@@ -91,14 +95,19 @@ class PositionalIndex:
         two = lists.join(_bounded(ids, "term"), "term").select("doc_id", "phrase_id", (F.col("pos") - F.col("shift")).alias("start")).filter("start >= 0")
         both = one.filter("more").select("doc_id", "phrase_id", "start").join(two.withColumnsRenamed({"doc_id": "d", "phrase_id": "p", "start": "s"}), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("phrase_id") == F.col("p")) & (F.col("start") == F.col("s"))).select("doc_id", "phrase_id", "start")
         left = both.unionAll(one.filter("not more").select("doc_id", "phrase_id", "start"))
-        # what both lists allow is compared with the documents, each read once
-        grouped = left.groupBy(F.col("doc_id").alias("d")).agg(F.collect_set(F.struct("phrase_id", "start")).alias("at"))
+        # what both lists allow is compared with the documents, each read once; few have any
+        grouped = materialize(left.groupBy(F.col("doc_id").alias("d")).agg(F.collect_set(F.struct("phrase_id", "start")).alias("at")), "candidates")
+        size = grouped.agg(F.sum(F.size("at") + 4)).first()[0] or 0
+        grouped = F.broadcast(grouped) if size <= BROADCAST_PLACES else grouped
         there = self.docs.join(grouped, F.col("doc_id").eqNullSafe(F.col("d"))).select("doc_id", F.filter("parts", lambda x: x != "").alias("w"), F.explode("at").alias("at"))
         tested = there.select("doc_id", "w", F.col("at.phrase_id").alias("phrase_id"), F.col("at.start").alias("start")).join(_bounded(phrases.select("phrase_id", "terms", "k", "items", F.array_join("terms", " ").alias("said")), "said").drop("said"), "phrase_id")
         return tested.filter(F.slice("w", F.col("start") + 1, F.col("k")) == F.col("terms")).select("doc_id", "start", "k", "items").distinct()
 
     def near(self, a: str, b: str, distance: int) -> DataFrame:
         """Proximity matches: documents and positions where ``b`` stands within ``distance`` words of ``a``."""
+        missing = {a, b} - {r.term for r in self.terms.filter(F.col("term").isin(a, b)).collect()}
+        if missing:
+            raise ValueError(f"not indexed: {', '.join(sorted(missing))}")
         p = self.postings.select("doc_id", "term", "pos")
         x, y = p.filter(F.col("term") == a).select("doc_id", F.col("pos").alias("pos_a")), p.filter(F.col("term") == b).select(F.col("doc_id").alias("d"), F.col("pos").alias("pos_b"))
         # cells of that width make it an equi-join
@@ -107,6 +116,14 @@ class PositionalIndex:
         return x.join(y, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("cell") == F.col("c"))).filter((F.abs(F.col("pos_a") - F.col("pos_b")) <= distance) & (F.col("pos_a") != F.col("pos_b"))).select("doc_id", "pos_a", "pos_b")
 
 
+def proximity(docs: DataFrame, a: str, b: str, distance: int) -> DataFrame:
+    """Where the words ``a`` and ``b`` stand within ``distance`` words of each other: doc_id, pos_a, pos_b."""
+    docs = docs.select("doc_id", "text")
+    named = docs.select(F.struct("doc_id", told_apart(docs).alias("row")).alias("doc_id"), "text")
+    terms = docs.sparkSession.createDataFrame([(x,) for x in sorted({a, b})], "term string")
+    return PositionalIndex(named, terms).near(a, b, distance).select("doc_id.doc_id", "pos_a", "pos_b")
+
+
 def rarest_first(docs: DataFrame, found: DataFrame) -> DataFrame:
     """``phrases`` with the two rarest terms of each by corpus count (``first``, ``second``); those with a term that no document has are gone."""
     vocabulary = materialize(found.select(F.explode("terms").alias("term")).distinct(), "vocabulary")
@@ -117,15 +134,21 @@ def rarest_first(docs: DataFrame, found: DataFrame) -> DataFrame:
     return materialize(found.join(best.select("phrase_id", F.get("by", F.lit(0)).alias("first"), F.get("by", F.lit(1)).alias("second")), "phrase_id"), "anchored")
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
-    """Per document: doc_id, n_words, n_hit (words inside occurrences), items (array of item ids), contaminated."""
-    docs = docs.select("doc_id", "text")
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, row: Column | None = None) -> DataFrame:
+    """Per row: doc_id, n_words, n_hit (words inside occurrences), items (array of item ids), contaminated.
+
+    ``row``: an expression of ``docs`` that names a row, which then is a column too.
+    """
+    own = told_apart(docs) if row is None else row
+    docs = docs.select(F.struct("doc_id", own.alias("row")).alias("doc_id"), "text")
     anchored = rarest_first(docs, phrases(benchmark, window))
     terms = anchored.select(F.explode(F.array("first.term", "second.term")).alias("term")).filter(F.col("term").isNotNull()).distinct()
     index = PositionalIndex(docs, terms)
     found = index.occurrences(anchored).withColumn("end", F.col("start") + F.col("k"))
     before = Window.partitionBy("doc_id").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
-    new = found.withColumn("covered", F.coalesce(F.max("end").over(before), F.lit(0))).select("doc_id", F.lit(0).cast("long").alias("n_words"), F.greatest(F.lit(0), F.col("end") - F.greatest("start", "covered")).cast("long").alias("hit"), "items")
-    every = index.lengths().select("doc_id", "n_words", F.lit(0).cast("long").alias("hit"), F.lit(None).cast(new.schema["items"].dataType).alias("items"))
-    out = every.unionAll(new).groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.sum("hit").alias("n_hit"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
-    return out.withColumn("contaminated", F.col("n_hit") > 0)
+    new = found.withColumn("covered", F.coalesce(F.max("end").over(before), F.lit(0))).select("doc_id", F.greatest(F.lit(0), F.col("end") - F.greatest("start", "covered")).cast("long").alias("hit"), "items")
+    hits = new.groupBy(F.col("doc_id").alias("d")).agg(F.sum("hit").alias("n_hit"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
+    out = index.lengths().join(hits, F.col("doc_id").eqNullSafe(F.col("d")), "left")
+    n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
+    items = F.coalesce("items", F.array().cast(hits.schema["items"].dataType))
+    return out.select("doc_id.doc_id", "n_words", n_hit.alias("n_hit"), items.alias("items"), (n_hit > 0).alias("contaminated"), *([] if row is None else ["doc_id.row"]))

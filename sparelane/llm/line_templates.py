@@ -12,8 +12,9 @@ Counting is order-free, so the tree needs no sequential pass: each level is an a
 with partial sums before each shuffle. DataFrame functions only.
 
 Defined results: a null text has no lines and stays null; blank lines stay; rows that share a
-``doc_id`` are one document for counting; a null ``doc_id`` comes last; a document that had
-lines and loses all of them is marked ``emptied``.
+``doc_id``, or have none, are one document for counting, and each loses lines of its own only; a null
+``doc_id`` comes last; a document that had lines and loses all of them is marked ``emptied``; input
+columns named n_lines, n_dropped or emptied give way to the operator's, other names are free.
 """
 
 from __future__ import annotations
@@ -21,11 +22,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._tables import bounded, told_apart
 from .scratch import materialize
 
 FIELD = "<*>"
-#: Characters of leaves up to which they are broadcast.
-BROADCAST_CHARS = 8_000_000
 #: Tokens from which a line with variable fields is compared as it stands, too.
 LONG = 50
 
@@ -35,21 +35,29 @@ def masked(token: Column) -> Column:
 
 
 def _lines(docs: DataFrame, depth: int) -> DataFrame:
-    """doc_id, line_no, tokens, leaf of each line that isn't blank."""
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    tokens = lines.select("doc_id", "line_no", F.split(F.trim(F.regexp_replace("line", r"[\t\x0b\x0c\r]", " ")), " +").alias("tokens"))
-    tokens = tokens.filter(~((F.size("tokens") == 1) & (F.get("tokens", F.lit(0)) == "")))
-    return tokens.withColumn("leaf", F.concat_ws(" ", F.size("tokens").cast("string"), *(masked(F.get("tokens", F.lit(i))) for i in range(depth))))
-
-
-def recurring_lines(docs: DataFrame, min_docs: int = 10, depth: int = 3, min_constant: float = 0.6) -> DataFrame:
-    """Lines of recurring templates: doc_id, line_no, template, n_docs, first_doc."""
-    lines = _lines(docs.select("doc_id", "text"), depth)
-    leaves = lines.groupBy("leaf", "doc_id").agg(F.lit(1).alias("one")).groupBy("leaf").agg(F.count("*").alias("n")).filter(F.col("n") >= min_docs).select("leaf")
-    leaves = materialize(leaves, "leaves")
-    size = leaves.agg(F.sum(F.char_length("leaf") + 16)).first()[0] or 0
-    kept = lines.join(F.broadcast(leaves) if size <= BROADCAST_CHARS else leaves, "leaf", "left_semi")
-    masks = kept.select("leaf", "doc_id", "line_no", F.transform("tokens", masked).alias("tokens"))
+    """doc_id, row, line_no, line (blanks squeezed), size (in tokens), leaf of each line that isn't blank."""
+    lines = docs.select("doc_id", "row", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    squeezed = F.when(F.col("line").rlike(r"[\t\x0b\x0c\r]|  "), F.regexp_replace("line", r"[\t\x0b\x0c\r ]+", " ")).otherwise(F.col("line"))
+    lines = lines.withColumn("line", F.trim(squeezed)).filter("line <> ''")
+    lines = lines.withColumn("size", F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "), F.lit(""))) + 1)
+    # only the leading tokens are split off
+    lines = lines.withColumn("lead", F.split(F.substring_index("line", " ", depth), " "))
+    return lines.withColumn("leaf", F.concat_ws(" ", F.col("size").cast("string"), *(masked(F.get("lead", F.lit(i))) for i in range(depth)))).drop("lead")
+
+
+def scanned_lines(docs: DataFrame, depth: int) -> DataFrame:
+    """doc_id, row, line_no, leaf (a hash), key of the whole line where it has no variable field or is long: one scan for both searches."""
+    whole = ~F.col("line").rlike("[0-9]") | (F.col("size") >= LONG)
+    key = F.when(whole, F.unhex(F.md5(F.col("line").cast("binary"))))
+    return materialize(_lines(docs, depth).select("doc_id", "row", "line_no", F.xxhash64("leaf").alias("leaf"), key.alias("key")), "lines")
+
+
+def recurring_lines(docs: DataFrame, scanned: DataFrame, min_docs: int = 10, depth: int = 3, min_constant: float = 0.6) -> DataFrame:
+    """Lines of recurring templates: doc_id, row, line_no, template, n_docs, first_doc; ``docs``: doc_id, row, text."""
+    leaves = scanned.groupBy("leaf", "doc_id").agg(F.lit(1).alias("one")).groupBy("leaf").agg(F.count("*").alias("n")).filter(F.col("n") >= min_docs).select(F.col("leaf").alias("h"))
+    leaves = bounded(materialize(leaves, "leaves"))
+    kept = _lines(docs, depth).join(leaves, F.xxhash64("leaf") == F.col("h"), "left_semi").withColumn("tokens", F.split("line", " "))
+    masks = kept.select("leaf", "doc_id", "row", "line_no", F.transform("tokens", masked).alias("tokens"))
     rows = materialize(masks.withColumn("key", F.md5(F.array_join("tokens", " ").cast("binary"))), "leaf-lines")
     # each distinct masked line once, with its number of documents
     counted = rows.groupBy("key", "doc_id").agg(F.lit(1).alias("one")).groupBy("key").agg(F.count("*").alias("n"))
@@ -61,30 +69,37 @@ def recurring_lines(docs: DataFrame, min_docs: int = 10, depth: int = 3, min_con
     of = rows.select("key", "doc_id", "line_no").join(templates, "key")
     by = of.groupBy("template", "doc_id").agg(F.lit(1).alias("one")).groupBy("template").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc")).filter(F.col("n_docs") >= min_docs)
     chosen = templates.join(by, "template")
-    return rows.select("key", "doc_id", "line_no").join(chosen, "key").drop("key")
+    return rows.select("key", "doc_id", "row", "line_no").join(chosen, "key").drop("key")
 
 
-def repeated_lines(docs: DataFrame) -> DataFrame:
-    """Lines without variable fields, or long ones, that several documents have: doc_id, line_no, first_doc."""
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    lines = lines.withColumn("line", F.trim(F.regexp_replace("line", r"[\t\x0b\x0c\r ]+", " "))).filter("line <> ''")
-    blanks = F.char_length("line") - F.char_length(F.translate("line", " ", ""))
-    lines = lines.filter(~F.col("line").rlike("[0-9]") | (blanks >= LONG - 1))
-    rows = materialize(lines.select("doc_id", "line_no", F.unhex(F.md5(F.col("line").cast("binary"))).alias("key")), "whole-lines")
+def repeated_lines(scanned: DataFrame) -> DataFrame:
+    """Lines without variable fields, or long ones, that several documents have: doc_id, row, line_no, first_doc."""
+    rows = scanned.filter("key is not null").select("doc_id", "row", "line_no", "key")
     by = rows.groupBy("key").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.max(F.col("doc_id").isNull()).alias("unnamed"))
     several = by.filter(F.col("first_doc").isNotNull() & ((F.col("first_doc") < F.col("last_doc")) | F.col("unnamed"))).select("key", "first_doc")
     return rows.join(several, "key").drop("key")
 
 
+#: Columns that :func:`drop_lines` adds.
+ADDED = ("n_lines", "n_dropped", "emptied")
+
+
 def drop_lines(docs: DataFrame, min_docs: int = 10, depth: int = 3, min_constant: float = 0.6) -> DataFrame:
     """``docs`` with text less its recurring lines, and n_lines, n_dropped, emptied."""
-    found = recurring_lines(docs, min_docs, depth, min_constant).select("doc_id", "line_no", "first_doc")
-    found = found.unionByName(repeated_lines(docs).select("doc_id", "line_no", "first_doc")).filter(~F.col("doc_id").eqNullSafe(F.col("first_doc")))
-    drop = found.groupBy(F.col("doc_id").alias("__d")).agg(F.collect_set("line_no").alias("__drop"))
-    joined = docs.join(drop, F.col("doc_id").eqNullSafe(F.col("__d")), "left")
+    names = [c for c in docs.columns if c not in ADDED]
+    # one struct, so that no column of the input meets the operator's own
+    docs = docs.select("doc_id", told_apart(docs).alias("row"), "text", F.struct(*names).alias("given"))
+    scanned = scanned_lines(docs, depth)
+    found = recurring_lines(docs, scanned, min_docs, depth, min_constant).select("doc_id", "row", "line_no", "first_doc")
+    found = found.unionByName(repeated_lines(scanned).select("doc_id", "row", "line_no", "first_doc")).filter(~F.col("doc_id").eqNullSafe(F.col("first_doc")))
+    drop = found.groupBy(F.col("doc_id").alias("d"), F.col("row").alias("r")).agg(F.collect_set("line_no").alias("gone"))
+    joined = docs.join(drop, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("row") == F.col("r")), "left")
     lines = F.split("text", "\n")
-    kept = F.filter(lines, lambda x, i: ~F.array_contains("__drop", i))
-    none = F.col("__drop").isNull()
-    out = joined.withColumns({"n_lines": F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long"), "n_dropped": F.when(none, 0).otherwise(F.size(lines) - F.size(kept)).cast("long"), "__text": F.when(none, F.col("text")).otherwise(F.array_join(kept, "\n"))})
-    emptied = F.col("n_dropped").cast("boolean") & (F.trim(F.regexp_replace("__text", r"[\s]", "")) == "")
-    return out.withColumn("emptied", F.coalesce(emptied, F.lit(False))).withColumn("text", F.col("__text")).drop("__d", "__drop", "__text")
+    kept = F.filter(lines, lambda x, i: ~F.array_contains("gone", i))
+    none = F.col("gone").isNull()
+    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long")
+    n_dropped = F.when(none, 0).otherwise(F.size("gone")).cast("long")
+    left = joined.select("given", n_lines.alias("n_lines"), n_dropped.alias("n_dropped"), F.when(none, F.col("text")).otherwise(F.array_join(kept, "\n")).alias("left"))
+    emptied = F.coalesce((F.col("n_dropped") > 0) & (F.trim(F.regexp_replace("left", r"[\s]", "")) == ""), F.lit(False))
+    row = [F.col("left").alias("text") if c == "text" else F.col("given")[c].alias(c) for c in names]
+    return left.select(*row, "n_lines", "n_dropped", emptied.alias("emptied"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from sparelane.llm import components, decontaminate, line_templates, ngram_join
@@ -21,7 +22,7 @@ def contaminated(docs, items, k):
         w = split(t)
         for j in range(max(len(w) - k, 0) + 1 if w else 0):
             windows.setdefault(tuple(w[j : j + k]), set()).add(i)
-    out = {}
+    out = []
     for i, t in docs:
         w = split(t)
         hit, found = set(), set()
@@ -31,9 +32,8 @@ def contaminated(docs, items, k):
                 if of:
                     hit.update(range(j, j + n))
                     found |= of
-        old = out.get(i, (0, set(), set()))
-        out[i] = (max(old[0], len(w)), old[1] | hit, old[2] | found)
-    return sorted(((i, n, len(h), tuple(sorted(f)), bool(h)) for i, (n, h, f) in out.items()), key=repr)
+        out.append((i, len(w), len(hit), tuple(sorted(found)), bool(hit)))
+    return sorted(out, key=repr)
 
 
 def test_contamination(spark, edge_docs, empty_docs, corpus, monkeypatch):
@@ -43,11 +43,14 @@ def test_contamination(spark, edge_docs, empty_docs, corpus, monkeypatch):
     show = lambda df: sorted(((r.doc_id, r.n_words, r.n_hit, tuple(sorted(r["items"])), r.contaminated) for r in df.collect()), key=repr)
     for limit in (decontaminate.BROADCAST_CHARS, 0):
         monkeypatch.setattr(decontaminate, "BROADCAST_CHARS", limit)
+        monkeypatch.setattr(decontaminate, "BROADCAST_PLACES", limit)
         assert show(decontaminate.contamination(edge_docs, bench)) == contaminated(rows, items, 10)
     assert show(decontaminate.contamination(frame(spark, corpus), bench, 4)) == contaminated(corpus, items, 4)
     assert decontaminate.contamination(empty_docs, bench).count() == 0
     none = decontaminate.contamination(edge_docs, bench.limit(0))
-    assert none.filter("contaminated").count() == 0 and none.count() == len({i for i, _ in rows})
+    assert none.filter("contaminated").count() == 0 and none.count() == len(rows)
+    shared = [(7, corpus[45][1]), (7, prose(77, 50)), (None, corpus[45][1]), (None, prose(78, 50)), (None, prose(78, 50))]
+    assert show(decontaminate.contamination(frame(spark, shared), bench)) == contaminated(shared, items, 10)
 
 
 def test_proximity(spark):
@@ -57,6 +60,9 @@ def test_proximity(spark):
     assert collected(index.near("red", "blue", 1)) == [(1, 4, 3)]
     assert collected(index.near("red", "red", 1)) == [(3, 0, 1), (3, 1, 0), (3, 1, 2), (3, 2, 1)]
     assert collected(index.lengths()) == [(1, 5), (2, 2), (3, 3)]
+    assert collected(decontaminate.proximity(docs, "red", "blue", 1)) == [(1, 4, 3)]
+    with pytest.raises(ValueError, match="green"):
+        index.near("red", "green", 1)
 
 
 def by_lines(docs, least, depth, share):
@@ -107,6 +113,11 @@ def test_lines_of_recurring_templates_go(spark, edge_docs, empty_docs):
     for least, depth, share in ((10, 3, 0.6), (4, 1, 0.3), (3, 2, 0.9)):
         got = show(line_templates.drop_lines(frame(spark, docs), least, depth, share))
         assert got == by_lines(docs, least, depth, share)
+    clash = edge_docs.select("*", *(F.lit(7).alias(c) for c in ("n_lines", "n_dropped", "emptied", "__d", "row", "given", "left", "gone", "size")))
+    out = line_templates.drop_lines(clash, 2)
+    assert {r.row for r in out.collect()} == {r.gone for r in out.collect()} == {7} and out.schema["emptied"].dataType.simpleString() == "boolean"
+    shared = [(1, "some plain line\nown a"), (7, "some plain line\nown b"), (7, "other text\nown c"), (None, "some plain line\nown d"), (None, "own e\nown f")]
+    assert sorted(r.text for r in line_templates.drop_lines(frame(spark, shared)).collect()) == sorted(["some plain line\nown a", "own b", "other text\nown c", "own d", "own e\nown f"])
     out = line_templates.drop_lines(edge_docs, 2)
     assert set(out.columns) >= {"key", "leaf", "part", "kept"} and out.count() == edge_docs.count()
     assert line_templates.drop_lines(empty_docs).count() == 0
