@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ._text import BASE, BASE2, BYTE, U, documents, mix, prefix_hash, range_hash, runs, word_hashes, words
 from ._tables import told_apart
-from .scratch import materialize, partitions
+from .scratch import materialize, partitions, tidy
 
 LOW32 = U(0xFFFFFFFF)
 
@@ -296,11 +296,11 @@ def marked_windows(docs: DataFrame, scheme: Scheme, compare: Callable) -> DataFr
     """
     spark = docs.sparkSession
     parts = partitions(spark)
-    dealt = docs.mapInArrow(_scan(scheme, parts), SCHEMA)
-    found = materialize(dealt.repartitionById(parts, F.pmod("part", F.lit(parts)).cast("int")).mapInArrow(_group(scheme, parts), FOUND), "segments")
+    dealt = docs.mapInArrow(tidy(_scan(scheme, parts)), SCHEMA)
+    found = materialize(dealt.repartitionById(parts, F.pmod("part", F.lit(parts)).cast("int")).mapInArrow(tidy(_group(scheme, parts)), FOUND), "segments")
     wanted = found.filter(F.col("kind") != LATER).groupBy(F.col("doc_id").alias("d"), F.col("row").alias("r")).agg(F.collect_list(F.struct("start", "n", "key", "kind")).alias("wanted"))
     texts = docs.join(wanted, (F.col("doc_id") == F.col("d")) & (F.col("row") == F.col("r"))).select("doc_id", "row", "text", "wanted")
-    contents = texts.mapInArrow(_cut(scheme), CONTENTS)
+    contents = texts.mapInArrow(tidy(_cut(scheme)), CONTENTS)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers, contents = [[], [], [], []], []
@@ -318,7 +318,7 @@ def marked_windows(docs: DataFrame, scheme: Scheme, compare: Callable) -> DataFr
             yield pa.RecordBatch.from_arrays([pa.array(doc[at]), pa.array(row[at]), pa.array(start[at] + first), pa.array(count)], ["doc_id", "row", "start", "n"])
 
     later = found.filter(F.col("kind") == LATER).select("doc_id", "row", "start", "n")
-    return later.unionAll(contents.repartition(parts, "key").mapInArrow(run, MARKED))
+    return later.unionAll(contents.repartition(parts, "key").mapInArrow(tidy(run), MARKED))
 
 
 def buffers(contents: list[bytes], at_once: int = 1 << 19) -> Iterator[tuple[np.ndarray, np.ndarray]]:

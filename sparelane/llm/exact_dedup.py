@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import partitions
+from .scratch import partitions, tidy
 
 WHITE = b" \t\n\x0b\x0c\r"
 #: Bytes of labels that a trie holds before it spills (owners) or is emptied (scan tasks).
@@ -235,8 +235,8 @@ def _digests(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def trie_owners(docs: DataFrame) -> DataFrame:
     """One row per distinct normalised text: digest, keep_id, keep_len, group_size."""
-    folded = docs.select("doc_id", "text").mapInArrow(_fold, FOLDED)
-    return folded.repartition(partitions(docs.sparkSession), "nbytes", "h").mapInArrow(_own, OWNERS)
+    folded = docs.select("doc_id", "text").mapInArrow(tidy(_fold), FOLDED)
+    return folded.repartition(partitions(docs.sparkSession), "nbytes", "h").mapInArrow(tidy(_own), OWNERS)
 
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
@@ -246,7 +246,7 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     stays, then the smallest doc_id.
     """
     # ids join to owners by content digest; adaptive execution splits a digest that many rows share
-    rows = docs.select("doc_id", "text").mapInArrow(_digests, "doc_id long, digest string, n_points long")
+    rows = docs.select("doc_id", "text").mapInArrow(tidy(_digests), "doc_id long, digest string, n_points long")
     joined = rows.join(trie_owners(docs).hint("merge"), "digest")
     return joined.select(
         "doc_id",

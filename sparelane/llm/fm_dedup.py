@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 
 from ._text import U, documents, word_hashes, words
 from ._windows import Scheme, buffers, covered, flagged_runs, marked_windows, with_marks, with_rows
+from .scratch import tidy
 
 
 class WaveletMatrix:
@@ -226,4 +227,4 @@ def remove_repeats(docs: DataFrame, window: int = 13, texts: bool = False) -> Da
                 yield pa.RecordBatch.from_arrays([pa.array([x.decode() if isinstance(x, bytes) else x for x in c], t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
     docs = with_rows(docs)
-    return with_marks(docs, repeated_windows(docs, window)).mapInArrow(run, OUT + ", kept string" * texts)
+    return with_marks(docs, repeated_windows(docs, window)).mapInArrow(tidy(run), OUT + ", kept string" * texts)

@@ -8,13 +8,15 @@ conditional log-probabilities over its tokens (pseudo-log-likelihood), and its m
 Word counts over all documents make the vocabulary: every word that occurs ``MIN_COUNT`` times,
 and of a small corpus the most frequent words; hash buckets for the others. It grows with the
 corpus, and the number of classes with its square root. Training goes over every document once,
-in ``ROUNDS`` parts by a hash of the id; in each, every task trains from the shared parameters
-on its documents, and the results are averaged by tokens in pieces, in trees of tasks. Only the
+in ``ROUNDS`` rounds by a hash of the row; in each, parts of about ``PART`` documents (by hash too,
+in order of it) are trained on from the shared parameters, and the results are averaged by tokens in
+pieces, in trees of tasks: scores don't depend on how the input is laid out. Only the
 vocabulary and one set of parameters reach the driver.
 
 Defined results: a null or empty text has no tokens and score 0, mean null; a neighbour
-beyond the text is a padding token; a null ``doc_id`` is scored like any other; empty tables
-give no rows.
+beyond the text is a padding token; a null ``doc_id`` is scored like any other, and rows that repeat
+one each for themselves, equal texts alike; other columns are ignored, whatever their names; empty
+tables give no rows.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._text import LOWER, documents, word_hashes, words
-from .scratch import materialize
+from .scratch import materialize, tidy
 
 #: Classes at least, with as many words each, and the ids of so many.
 CLASSES = 64
@@ -43,6 +45,8 @@ OFFSETS = [o for o in range(-WINDOW, WINDOW + 1) if o]
 #: The last row of the embeddings.
 PAD = -1
 ROUNDS, BATCH, RATE = 2, 8192, 0.01
+#: Documents of a training part.
+PART = 8192
 #: Bytes of parameters in a row of a table.
 PIECE = 1 << 20
 #: Logits are cut to this size, so that their exponentials need no maximum taken off.
@@ -100,7 +104,7 @@ def _counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def vocabulary(docs: DataFrame) -> Vocabulary:
     """The words of all documents that occur ``MIN_COUNT`` times; the most frequent if those are few."""
-    counts = docs.select("doc_id", "text").mapInArrow(_counts, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    counts = docs.select("doc_id", "text").mapInArrow(tidy(_counts), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
     top = counts.filter(F.col("n") >= MIN_COUNT).toArrow()
     if top.num_rows < VOCABULARY - BUCKETS:
         top = counts.orderBy(F.desc("n"), "h").limit(VOCABULARY - BUCKETS).toArrow()
@@ -234,22 +238,28 @@ def _pieces(rows: Iterable[tuple[int, int, bytes, int]]) -> Iterator[pa.RecordBa
         yield pa.RecordBatch.from_arrays([pa.array([piece], pa.int32()), pa.array([task], pa.int32()), pa.array([params], pa.binary()), pa.array([n], pa.int64())], ["piece", "task", "params", "n"])
 
 
-def _average(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total: dict[tuple[int, int], list] = {}
-    for batch in batches:
-        for piece, task, b, n in zip(batch.column("piece").to_pylist(), batch.column("task").to_pylist(), batch.column("params"), batch.column("n").to_pylist(), strict=True):
-            x = np.frombuffer(b.as_buffer(), np.float32).astype(np.float64) * n
-            have = total.setdefault((piece, task), [0.0, 0])
-            have[0], have[1] = have[0] + x, have[1] + n
-    return _pieces((piece, task, (x / n).astype(np.float32).tobytes(), n) for (piece, task), (x, n) in total.items())
+def _average(fan_in: int):
+    """Means of ``fan_in`` neighbouring parts at a time; rows come sorted, so that sums don't depend on where they were made."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[tuple[int, int], list] = {}
+        for batch in batches:
+            for piece, task, b, n in zip(batch.column("piece").to_pylist(), batch.column("task").to_pylist(), batch.column("params"), batch.column("n").to_pylist(), strict=True):
+                x = np.frombuffer(b.as_buffer(), np.float32).astype(np.float64) * n
+                have = total.setdefault((piece, task // fan_in), [0.0, 0])
+                have[0], have[1] = have[0] + x, have[1] + n
+        yield from _pieces((piece, task, (x / n).astype(np.float32).tobytes(), n) for (piece, task), (x, n) in total.items())
+
+    return run
 
 
 def train(docs: DataFrame, vocab: Vocabulary, fan_in: int = 32) -> dict[str, np.ndarray]:
-    """Parameters after one pass over all documents."""
+    """Parameters after one pass over all documents, which are dealt by hash, so that the layout of the input doesn't matter."""
     spark = docs.sparkSession
-    docs = docs.select("doc_id", "text")
+    parts = max(1, -(-docs.count() // PART))
+    hashed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("h"))
     now = pack(initial(vocab.classes))
-    for part in range(ROUNDS):
+    for turn in range(ROUNDS):
         shared = spark.sparkContext.broadcast((now, vocab))
 
         def run(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -264,13 +274,13 @@ def train(docs: DataFrame, vocab: Vocabulary, fan_in: int = 32) -> dict[str, np.
                 b, task = pack(trainer.p), TaskContext.get().partitionId()
                 yield from _pieces((i // PIECE, task, b[i : i + PIECE], trainer.seen) for i in range(0, len(b), PIECE))
 
-        rows = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(ROUNDS)) == part).mapInArrow(run, PIECES)
-        rows = materialize(rows, "params")
+        mine = hashed.filter(F.pmod("h", F.lit(ROUNDS)) == turn).repartitionById(parts, F.pmod(F.shiftright("h", 8), F.lit(parts)).cast("int"))
+        rows = materialize(mine.sortWithinPartitions("h", "doc_id").mapInArrow(tidy(run), PIECES), "params")
         n = (rows.agg(F.max("task")).first()[0] or 0) + 1
         while n > 1:
-            n = -(-n // fan_in)
-            rows = rows.withColumn("task", F.floor(F.col("task") / fan_in).cast("int")).repartition("piece", "task")
-            rows = materialize(rows.mapInArrow(_average, PIECES), "params")
+            by = F.floor(F.col("task") / fan_in)
+            rows = rows.repartition("piece", by).sortWithinPartitions("piece", "task").mapInArrow(tidy(_average(fan_in)), PIECES)
+            rows, n = materialize(rows, "params"), -(-n // fan_in)
         got = {r.piece: bytes(r.params) for r in rows.select("piece", "params").toLocalIterator()}
         if got:
             now = b"".join(got[i] for i in range(len(got)))
@@ -297,7 +307,7 @@ def score_documents(docs: DataFrame, vocab: Vocabulary, p: dict[str, np.ndarray]
             mean = pa.array(total / np.maximum(n, 1), mask=n == 0)
             yield pa.RecordBatch.from_arrays([pa.array(docs_, pa.int64()), pa.array(n.astype(np.int64)), pa.array(total), mean], ["doc_id", "n_tokens", "pll", "pll_mean"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, pll double, pll_mean double")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, n_tokens long, pll double, pll_mean double")
 
 
 def pseudo_likelihood(docs: DataFrame) -> DataFrame:

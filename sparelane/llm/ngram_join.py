@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from ._text import BASE, LOWER, U, documents, mix, prefix_hash, range_hash, word_hashes, words
 from ._windows import NO_ID, _planes, _unplane
 from .components import components
-from .scratch import drop, materialize, partitions
+from .scratch import drop, materialize, partitions, tidy
 
 #: Members of one node that are verified in one task at a time, and members of a list that are paired in one.
 TOGETHER, BLOCK = 256, 20_000
@@ -146,7 +146,7 @@ def hot_shingles(docs: DataFrame, size: int, nodes: int, shingled: int) -> tuple
     if nodes < least:
         return np.zeros(0, U), np.zeros(0, np.int64)
     sample = docs.filter(F.pmod(F.xxhash64("text"), F.lit(SAMPLED)) == 0).select("doc_id", "text")
-    got = sample.mapInArrow(_frequent(size), "h long, n long").groupBy("h").agg((F.sum("n") * SAMPLED).alias("n")).filter(F.col("n") >= least).orderBy("h").toArrow()
+    got = sample.mapInArrow(tidy(_frequent(size)), "h long, n long").groupBy("h").agg((F.sum("n") * SAMPLED).alias("n")).filter(F.col("n") >= least).orderBy("h").toArrow()
     return got.column("h").to_numpy().astype(np.int64).view(U), got.column("n").to_numpy().astype(np.int64)
 
 
@@ -432,7 +432,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     mine = sets.join(salts, F.col("node") == F.col("b")).select("node", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("binary").alias("member"), "n", "shared")
     other = pairs.join(salts, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("salts")).cast("int").alias("salt")).join(sets, F.col("a") == F.col("node")).select(F.col("b").alias("node"), "salt", F.col("a").alias("member"), "n", "shared")
     rows = mine.unionAll(other).repartition(parts, "node", "salt").sortWithinPartitions("node", "salt", F.col("member").asc_nulls_first())
-    return rows.mapInArrow(_verify(percent), "a binary, b binary")
+    return rows.mapInArrow(tidy(_verify(percent)), "a binary, b binary")
 
 
 def _foreign(percent: int, any_of: bool = False):
@@ -512,17 +512,17 @@ def linked_nodes(docs: DataFrame, sets: DataFrame, size: int, percent: int) -> D
     total = sets.agg(F.count("*").alias("rows"), F.sum("n").alias("n")).first()
     hot = spark.sparkContext.broadcast(hot_shingles(docs, size, total.rows, total.n or 0))
     part = F.pmod("part", F.lit(parts)).cast("int")
-    dealt = docs.mapInArrow(_entries(size, parts, hot), DEALT).repartitionById(parts, part)
-    back = dealt.mapInArrow(_shared(parts), DEALT).repartitionById(parts, F.col("part"))
-    nodes = materialize(back.mapInArrow(_linkable(percent), LINKABLE), "linkable")
+    dealt = docs.mapInArrow(tidy(_entries(size, parts, hot)), DEALT).repartitionById(parts, part)
+    back = dealt.mapInArrow(tidy(_shared(parts)), DEALT).repartitionById(parts, F.col("part"))
+    nodes = materialize(back.mapInArrow(tidy(_linkable(percent)), LINKABLE), "linkable")
     hot.unpersist()
     whole = nodes.select("node", "n", "shared")
     groups = nodes.select("gid", "n", "skipped", "prefix").dropDuplicates(["gid"])
-    posted = groups.mapInArrow(_postings, ENTRIES)
+    posted = groups.mapInArrow(tidy(_postings), ENTRIES)
     counts = posted.groupBy("list").agg(F.count("*").alias("k")).filter("k > 1").select("list", F.ceil(F.col("k") / BLOCK).cast("int").alias("blocks"))
     lists = materialize(posted.join(counts, "list").withColumn("block", F.pmod(F.xxhash64("gid"), F.col("blocks")).cast("int")).drop("blocks"), "lists")
     ordered = lists.repartition(parts, "list", "block").sortWithinPartitions("list", "block")
-    votes = ordered.mapInArrow(_leaders(percent), "gid long, leader long, votes long").groupBy("gid", "leader").agg(F.sum("votes").alias("votes"))
+    votes = ordered.mapInArrow(tidy(_leaders(percent)), "gid long, leader long, votes long").groupBy("gid", "leader").agg(F.sum("votes").alias("votes"))
     best = votes.groupBy("gid").agg(F.max_by("leader", F.struct("votes", "leader")).alias("leader"))
     first = nodes.groupBy("gid").agg(F.min("node").alias("first"), F.count("*").alias("k"))
     inner = nodes.select("gid", "node").join(first.filter("k > 1"), "gid").filter("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))
@@ -538,7 +538,7 @@ def linked_nodes(docs: DataFrame, sets: DataFrame, size: int, percent: int) -> D
     labels = components(links)
     for choose, one in ((_foreign(percent), True), (_foreign(percent, any_of=True), True), (_all_foreign(percent), False)):
         todo = _opened(expanded, labels).repartition(parts, "list", "block").sortWithinPartitions("list", "block")
-        both = todo.mapInArrow(_pairs(choose), PAIRS).groupBy("a", "b").agg(F.sum("votes").alias("votes"))
+        both = todo.mapInArrow(tidy(_pairs(choose)), PAIRS).groupBy("a", "b").agg(F.sum("votes").alias("votes"))
         done = tried.select("a", "b").unionAll(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
         both = both.join(done, ["a", "b"], "left_anti")
         if one:
@@ -563,7 +563,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 75, row: C
     names = [] if row is None else ["row"]
     given = docs.select("doc_id", "text", *([] if row is None else [row.alias("row")]))
     kinds = "".join(f", {c} {given.schema[c].dataType.simpleString()}" for c in names)
-    sets = materialize(given.mapInArrow(_sets(size, names), "doc_id long, n long, node binary" + kinds), "sets")
+    sets = materialize(given.mapInArrow(tidy(_sets(size, names)), "doc_id long, n long, node binary" + kinds), "sets")
     nodes = sets.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"))
     labels = linked_nodes(docs, sets.select("n"), size, percent).withColumnRenamed("node", "m")
     # the smallest document of each component; copies are in one node

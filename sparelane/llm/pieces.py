@@ -29,6 +29,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
+from .scratch import tidy
+
 BLANK = "▁"
 # Kinds of pieces and of models in the model file.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -313,4 +315,4 @@ def encode_documents(docs: DataFrame, model: bytes, digest: bool = False) -> Dat
                 column = pa.array(ids, pa.string()) if digest else pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.Array.from_buffers(pa.int32(), len(flat) // 4, [None, pa.py_buffer(bytes(flat))]))
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(counts, pa.int64()), column, pa.array(same, pa.bool_())], [*names, "n_tokens", "ids_sha256" if digest else "token_ids", "round_trip"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)

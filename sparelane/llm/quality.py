@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._text import BASE2, BYTE2, IS_WHITE, documents, mix, prefix_hash, range_hash, word_hashes, words
-from .scratch import materialize
+from .scratch import materialize, tidy
 
 BUCKETS = 1 << 20
 GRAM = 5
@@ -120,13 +120,13 @@ def _scored(docs: DataFrame, table: np.ndarray, columns: list[str]) -> DataFrame
                 at += len(ids)
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(score(shared.value, data, offsets))], [*names, "__weight"])
 
-    return docs.select(*dict.fromkeys([*names, "doc_id", "text"])).mapInArrow(run, schema)
+    return docs.select(*dict.fromkeys([*names, "doc_id", "text"])).mapInArrow(tidy(run), schema)
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 40_000, keep: float = 0.99) -> tuple[np.ndarray, float]:
     """The log ratio of each bucket, and the threshold of the log weight."""
     rows = _labelled(docs, labels, max_labelled)
-    counts = rows.filter("not held").mapInArrow(_count, "bucket int, n long, good long").groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("good").alias("good")).toArrow()
+    counts = rows.filter("not held").mapInArrow(tidy(_count), "bucket int, n long, good long").groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("good").alias("good")).toArrow()
     raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
     at = counts.column("bucket").to_numpy()
     raw[at], target[at] = counts.column("n").to_numpy(), counts.column("good").to_numpy()

@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 
 from ._text import BYTE, U, documents
 from ._windows import Scheme, buffers, covered, flagged_runs, marked_windows, segments, with_marks, with_rows
+from .scratch import tidy
 
 #: Rows of a block; bytes of a file that stay in memory before it goes to disk.
 BLOCK, IN_MEMORY = 1 << 17, 1 << 18
@@ -290,4 +291,4 @@ def remove_repeats(docs: DataFrame, window: int = 100, spans: bool = False) -> D
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
     docs = with_rows(docs)
-    return with_marks(docs, repeated_bytes(docs, window)).mapInArrow(run, OUT + ", kept binary" * spans)
+    return with_marks(docs, repeated_bytes(docs, window)).mapInArrow(tidy(run), OUT + ", kept binary" * spans)

@@ -288,3 +288,13 @@ def test_network_gradients():
     before = loss()
     net.fit(windows, labels, epochs=60)
     assert loss() < before / 2
+
+
+def test_scores_do_not_depend_on_the_layout(spark, corpus, edge_docs, monkeypatch):
+    """Two and nine partitions, several training parts; repeated rows and null ids each for themselves."""
+    monkeypatch.setattr(masked_lm, "PART", 20)
+    docs = [*corpus, *[(r.doc_id, r.text) for r in edge_docs.collect()], (None, "one more"), (3, "one more")]
+    rows = spark.createDataFrame(docs, "doc_id long, text string")
+    got = [sorted((tuple(r) for r in masked_lm.pseudo_likelihood(rows.repartition(n)).collect()), key=repr) for n in (2, 9)]
+    assert got[0] == got[1] and len(got[0]) == len(docs)
+    assert len({r[2] for r in got[0] if r[:2] in ((6, 2), (7, 2), (None, 2))}) == 2  # "one two" and "one more"
