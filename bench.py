@@ -17,9 +17,10 @@ QUERIES = [
     "prog_filter", "block_filter", "cert_intersect", "cert_sparse", "cert_disjoint", "tri_binary", "tri_neighbors",
     "quota_global", "quota_sharded", "coded_sum", "pgm_lookup", "key_lookup", "scan_filter_agg", "lookup_batch",
     "range_rescan", "range_shared", "joint_brute", "joint_winner", "corr_filter", "corr_prune", "corr_implied",
+    "fact_stored", "rank_stored", "rank_held", "region_stored", "range_stored", "corr_stored", "pgm_stored",
 ]
 #: (baseline, mechanism): their ratio is what can be compared across engines.
-RATIOS = [("fact_naive", "fact_sum"), ("rank_brute", "rank_lookup"), ("joint_brute", "joint_winner"), ("tri_binary", "tri_neighbors"), ("range_rescan", "range_shared"), ("cert_intersect", "cert_disjoint"), ("corr_filter", "corr_prune")]
+RATIOS = [("fact_naive", "fact_stored"), ("rank_brute", "rank_stored"), ("rank_brute", "rank_held"), ("range_rescan", "range_stored"), ("corr_filter", "corr_stored"), ("key_lookup", "pgm_stored"), ("fact_naive", "fact_sum"), ("rank_brute", "rank_lookup"), ("joint_brute", "joint_winner"), ("tri_binary", "tri_neighbors"), ("range_rescan", "range_shared"), ("cert_intersect", "cert_disjoint"), ("corr_filter", "corr_prune")]
 
 
 def main() -> None:
@@ -35,18 +36,21 @@ def main() -> None:
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
-    queries, times = catalog.queries(), {}
+    queries, times, built = catalog.queries(), {}, {}
     names = [n for n in QUERIES if not sys.argv[1:] or n in sys.argv[1:]]
     for name in names:
         best = None
-        for _ in range(2):  # the first run also compiles
+        for _ in range(2):  # the first run also compiles, and builds what *_stored and *_held ask
             began = time.perf_counter()
             queries[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
             took = time.perf_counter() - began
+            first = took if best is None else first
             best = took if best is None else min(best, took)
         times[name] = round(best, 3)
+        if name.endswith(("_stored", "_held")):
+            built[name] = round(first - best, 3)
     ratios = {f"{a}/{b}": round(times[a] / times[b], 2) for a, b in RATIOS if a in times and b in times}
-    print(json.dumps({"metric": "total_query_time", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times, "ratios": ratios, "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf")}))
+    print(json.dumps({"metric": "total_query_time", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times, "first_less_best": built, "ratios": ratios, "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf")}))
     spark.stop()
 
 

@@ -5,11 +5,9 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import nearest_rank
-
 # The pairs (experiment, before, after) that a report compares.
 PAIRS = [
     ("factorized", "naive_pairs", "factorized_sums"),
@@ -37,15 +35,24 @@ PAIRS = [
 ]
 
 
+def _at_rank(times: DataFrame, shares: dict[str, float]) -> DataFrame:
+    """experiment, variant, and the value at the nearest rank of each share, from counts of distinct times."""
+    counts = times.groupBy("experiment", "variant", "ns").agg(F.count("*").alias("c"))
+    group = Window.partitionBy("experiment", "variant")
+    placed = counts.withColumn("upto", F.sum("c").over(group.orderBy("ns"))).withColumn("n", F.sum("c").over(group))
+    rank = lambda p: F.floor((F.col("n") - 1) * F.lit(p) + 0.5) + 1
+    return placed.groupBy("experiment", "variant").agg(*(F.min(F.when(F.col("upto") >= rank(p), F.col("ns"))).alias(name) for name, p in shares.items()))
+
+
 def percentiles(times: DataFrame, p: float) -> DataFrame:
-    """experiment, variant, value at the nearest rank of ``ns``. A sample's times are few by design."""
-    return times.groupBy("experiment", "variant").agg(nearest_rank(F.collect_list("ns"), p).alias("value"))
+    """experiment, variant, value at the nearest rank of ``ns``."""
+    return _at_rank(times, {"value": p})
 
 
 def summarize(times: DataFrame) -> DataFrame:
     """experiment, variant, min_ns, median_ns, p99_ns, mean_ns, iters."""
-    ns = F.collect_list("ns")
-    return times.groupBy("experiment", "variant").agg(F.min("ns").alias("min_ns"), nearest_rank(ns, 0.5).alias("median_ns"), nearest_rank(ns, 0.99).alias("p99_ns"), F.avg("ns").alias("mean_ns"), F.count("*").alias("iters"))
+    plain = times.groupBy("experiment", "variant").agg(F.min("ns").alias("min_ns"), F.avg("ns").alias("mean_ns"), F.count("*").alias("iters"))
+    return plain.join(_at_rank(times, {"median_ns": 0.5, "p99_ns": 0.99}), ["experiment", "variant"]).select("experiment", "variant", "min_ns", "median_ns", "p99_ns", "mean_ns", "iters")
 
 
 def best(records: DataFrame) -> DataFrame:

@@ -1,8 +1,8 @@
-"""Stock reservations as functions of a request log (seq, shard)."""
+"""Stock reservations as functions of a request log (seq, shard). What is broadcast has a row a shard."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.ranks import ranks
@@ -24,8 +24,8 @@ def split_stock(spark: SparkSession, stock: int, shards: int, held_back: int = 0
 
 def reserve_sharded(log: DataFrame, quotas: DataFrame) -> DataFrame:
     """seq, shard, outcome: each shard's first ``quota`` requests."""
-    rank = F.row_number().over(Window.partitionBy("shard").orderBy("seq"))
-    return log.withColumn("r", rank).join(F.broadcast(quotas), "shard").select("seq", "shard", F.when(F.col("r") <= F.col("quota"), "ok").otherwise("soldout").alias("outcome"))
+    placed = ranks(log, "seq", "r", by=["shard"]).join(F.broadcast(quotas), "shard")
+    return placed.select("seq", "shard", F.when(F.col("r") < F.col("quota"), "ok").otherwise("soldout").alias("outcome"))
 
 
 def accounting(outcomes: DataFrame, stock: int) -> DataFrame:
@@ -44,8 +44,7 @@ def reserve_restocked(log: DataFrame, stock: int, shards: int, restock: int, hel
     """
     spark = log.sparkSession
     quotas = split_stock(spark, stock, shards, held_back)
-    rank = F.row_number().over(Window.partitionBy("shard").orderBy("seq")) - 1
-    placed = log.withColumn("r", rank).join(F.broadcast(quotas), "shard").withColumn("over", F.col("r") - F.col("quota"))
+    placed = ranks(log, "seq", "r", by=["shard"]).join(F.broadcast(quotas), "shard").withColumn("over", F.col("r") - F.col("quota"))
     dry = placed.filter((F.col("over") >= 0) & (F.col("over") % restock == 0)).select("seq", "shard", "over")
     # served in turn: all but the last grant are whole, so a grant is known from its rank
     grant = F.greatest(F.lit(0), F.least(F.lit(restock), F.lit(min(held_back, stock)) - F.col("rank") * restock))

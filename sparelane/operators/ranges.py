@@ -44,3 +44,22 @@ def shared_counts(state: DataFrame, queries: DataFrame) -> DataFrame:
     stream = state.select(F.lit(None).cast("bigint").alias("q"), "k", F.lit(None).cast("int").alias("sign"), "n").unionByName(ends.withColumn("q", F.col("q").cast("bigint")))
     below = prefix_sums(stream, "k", F.col("n")).filter("q IS NOT NULL")
     return below.groupBy("q").agg(F.greatest(F.lit(0), F.sum(F.col("sign") * F.col("before"))).cast("bigint").alias("n"))
+
+
+def cells(state: DataFrame, width: int = 4096) -> DataFrame:
+    """:func:`shared_state` with the cell of each key, in order: kept as state beside :func:`cell_sums`."""
+    return state.select(F.floor(F.col("k") / width).alias("cell"), "k", "n").repartitionByRange("cell").sortWithinPartitions("k")
+
+
+def cell_sums(cell_table: DataFrame) -> DataFrame:
+    return cell_table.groupBy("cell").agg(F.sum("n").alias("n"))
+
+
+def stored_counts(cell_table: DataFrame, sums: DataFrame, queries: DataFrame, width: int = 4096) -> DataFrame:
+    """q, n from the kept state: whole cells between the ends from their sums, keys only of the cells that hold an end."""
+    asked = queries.select("q", "lo", F.greatest("lo", "hi").alias("hi"), F.floor(F.col("lo") / width).alias("a"), F.floor(F.greatest("lo", "hi") / width).alias("b"))
+    ends = sorted({c for r in asked.select("a", "b").collect() for c in (r.a, r.b)})  # the call's own parameters
+    inside = sums.join(F.broadcast(asked), (F.col("cell") > F.col("a")) & (F.col("cell") < F.col("b"))).select("q", "n")
+    edge = cell_table.filter(F.col("cell").isin(ends)).join(F.broadcast(asked), ((F.col("cell") == F.col("a")) | (F.col("cell") == F.col("b"))) & (F.col("k") >= F.col("lo")) & (F.col("k") < F.col("hi"))).select("q", "n")
+    n = inside.unionAll(edge).groupBy("q").agg(F.sum("n").alias("n"))
+    return queries.select("q").join(n, "q", "left").select("q", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))

@@ -86,15 +86,20 @@ def drift(items: DataFrame, updates: DataFrame) -> DataFrame:
     return items.select("g").distinct().join(by, "g", "left").select("g", F.coalesce("d", F.lit(0)).alias("drift"))
 
 
-def certified(items: DataFrame, updates: DataFrame, weights: DataFrame, scale: int = SCALE) -> DataFrame:
+def answers(items: DataFrame, weights: DataFrame, scale: int = SCALE) -> DataFrame:
+    """g, k, winner, gap of the certified items: kept as state."""
+    gaps = brute_winner(two_skyband(items), weights, scale).select("g", "k", "gap")
+    return lookup(cells(items, scale), weights).join(gaps, ["g", "k"])
+
+
+def certified(items: DataFrame, updates: DataFrame, weights: DataFrame, scale: int = SCALE, state: DataFrame | None = None) -> DataFrame:
     """g, k, winner, hit on the current items.
 
-    A cell of the certified items answers if twice the drift can't close the gap at that very
-    weight; only the other weights are worked out anew.
+    A kept answer (``state``, from :func:`answers`) holds if twice the drift can't close the gap at that
+    very weight; only the other weights are worked out anew.
     """
     now = apply_updates(items, updates)
-    gaps = brute_winner(two_skyband(items), weights, scale).select("g", "k", "gap")
-    held = lookup(cells(items, scale), weights).join(gaps, ["g", "k"]).join(drift(items, updates), "g")
+    held = (answers(items, weights, scale) if state is None else state).join(drift(items, updates), "g")
     tested = held.withColumn("hit", F.coalesce(F.col("gap") > 2 * scale * F.col("drift"), F.lit(True)))
     miss = tested.filter(~F.col("hit")).select("g", "k")
     scored = weak_front(now).join(miss, "g").select("g", "k", F.struct(weighted_score("x", "y", "k", scale).alias("s"), "id").alias("a"))
@@ -102,6 +107,12 @@ def certified(items: DataFrame, updates: DataFrame, weights: DataFrame, scale: i
     return tested.join(anew, ["g", "k"], "left").select("g", "k", F.when(F.col("hit"), F.col("winner")).otherwise(F.col("anew")).alias("winner"), "hit")
 
 
+def counters(certified_answers: DataFrame) -> DataFrame:
+    """hits, misses, rebuilds: answers that held, answers worked out anew, and groups that had any of these."""
+    miss = ~F.col("hit")
+    return certified_answers.agg(F.count_if("hit").alias("hits"), F.count_if(miss).alias("misses"), F.count_distinct(F.when(miss, F.col("g"))).alias("rebuilds"))
+
+
 def hull_in_pandas(items: DataFrame, scale: int = SCALE) -> DataFrame:
     """:func:`cells` for groups whose front is too large for pairwise bounds: a sequential hull per group."""
 

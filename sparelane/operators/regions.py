@@ -7,14 +7,16 @@ to all current rows, ``insert`` adds a row of price k, which later bulks change
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.ranks import prefix_sums
+
 
 def births(log: DataFrame) -> DataFrame:
     """The log with ``adj``: the sum of the region's bulks up to each operation."""
-    order = Window.partitionBy("region").orderBy("seq")
-    return log.withColumn("adj", F.coalesce(F.sum(F.when(F.col("kind") == "bulk", F.col("k"))).over(order), F.lit(0)))
+    step = F.coalesce(F.when(F.col("kind") == "bulk", F.col("k")), F.lit(0)).cast("bigint")
+    return prefix_sums(log.withColumn("step", step), "seq", F.col("step"), "adj", [], ["region"]).withColumn("adj", F.col("adj") + F.col("step")).drop("step")
 
 
 def adjustments(log: DataFrame) -> DataFrame:
@@ -40,6 +42,21 @@ def prices(base: DataFrame, log: DataFrame) -> DataFrame:
     return rows.select("region", "id", price.alias("price"))
 
 
+def base_sums(base: DataFrame) -> DataFrame:
+    """region, n, b: what a sum needs of the base rows; kept as state."""
+    return base.groupBy("region").agg(F.count("*").alias("n"), F.sum("base").alias("b"))
+
+
+def sums_of(state: DataFrame, log: DataFrame) -> DataFrame:
+    """region, n, total from :func:`base_sums` and the log alone; its exceptions are of rows that are there."""
+    inserted = births(log).filter("kind = 'insert'").groupBy("region").agg(F.count("*").alias("m"), F.sum("k").alias("k"), F.sum("adj").alias("births"))
+    own = exceptions(log).groupBy("region").agg(F.sum("exception").alias("e"))
+    out = state.join(inserted, "region", "full").join(adjustments(log), "region", "left").join(own, "region", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    n = zero("n") + zero("m")
+    return out.select("region", n.alias("n"), (zero("b") + zero("k") + zero("total") * n - zero("births") + zero("e")).alias("total"))
+
+
 def region_sums(base: DataFrame, log: DataFrame) -> DataFrame:
     """region, n, total from sums alone: base + adj n - births + exceptions. No base row is joined."""
     rows = members(base, log).groupBy("region").agg(F.count("*").alias("n"), F.sum("base").alias("b"), F.sum("birth").alias("births"))
@@ -64,9 +81,18 @@ def lookup_sum(base: DataFrame, log: DataFrame, probes: DataFrame) -> DataFrame:
 
 
 def filter_counts(base: DataFrame, log: DataFrame, above: int) -> DataFrame:
-    """region, n of base rows with base + adj > above, as base > above - adj with the shift worked out per region first."""
-    limits = base.select("region").distinct().join(adjustments(log), "region", "left").select("region", (F.lit(above) - F.coalesce("total", F.lit(0))).alias("limit"))
-    return base.join(limits, "region").groupBy("region").agg(F.count_if(F.col("base") > F.col("limit")).alias("n"))
+    """region, n of base rows with base + adj > above: the shift is worked out per region, and base > above - adj reaches the scan as a literal.
+
+    Regions are few: a bound for each goes to the driver.
+    """
+    shifts = {r.region: r.total for r in adjustments(log).collect()}
+    limit = F.lit(above)
+    for region, total in sorted(shifts.items(), key=lambda x: str(x[0])):
+        limit = F.when(F.col("region").eqNullSafe(F.lit(region)), F.lit(above - total)).otherwise(limit)
+    least = above - max([0, *shifts.values()])
+    found = base.filter(F.col("base") > F.lit(least)).filter(F.col("base") > limit).groupBy("region").agg(F.count("*").alias("n"))
+    regions = base.select("region").distinct()
+    return regions.join(found.withColumnRenamed("region", "r"), F.col("region").eqNullSafe(F.col("r")), "left").select("region", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def density_sums(base: DataFrame, every: DataFrame, value: int) -> DataFrame:

@@ -14,6 +14,7 @@ from ..functions.scalars import format_ns, ns_per_op, ratio_text
 from ..operators import bench_records, bounds, certificates, coded, correlation, factorized, graphs, joint, learned, lookups, quotas, ranges, ranking, regions
 from ..sources.tables import cents, table
 from . import rules
+from .state import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -76,6 +77,17 @@ def fact_total(s: SparkSession, d: str) -> DataFrame:
     return _whole(factorized.total(factorized.factorized_sum(*_sides(s, d))), "total")
 
 
+@query(PAIRS)
+def fact_stored(s: SparkSession, d: str) -> DataFrame:
+    """The result from the kept state of the two sides."""
+    state = _fact_state(s, d).filter("sum_a <> 0 AND sum_b <> 0")
+    return _whole(factorized.result(state), "total")
+
+
+def _fact_state(s: SparkSession, d: str) -> DataFrame:
+    return stored(s, "fact-state", [f"{d}/lineitem.parquet"], lambda: factorized.build_state(*_sides(s, d)))
+
+
 @query("""
 WITH b AS (SELECT l_partkey AS g, sum(CAST(l_quantity AS BIGINT)) AS sb FROM lineitem WHERE l_returnflag <> 'R' GROUP BY 1),
 a AS (SELECT l_partkey AS g, sum(CASE l_returnflag WHEN 'A' THEN -CAST(l_quantity AS BIGINT) ELSE CAST(l_quantity AS BIGINT) END) AS sa FROM lineitem GROUP BY 1)
@@ -85,7 +97,7 @@ def fact_incr(s: SparkSession, d: str) -> DataFrame:
     """State of the two sides, then rows of flag N inserted into A and rows of flag A deleted from it."""
     rows = table(s, d, "lineitem").filter("l_returnflag <> 'R'")
     deltas = rows.select(F.col("l_partkey").alias("g"), F.lit("A").alias("side"), F.col("l_quantity").cast("bigint").alias("v"), F.when(F.col("l_returnflag") == "N", 1).otherwise(-1).alias("sign"))
-    return _whole(factorized.result(factorized.apply_deltas(factorized.build_state(*_sides(s, d)), deltas)), "total")
+    return _whole(factorized.result(factorized.apply_deltas(_fact_state(s, d), deltas)), "total")
 
 
 @query(f"""
@@ -165,6 +177,27 @@ def rank_certified(s: SparkSession, d: str) -> DataFrame:
     return ranking.certified(_items(s, d), _updates(s, d), _weights(s))
 
 
+def _answers(s: SparkSession, d: str) -> DataFrame:
+    return stored(s, "rank-answers", [f"{d}/part.parquet"], lambda: ranking.answers(_items(s, d), _weights(s)))
+
+
+@query(SQL["rank_certified"])
+def rank_held(s: SparkSession, d: str) -> DataFrame:
+    """The same from kept answers."""
+    return ranking.certified(_items(s, d), _updates(s, d), _weights(s), state=_answers(s, d))
+
+
+@query(f"WITH {ITEMS}, {SCORED}, {DRIFT}, a AS (SELECT o.g, o.gap > 400 * d.drift AS hit FROM ranked o JOIN drift d ON d.g = o.g WHERE o.r = 1) SELECT count(*) FILTER (WHERE hit) AS hits, count(*) FILTER (WHERE NOT hit) AS misses, count(DISTINCT CASE WHEN NOT hit THEN g END) AS rebuilds FROM a")
+def rank_counters(s: SparkSession, d: str) -> DataFrame:
+    return ranking.counters(ranking.certified(_items(s, d), _updates(s, d), _weights(s), state=_answers(s, d)))
+
+
+@query(SQL["rank_lookup"])
+def rank_stored(s: SparkSession, d: str) -> DataFrame:
+    """Lookups in kept cells."""
+    return ranking.lookup(stored(s, "rank-cells", [f"{d}/part.parquet"], lambda: ranking.cells(_items(s, d))), _weights(s))
+
+
 # Regions: orders of a priority, changed by operations.
 
 
@@ -173,25 +206,25 @@ def _base(s: SparkSession, d: str) -> DataFrame:
 
 
 def _log(s: SparkSession, d: str) -> DataFrame:
-    """Operations from events, in the order of their ids: bulk, insert and exception by event_id modulo 40."""
+    """An operation of every event, in the order of their ids: bulk, insert or exception by event_id modulo 3."""
     names = "array('1-URGENT', '2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED', '5-LOW')"
-    e = table(s, d, "events").select("event_id", "user_id", cents("value").alias("c")).filter("event_id % 40 < 3")
+    e = table(s, d, "events").select("event_id", "user_id", cents("value").alias("c"))
     return e.selectExpr(
         f"{names}[cast(user_id % 5 as int)] AS region",
         "event_id AS seq",
-        "CASE event_id % 40 WHEN 0 THEN 'bulk' WHEN 1 THEN 'insert' ELSE 'exception' END AS kind",
-        "CASE event_id % 40 WHEN 0 THEN c % 1000 WHEN 1 THEN c + 5000 ELSE c % 300 - 100 END AS k",
-        "CASE event_id % 40 WHEN 1 THEN 1000000000 + event_id WHEN 2 THEN user_id * 7 ELSE NULL END AS id",
+        "CASE event_id % 3 WHEN 0 THEN 'bulk' WHEN 1 THEN 'insert' ELSE 'exception' END AS kind",
+        "CASE event_id % 3 WHEN 0 THEN c % 1000 WHEN 1 THEN c + 5000 ELSE c % 300 - 100 END AS k",
+        "CASE event_id % 3 WHEN 1 THEN 1000000000 + event_id WHEN 2 THEN user_id * 7 ELSE NULL END AS id",
     )
 
 
 REGIONS = """
 base AS (SELECT o_orderpriority AS region, o_orderkey AS id, CAST(round(o_totalprice * 100) AS BIGINT) AS base FROM orders),
 log AS (SELECT ['1-URGENT', '2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED', '5-LOW'][CAST(user_id % 5 + 1 AS INT)] AS region, event_id AS seq,
-  CASE event_id % 40 WHEN 0 THEN 'bulk' WHEN 1 THEN 'insert' ELSE 'exception' END AS kind,
-  CASE event_id % 40 WHEN 0 THEN c % 1000 WHEN 1 THEN c + 5000 ELSE c % 300 - 100 END AS k,
-  CASE event_id % 40 WHEN 1 THEN 1000000000 + event_id WHEN 2 THEN user_id * 7 ELSE NULL END AS id
-  FROM (SELECT event_id, user_id, CAST(round(value * 100) AS BIGINT) AS c FROM events WHERE event_id % 40 < 3)),
+  CASE event_id % 3 WHEN 0 THEN 'bulk' WHEN 1 THEN 'insert' ELSE 'exception' END AS kind,
+  CASE event_id % 3 WHEN 0 THEN c % 1000 WHEN 1 THEN c + 5000 ELSE c % 300 - 100 END AS k,
+  CASE event_id % 3 WHEN 1 THEN 1000000000 + event_id WHEN 2 THEN user_id * 7 ELSE NULL END AS id
+  FROM (SELECT event_id, user_id, CAST(round(value * 100) AS BIGINT) AS c FROM events)),
 rows_ AS (SELECT region, id, base, -1 AS born FROM base UNION ALL SELECT region, id, k, seq FROM log WHERE kind = 'insert'),
 exc AS (SELECT region, id, arg_max(k, seq) AS e FROM log WHERE kind = 'exception' GROUP BY 1, 2),
 prices AS (SELECT r.region, r.id, CAST(r.base + coalesce((SELECT sum(k) FROM log l WHERE l.kind = 'bulk' AND l.region = r.region AND l.seq > r.born), 0) + coalesce(e.e, 0) AS BIGINT) AS price
@@ -213,6 +246,18 @@ def region_sum(s: SparkSession, d: str) -> DataFrame:
     return regions.region_sums(base, mine)
 
 
+@query(SQL["region_sum"])
+def region_stored(s: SparkSession, d: str) -> DataFrame:
+    """The same from kept sums of the base rows, and ids only of those that an exception names."""
+    base, log = _base(s, d), _log(s, d)
+    state = stored(s, "region-sums", [f"{d}/orders.parquet"], lambda: regions.base_sums(base))
+    named = log.filter("kind = 'exception'")
+    ids = named.select("region", "id").distinct()
+    there = base.select("region", "id").join(ids, ["region", "id"], "left_semi").unionAll(log.filter("kind = 'insert'").select("region", "id").join(ids, ["region", "id"], "left_semi"))
+    mine = log.filter("kind <> 'exception'").unionByName(named.join(there, ["region", "id"], "left_semi"))
+    return regions.sums_of(state, mine)
+
+
 @query(f"WITH {REGIONS} SELECT region, id, e AS exception FROM exc")
 def region_exception(s: SparkSession, d: str) -> DataFrame:
     return regions.exceptions(_log(s, d))
@@ -223,10 +268,10 @@ def region_materialized(s: SparkSession, d: str) -> DataFrame:
     return regions.materialized_sums(_base(s, d), [100, 7])
 
 
-@query(f"WITH {REGIONS}, probes AS (SELECT o_orderpriority AS region, o_orderkey AS id FROM orders, range(2) WHERE o_orderkey % 37 = 0) SELECT p.region, count(*) AS n, CAST(sum(p.price) AS BIGINT) AS total FROM prices p JOIN probes q ON q.region = p.region AND q.id = p.id GROUP BY 1")
+@query(f"WITH {REGIONS}, probes AS (SELECT o_orderpriority AS region, o_orderkey AS id FROM orders, range(2) ) SELECT p.region, count(*) AS n, CAST(sum(p.price) AS BIGINT) AS total FROM prices p JOIN probes q ON q.region = p.region AND q.id = p.id GROUP BY 1")
 def region_lookup(s: SparkSession, d: str) -> DataFrame:
     base = _base(s, d)
-    probes = base.filter("id % 37 = 0").select("region", "id")
+    probes = base.select("region", "id")
     return regions.lookup_sum(base, _log(s, d), probes.unionAll(probes))
 
 
@@ -501,6 +546,14 @@ def pgm_lookup(s: SparkSession, d: str) -> DataFrame:
     return learned.lookup(_probes(s, d), placed, learned.segments(placed))
 
 
+@query(SQL["pgm_lookup"])
+def pgm_stored(s: SparkSession, d: str) -> DataFrame:
+    """Lookups in kept positions and segments."""
+    source = [f"{d}/lineitem.parquet"]
+    placed = stored(s, "pgm-positions", source, lambda: learned.positions(_line_keys(s, d)))
+    return learned.lookup(_probes(s, d), placed, stored(s, "pgm-segments", source, lambda: learned.segments(placed)))
+
+
 @query("WITH q AS (SELECT event_id AS q, user_id * 100 + event_id % 7 AS k FROM events) SELECT q, k, o_totalprice AS price FROM q JOIN orders ON o_orderkey = k")
 def key_lookup(s: SparkSession, d: str) -> DataFrame:
     t = table(s, d, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("price"))
@@ -560,6 +613,14 @@ def range_shared(s: SparkSession, d: str) -> DataFrame:
     return ranges.shared_counts(ranges.shared_state(_line_keys(s, d)), _ranges(s))
 
 
+@query(COUNTS)
+def range_stored(s: SparkSession, d: str) -> DataFrame:
+    """Counts from kept cells of the shared state."""
+    source = [f"{d}/lineitem.parquet"]
+    keys = stored(s, "range-cells", source, lambda: ranges.cells(ranges.shared_state(_line_keys(s, d))))
+    return ranges.stored_counts(keys, stored(s, "range-sums", source, lambda: ranges.cell_sums(keys)), _ranges(s))
+
+
 @query(MORE_COUNTS)
 def range_insert(s: SparkSession, d: str) -> DataFrame:
     return ranges.shared_counts(ranges.insert_shared(ranges.shared_state(_line_keys(s, d)), _inserted(s)), _ranges(s))
@@ -659,6 +720,17 @@ def corr_prune(s: SparkSession, d: str) -> DataFrame:
     return correlation.count_below_pruned(encoded, model, span, BELOW).select("n")
 
 
+@query(f"WITH {XY} SELECT count(*) AS n FROM xy WHERE y < {BELOW}")
+def corr_stored(s: SparkSession, d: str) -> DataFrame:
+    """The count from kept residuals and their range."""
+    source = [f"{d}/part.parquet"]
+    line = stored(s, "corr-model", source, lambda: s.createDataFrame([correlation.whole_model(_xy(s, d))], "a bigint, b bigint")).first()
+    model = (line.a, line.b)
+    encoded = stored(s, "corr-residuals", source, lambda: correlation.encode(_xy(s, d), model))
+    r = stored(s, "corr-range", source, lambda: correlation.residual_range(encoded)).first()
+    return correlation.count_below_pruned(encoded, model, (r.rmin or 0, r.rmax or 0), BELOW).select("n")
+
+
 @query(f"WITH {XY} SELECT id, x, y FROM xy WHERE y < {BELOW}")
 def corr_implied(s: SparkSession, d: str) -> DataFrame:
     """The filter with the bound on x that the model implies, which reaches the scan."""
@@ -680,11 +752,11 @@ def corr_blocks(s: SparkSession, d: str) -> DataFrame:
 
 # Benchmark records, from event values as times.
 
-TIMES = "times AS (SELECT event_type AS experiment, CASE WHEN user_id % 2 = 0 THEN 'even' ELSE 'odd' END AS variant, CAST(round(value * 100) AS BIGINT) AS ns FROM events WHERE event_id < 400)"
+TIMES = "times AS (SELECT event_type AS experiment, CASE WHEN user_id % 2 = 0 THEN 'even' ELSE 'odd' END AS variant, CAST(round(value * 100) AS BIGINT) AS ns FROM events)"
 
 
 def _times(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "events").filter("event_id < 400").select(F.col("event_type").alias("experiment"), F.when(F.col("user_id") % 2 == 0, "even").otherwise("odd").alias("variant"), cents("value").alias("ns"))
+    return table(s, d, "events").select(F.col("event_type").alias("experiment"), F.when(F.col("user_id") % 2 == 0, "even").otherwise("odd").alias("variant"), cents("value").alias("ns"))
 
 
 def _rank(p: float) -> str:
@@ -702,10 +774,10 @@ def bench_summary(s: SparkSession, d: str) -> DataFrame:
 
 
 def _records(s: SparkSession, d: str) -> DataFrame:
-    return bench_records.summarize(_times(s, d)).select("experiment", "variant", F.lit(400).alias("n"), F.lit("{}").alias("params"), "median_ns")
+    return bench_records.summarize(_times(s, d)).select("experiment", "variant", F.lit(1).alias("n"), F.lit("{}").alias("params"), "median_ns")
 
 
-@query(f"WITH {TIMES}, m AS (SELECT experiment, variant, {_rank(0.5)} AS t FROM times GROUP BY 1, 2) SELECT a.experiment, 'even' AS before, 'odd' AS after, 400 AS n, '{{}}' AS params, a.t / b.t AS speedup FROM m a JOIN m b ON a.experiment = b.experiment AND a.variant = 'even' AND b.variant = 'odd' WHERE a.t > 0 AND b.t > 0")
+@query(f"WITH {TIMES}, m AS (SELECT experiment, variant, {_rank(0.5)} AS t FROM times GROUP BY 1, 2) SELECT a.experiment, 'even' AS before, 'odd' AS after, 1 AS n, '{{}}' AS params, a.t / b.t AS speedup FROM m a JOIN m b ON a.experiment = b.experiment AND a.variant = 'even' AND b.variant = 'odd' WHERE a.t > 0 AND b.t > 0")
 def bench_speedup(s: SparkSession, d: str) -> DataFrame:
     records = _records(s, d)
     pairs = [(x, "even", "odd") for x in ("click", "view", "purchase", "signup", "login", "logout", "error", "search", "add_to_cart")]
