@@ -1,10 +1,10 @@
 """SentencePiece encoding and decoding as a weighted finite-state transducer.
 
-The model compiles into three transducers: the normaliser (dummy prefix, escaped blanks),
-the pieces (a state for the piece read last, an arc for each piece that may follow) and the
-byte fallback (arcs of byte pieces for a character without a piece). An input is composed
-with them as a lattice over its characters, and its ids are the labels of the shortest path
-in the tropical semiring.
+An input is composed lazily with the pieces (a state for the piece read last, an arc for each
+piece that may follow) and the byte fallback (arcs of byte pieces for a character without a piece) as
+a lattice over its characters, and its ids are the labels of the shortest path in the tropical
+semiring. Arcs are looked up when the composition reaches them, no machine is written out; the
+normaliser (dummy prefix, squeezed and escaped blanks) is applied as a rewriting of the text before.
 
 Weights: in a unigram model an arc costs minus its piece's score. In a merge (BPE) model an
 arc costs nothing if merging leaves its piece and the one before as they are, and is
@@ -14,7 +14,9 @@ Because no piece holds a blank after another character, paths of blank-led units
 independent; each distinct unit is searched once and kept in a bounded table of the worker.
 
 Defined results: a null or empty text has no tokens and decodes to the empty text; a text
-with U+2581 itself decodes to blanks there, as the format wants; rows are independent.
+with U+2581 itself decodes to blanks there, as the format wants; rows are independent; input
+columns named n_tokens, token_ids or round_trip give way. Models with a precompiled character map,
+or with a piece that holds a blank after another character, are refused with a ValueError.
 """
 
 from __future__ import annotations
@@ -36,8 +38,8 @@ BLANK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, MERGES = 1, 2
 INF = float("inf")
-#: Distinct units whose ids a worker keeps.
-KEPT_UNITS = 1_000_000
+#: Distinct units whose ids a worker keeps, and pairs of pieces whose verdict it keeps: some tens of MB, since it waits beside the JVM.
+KEPT_UNITS = KEPT_PAIRS = 250_000
 
 
 def _fields(b: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -174,7 +176,7 @@ class Transducer:
                 j += 1
 
     def _compare(self, a: int, b: int) -> bool:
-        if len(self.may) > 1_000_000:
+        if len(self.may) > KEPT_PAIRS:
             self.may.clear()
         known = self.may[a << 32 | b] = self.follows(self.name[a], self.name[b])
         return known
