@@ -66,7 +66,8 @@ class FMIndex:
         flat[np.arange(len(text)) + np.repeat(np.arange(m), sizes)] = text
         self.k, self.n = k, len(flat)
         rank, length = flat, 1
-        self.order = np.argsort(flat, kind="stable")
+        # rows that share k symbols may stand in any order: intervals hold all of them or none
+        self.order = np.argsort(flat)
         while length < k:
             step = min(length, k - length)
             # what follows a sequence's end is not part of it
@@ -74,7 +75,7 @@ class FMIndex:
             pair[: max(0, self.n - step)] = rank[step:]
             pair[self._ends(flat, length)] = 0
             pair += rank.astype(np.int64) * (int(rank.max(initial=0)) + 1)
-            self.order = np.argsort(pair, kind="stable")
+            self.order = np.argsort(pair)
             rank = _ranks(pair, self.order)
             length += step
         self.flat = flat
@@ -84,14 +85,15 @@ class FMIndex:
         self.first = np.concatenate([[0], np.cumsum(np.bincount(flat, minlength=self.sigma))])
         self.shift = self.bwt.base(np.arange(self.sigma))
         common = np.zeros(self.n, np.int8)
-        alive = np.ones(max(0, self.n - 1), bool)
-        a, b = self.order[:-1], self.order[1:]
+        at, a, b = np.arange(1, self.n), self.order[:-1], self.order[1:]
         for i in range(k):
+            inside = (a + i < self.n) & (b + i < self.n)
             x, y = flat[np.minimum(a + i, self.n - 1)], flat[np.minimum(b + i, self.n - 1)]
-            alive &= (x == y) & (x != 0) & (a + i < self.n) & (b + i < self.n)
-            if not alive.any():
+            more = np.flatnonzero((x == y) & (x != 0) & inside)
+            if not len(more):
                 break
-            common[1:] += alive
+            at, a, b = at[more], a[more], b[more]
+            common[at] = i + 1
         self.common = common
         self._bounds: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -163,8 +165,7 @@ class FMIndex:
 
 def _ids(hashes: np.ndarray) -> np.ndarray:
     """1, 2, ... for each distinct word."""
-    order = np.argsort(hashes, kind="stable")
-    return _ranks(hashes, order) + 1
+    return _ranks(hashes, np.argsort(hashes)) + 1
 
 
 def _ranks(keys: np.ndarray, order: np.ndarray) -> np.ndarray:
@@ -189,10 +190,12 @@ def _compare(k: int):
         length, low, _ = index.matching_statistics(text, bounds)
         # the smallest document among the rows of each stretch of k
         owner = np.repeat(doc, np.diff(bounds) + 1)[index.order]
-        new = np.flatnonzero(index.common < k)
-        least = np.minimum.reduceat(owner, new)
+        new = index.common < k
+        least = np.minimum.reduceat(owner, np.flatnonzero(new))[np.cumsum(new) - 1]
         mine = np.repeat(doc, np.diff(bounds))
-        earlier = (length == k) & (least[np.searchsorted(new, low, "right") - 1] < mine)
+        whole = np.flatnonzero(length == k)
+        earlier = np.zeros(len(length), bool)
+        earlier[whole] = least[low[whole]] < mine[whole]
         return flagged_runs(earlier, bounds)
 
     return run
