@@ -4,7 +4,7 @@ Target and raw text each get a generative model of hashed n-grams: byte n-grams
 document, and bigrams of word shapes with whether a word repeats a recent one. A document's
 log weight sums log(target / raw) over its n-grams where that falls below ``-CUT`` (truncated
 weights: plain text is neutral, and only what the target lacks counts), per ``SCALE`` n-grams.
-Keys are log weight plus a Gumbel variable drawn from a hash of the doc_id, and the k largest
+Keys are log weight plus a Gumbel variable drawn from a hash of doc_id and text, and the k largest
 keys are the sample (Gumbel top-k: sampling without replacement by weight).
 
 Both models are fitted on labelled rows, at most ``max_labelled`` of them, those of smallest
@@ -15,8 +15,9 @@ refining a histogram, never by a global sort.
 
 Defined results: a null text is empty; a document without n-grams has log weight 0; without
 labelled rows of both kinds every document has weight 0 and is kept; a null ``doc_id`` is a
-document like any other; rows that repeat one have equal Gumbel variables; a null label is
-not good; a doc_id labelled twice is good only if both say so.
+document like any other; rows equal in doc_id and text have equal keys and stay or go together, also
+where that makes more than k; a null label is not good; a doc_id labelled twice is good only if both
+say so; input columns named log_weight, key or kept give way, __weight and __draw are taken.
 """
 
 from __future__ import annotations
@@ -152,8 +153,12 @@ def threshold(good: np.ndarray, bad: np.ndarray, keep: float) -> float:
     return float(cuts[best].mean())
 
 
-def gumbel(seed: int) -> F.Column:
-    u = (F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+#: A column of the scan that the operator adds for itself, beside ``__weight``.
+DRAW = "__draw"
+
+
+def gumbel() -> F.Column:
+    u = (F.pmod(F.col(DRAW), F.lit(1 << 52)) + 0.5) / float(1 << 52)
     return -F.log(-F.log(u))
 
 
@@ -180,10 +185,11 @@ def resample(docs: DataFrame, labels: DataFrame, max_labelled: int = 40_000, kee
     """Every row with doc_id, log_weight, key and kept; ``columns`` of the input go along."""
     table, least = fit(docs, labels, max_labelled, keep)
     names = list(dict.fromkeys(["doc_id", *(c for c in columns or [] if c not in (WEIGHT, KEY, KEPT))]))
-    key = (F.col("__weight") + gumbel(seed)).alias(KEY)
-    keys = materialize(_scored(docs, table, ["doc_id"]).select("doc_id", F.col("__weight").alias(WEIGHT), key), "keys")
+    docs = docs.withColumn(DRAW, F.xxhash64("doc_id", "text", F.lit(seed)))
+    key = (F.col("__weight") + gumbel()).alias(KEY)
+    keys = materialize(_scored(docs, table, ["doc_id", DRAW]).select("doc_id", F.col("__weight").alias(WEIGHT), key), "keys")
     k = keys.filter(F.col(WEIGHT) >= least).count()
     edge = kth_largest(keys, k) if k else np.inf
     # columns are scored once more rather than joined: no shuffle of texts
-    rows = keys if names == ["doc_id"] else _scored(docs, table, names).select(*names, F.col("__weight").alias(WEIGHT), key)
+    rows = keys if names == ["doc_id"] else _scored(docs, table, [*names, DRAW]).select(*names, F.col("__weight").alias(WEIGHT), key)
     return rows.withColumn(KEPT, F.col(KEY) >= F.lit(float(edge)))
