@@ -160,6 +160,8 @@ def _code(df: np.ndarray) -> np.ndarray:
 
 def _send(part: np.ndarray, a: np.ndarray, n: np.ndarray, h: np.ndarray, code: np.ndarray | None) -> Iterator[pa.RecordBatch]:
     """Rows (node, shingle) by part, rows of a node together; each node once in a blob."""
+    if not len(part):
+        return
     part = part.astype(np.uint16 if int(part.max(initial=0)) < 1 << 16 else np.uint32)  # 16 bits sort by radix
     order = np.argsort(part, kind="stable")
     part, a, n, h = part[order], a[order], n[order], h[order]

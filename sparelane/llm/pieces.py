@@ -31,7 +31,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .scratch import tidy
+from .scratch import KEPT, tidy
 
 BLANK = "▁"
 # Kinds of pieces and of models in the model file.
@@ -39,7 +39,7 @@ NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, MERGES = 1, 2
 INF = float("inf")
 #: Distinct units whose ids a worker keeps, and pairs of pieces whose verdict it keeps: some tens of MB, since it waits beside the JVM.
-KEPT_UNITS = KEPT_PAIRS = 250_000
+KEPT_UNITS = KEPT_PAIRS = 500_000
 
 
 def _fields(b: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -276,7 +276,7 @@ class Transducer:
         return text[1:] if self.dummy and text[:1] == " " else text
 
 
-_compiled: dict[bytes, Transducer] = {}
+_compiled: dict[bytes, Transducer] = KEPT.setdefault("pieces", {})
 
 
 def compiled(model: bytes) -> Transducer:
@@ -317,4 +317,4 @@ def encode_documents(docs: DataFrame, model: bytes, digest: bool = False) -> Dat
                 column = pa.array(ids, pa.string()) if digest else pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.Array.from_buffers(pa.int32(), len(flat) // 4, [None, pa.py_buffer(bytes(flat))]))
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(counts, pa.int64()), column, pa.array(same, pa.bool_())], [*names, "n_tokens", "ids_sha256" if digest else "token_ids", "round_trip"])
 
-    return docs.mapInArrow(tidy(run), schema)
+    return docs.mapInArrow(tidy(run, "pieces"), schema)

@@ -68,10 +68,20 @@ def discard(spark: SparkSession, paths: list[str] | None = None) -> None:
     _delete(spark, [f"{shared_root(spark)}/sparelane"] if paths is None else paths)
 
 
-def tidy(run: Callable) -> Callable:
-    """A function for mapInArrow whose worker gives memory back at the end: workers wait for later tasks, beside the JVM."""
+#: What operators keep in a worker between tasks, by name.
+KEPT: dict[str, dict] = {}
+
+
+def tidy(run: Callable, keep: str = "") -> Callable:
+    """A function for mapInArrow whose worker gives memory back at the end: workers wait for later tasks, beside the JVM.
+
+    Workers serve one operator after another; what others kept goes at the beginning.
+    """
 
     def to_the_end(batches: Iterable) -> Iterator:
+        for name, kept in KEPT.items():
+            if name != keep:
+                kept.clear()
         try:
             yield from run(batches)
         finally:
