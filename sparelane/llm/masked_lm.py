@@ -1,13 +1,15 @@
 """Masked pseudo-likelihood scores from a bidirectional window network trained in numpy.
 
 The network predicts every token from the ``WINDOW`` tokens on either side of it: their
-embeddings, scaled by position, are added and squashed; a softmax over word classes and one
-over the words of the class give the probability. A document's score is the sum of these
-conditional log-probabilities over its tokens (pseudo-log-likelihood), and its mean.
+embeddings, scaled by position, are added and squashed. The probability is a product along a Huffman
+tree of the vocabulary: a softmax over the ``TOP`` subtrees below its top, then a logistic choice at each
+node on the way to the word. It sums to one over the vocabulary, and a token's cost grows with the
+entropy of the words, not with their number. A document's score is the sum of these conditional
+log-probabilities over its tokens (pseudo-log-likelihood), and its mean.
 
 Word counts over all documents make the vocabulary: every word that occurs ``MIN_COUNT`` times,
 and of a small corpus the most frequent words; hash buckets for the others. It grows with the
-corpus, and the number of classes with its square root. Training goes over every document once,
+corpus. Ids are looked up once and kept as a table. Training goes over every document once,
 in ``ROUNDS`` rounds by a hash of the row; in each, parts of about ``PART`` documents (by hash too,
 in order of it) are trained on from the shared parameters, and the results are averaged by tokens in
 pieces, in trees of tasks: scores don't depend on how the input is laid out. Only the
@@ -21,7 +23,6 @@ tables give no rows.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -33,13 +34,14 @@ from pyspark.sql import functions as F
 from ._text import LOWER, documents, word_hashes, words
 from .scratch import materialize, tidy
 
-#: Classes at least, with as many words each, and the ids of so many.
-CLASSES = 64
-VOCABULARY = CLASSES * CLASSES
+#: Ids at least.
+VOCABULARY = 4096
 #: Occurrences from which a word has an id of its own in any corpus.
 MIN_COUNT = 50
-#: Hash buckets among the vocabulary at least, for words that are not in it.
-BUCKETS = 256
+#: Hash buckets among the ids at least, for words without their own, and words for each bucket more.
+BUCKETS, WORDS_PER_BUCKET = 256, 32
+#: Subtrees below the top of the tree.
+TOP = 64
 WINDOW, DIM = 2, 24
 OFFSETS = [o for o in range(-WINDOW, WINDOW + 1) if o]
 #: The last row of the embeddings.
@@ -53,9 +55,8 @@ PIECE = 1 << 20
 BOUND = 40.0
 
 
-def shapes(classes: int) -> dict[str, tuple[int, ...]]:
-    n = classes * classes
-    return {"E": (n + 1, DIM), "A": (len(OFFSETS), DIM), "b": (DIM,), "C": (DIM, classes), "c": (classes,), "W": (n, DIM), "w": (n,)}
+def shapes(size: int) -> dict[str, tuple[int, ...]]:
+    return {"E": (size + 1, DIM), "A": (len(OFFSETS), DIM), "b": (DIM,), "C": (DIM, TOP), "c": (TOP,), "N": (size - 1, DIM + 1)}
 
 
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -65,16 +66,67 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return word_hashes(data, starts, ends).view(np.int64) if len(starts) else np.zeros(0, np.int64), bounds
 
 
+class Tree:
+    """Huffman tree of the ids: the subtree of each, and the nodes from there to it.
+
+    ``nodes[starts[i]:starts[i + 1]]`` are those of id i, as twice the node plus the branch.
+    """
+
+    def __init__(self, weights: np.ndarray):
+        size = len(weights)
+        order = np.argsort(weights, kind="stable")
+        leaves, made, parent, branch = weights[order].tolist(), [], np.zeros(2 * size - 1, np.int64), np.zeros(2 * size - 1, np.int64)
+        i = j = 0
+        pairs = []
+        for _ in range(size - 1):  # the two lightest of the leaves and nodes left, both in order of weight
+            both = []
+            for _ in range(2):
+                if j >= len(made) or i < size and leaves[i] <= made[j]:
+                    both.append((leaves[i], i))
+                    i += 1
+                else:
+                    both.append((made[j], size + j))
+                    j += 1
+            made.append(both[0][0] + both[1][0])
+            pairs.append((both[0][1], both[1][1]))
+        pairs = np.array(pairs)
+        name = np.concatenate([order, np.arange(size, 2 * size - 1)])
+        for k in (0, 1):
+            parent[name[pairs[:, k]]] = np.arange(size, 2 * size - 1)
+            branch[name[pairs[:, k]]] = k
+        top = 2 * size - TOP  # the last TOP - 1 nodes hang together at the root
+        parent[-1] = 2 * size
+        below = np.flatnonzero((parent >= top) & (np.arange(2 * size - 1) < top))
+        now, at, steps = np.arange(size), np.arange(size), []
+        while len(now):
+            inside = parent[now] < top
+            now, at = now[inside], at[inside]
+            steps.append((at, 2 * (parent[now] - size) + branch[now]))
+            now = parent[now]
+        leaf, node = (np.concatenate(x) for x in zip(*steps, strict=True))
+        by = np.argsort(leaf, kind="stable")
+        self.nodes = node[by].astype(np.int32)
+        self.starts = np.concatenate([[0], np.cumsum(np.bincount(leaf, minlength=size))])
+        self.depth = np.diff(self.starts).astype(np.uint16)
+        end = np.arange(size)
+        for at, _ in steps:
+            end[at] = parent[end[at]]
+        self.subtree = np.searchsorted(below, end)
+
+
 class Vocabulary:
     """Word hashes in order of their ids; other words share the ids after them, ``BUCKETS`` at least."""
 
-    def __init__(self, hashes: np.ndarray):
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray | None = None, rest: int = 0):
         self.order = np.argsort(hashes)
         self.sorted, self.n = hashes[self.order], len(hashes)
-        self.classes = max(CLASSES, math.isqrt(self.n + BUCKETS - 1) + 1)
+        self.size = max(VOCABULARY, self.n + BUCKETS + max(0, self.n + BUCKETS - VOCABULARY) // WORDS_PER_BUCKET)
+        buckets = self.size - self.n
+        counts = np.ones(self.n, np.int64) if counts is None else counts
+        self.tree = Tree(np.concatenate([counts, np.full(buckets, max(1, rest // buckets))]))
 
     def ids(self, hashes: np.ndarray) -> np.ndarray:
-        other = self.n + (hashes.view(np.uint64) % np.uint64(self.classes**2 - self.n)).astype(np.int64)
+        other = self.n + (hashes.view(np.uint64) % np.uint64(self.size - self.n)).astype(np.int64)
         if not len(self.sorted):
             return other
         at = np.minimum(np.searchsorted(self.sorted, hashes), len(self.sorted) - 1)
@@ -104,46 +156,52 @@ def _counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def vocabulary(docs: DataFrame) -> Vocabulary:
     """The words of all documents that occur ``MIN_COUNT`` times; the most frequent if those are few."""
-    counts = docs.select("doc_id", "text").mapInArrow(tidy(_counts), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    counts = materialize(docs.select("doc_id", "text").mapInArrow(tidy(_counts), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "counts")
     top = counts.filter(F.col("n") >= MIN_COUNT).toArrow()
     if top.num_rows < VOCABULARY - BUCKETS:
         top = counts.orderBy(F.desc("n"), "h").limit(VOCABULARY - BUCKETS).toArrow()
     h, n = (top.column(c).to_numpy().astype(np.int64) for c in ("h", "n"))
-    return Vocabulary(h[np.lexsort((h, -n))])
+    by, every = np.lexsort((h, -n)), counts.agg(F.sum("n")).first()[0] or 0
+    return Vocabulary(h[by], n[by], every - int(n.sum()))
 
 
-def initial(classes: int = CLASSES, seed: int = 5) -> dict[str, np.ndarray]:
+def initial(size: int = VOCABULARY, seed: int = 5) -> dict[str, np.ndarray]:
     r = np.random.default_rng(seed)
-    scale = {"E": 0.3, "C": 0.1, "W": 0.1}
-    out = {k: (r.normal(0, scale[k], s) if k in scale else np.zeros(s)).astype(np.float32) for k, s in shapes(classes).items()}
+    scale = {"E": 0.3, "C": 0.1, "N": 0.1}
+    out = {k: (r.normal(0, scale[k], s) if k in scale else np.zeros(s)).astype(np.float32) for k, s in shapes(size).items()}
     out["A"] += 1
+    out["N"][:, DIM] = 0
     return out
 
 
 def pack(p: dict[str, np.ndarray]) -> bytes:
-    return b"".join(p[k].astype(np.float32).tobytes() for k in shapes(CLASSES))
+    return b"".join(p[k].astype(np.float32).tobytes() for k in shapes(VOCABULARY))
 
 
-def unpack(b: bytes, classes: int) -> dict[str, np.ndarray]:
+def unpack(b: bytes, size: int) -> dict[str, np.ndarray]:
     flat, at, out = np.frombuffer(b, np.float32), 0, {}
-    for k, s in shapes(classes).items():
+    for k, s in shapes(size).items():
         n = int(np.prod(s))
         out[k] = flat[at : at + n].reshape(s).copy()
         at += n
     return out
 
 
-def contexts(ids: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """The ids at each offset from each token; ``PAD`` beyond its document."""
-    n = len(ids)
+def padded(ids: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids with ``WINDOW`` of ``PAD`` around each document, and the place of each token."""
     doc = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-    out = np.full((n, len(OFFSETS)), PAD, np.int64)
-    for k, o in enumerate(OFFSETS):
-        a, b = max(0, -o), n - max(0, o)
-        if a < b:
-            same = doc[a:b] == doc[a + o : b + o]
-            out[a:b, k][same] = ids[a + o : b + o][same]
-    return out
+    at = np.arange(len(ids)) + WINDOW * (doc + 1)
+    seq = np.full(len(ids) + WINDOW * len(bounds), PAD, np.int64)
+    seq[at] = ids
+    return seq, at
+
+
+def blocks(seq: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``BATCH`` tokens at a time, with the neighbours on both sides."""
+    for i in range(0, len(at), BATCH):
+        here = at[i : i + BATCH]
+        first = here[0] - WINDOW
+        yield seq[first : here[-1] + WINDOW + 1], here - first
 
 
 def _softmax(x: np.ndarray, target: np.ndarray, scale: float) -> tuple[np.ndarray, np.ndarray | None]:
@@ -161,75 +219,138 @@ def _softmax(x: np.ndarray, target: np.ndarray, scale: float) -> tuple[np.ndarra
     return said, x
 
 
-def forward(p: dict[str, np.ndarray], ctx: np.ndarray, ids: np.ndarray, grads: dict[str, np.ndarray] | None = None) -> np.ndarray:
-    """log p(token | both sides) of each token; adds the gradient of minus their mean to ``grads``."""
-    # sorted by class, so that a class is a slice
-    classes = len(p["c"])
-    cls, scale = ids // classes, 1 / len(ids) if grads is not None else 0.0
-    order = np.argsort(cls.astype(np.min_scalar_type(classes)), kind="stable")
-    ids, cls, ctx = ids[order], cls[order], ctx[order].T.copy()
-    xs = [p["E"].take(c, axis=0) for c in ctx]
-    z = xs[0] * p["A"][0] + p["b"]
-    for x, a in zip(xs[1:], p["A"][1:], strict=True):
-        z += x * a
-    h = np.tanh(z)
-    said, dc = _softmax(h @ p["C"] + p["c"], cls, scale)
-    cut = np.searchsorted(cls, np.arange(classes + 1))
-    dh = dc @ p["C"].T if scale else None
-    for c in np.flatnonzero(np.diff(cut)).tolist():
-        at, block = slice(cut[c], cut[c + 1]), slice(c * classes, (c + 1) * classes)
-        more, d = _softmax(h[at] @ p["W"][block].T + p["w"][block], ids[at] - c * classes, scale)
-        said[at] += more
+def _sums(keys: np.ndarray, x: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys (rows of an array of ``size``) and the sum of each one's rows."""
+    seen = np.zeros(size, bool)
+    seen[keys] = True
+    rows, width = np.flatnonzero(seen), x.shape[1]
+    place = np.empty(size, np.int64)
+    place[rows] = np.arange(0, len(rows) * width, width)
+    at = place.take(keys, mode="wrap")[:, None] + np.arange(width)
+    return rows, np.bincount(at.ravel(), x.ravel(), len(rows) * width).reshape(-1, width).astype(x.dtype)
+
+
+def forward(p: dict[str, np.ndarray], tree: Tree, seq: np.ndarray, at: np.ndarray, grads: dict | None = None) -> np.ndarray:
+    """log p(token | both sides) of each token; sets ``grads`` to the gradient of minus their mean, of E and N as (rows, values)."""
+    scale = 1 / len(at) if grads is not None else 0.0
+    # longest paths first, so that those that go on at a depth are the first rows
+    count = tree.depth[seq[at]]
+    order = np.argsort(np.uint16(65535) - count, kind="stable")
+    at, count = at[order], count[order]
+    near, ids, m = p["E"].take(seq, axis=0, mode="wrap"), seq[at], len(seq) - WINDOW
+    z = near[: m - WINDOW] * p["A"][0]
+    for o, a in zip(OFFSETS[1:], p["A"][1:], strict=True):
+        z += near[WINDOW + o : m + o] * a
+    z += p["b"]
+    h = np.tanh(z.take(at - WINDOW, axis=0))
+    # a product a row, which doesn't depend on the rows beside it, where scores are wanted
+    x = h @ p["C"] if scale else (h[:, None] @ p["C"])[:, 0]
+    said, dc = _softmax(x + p["c"], tree.subtree[ids], scale)
+    said = said.astype(np.float64)
+    going = len(at) - np.cumsum(np.bincount(count))[:-1]
+    first, total, done = tree.starts[ids], int(going.sum()), 0
+    one = np.concatenate([h, np.ones((len(h), 1), h.dtype)], axis=1)  # the last column of N is a constant
+    if scale:
+        nodes, slopes, dh = np.empty(total, np.int32), np.empty((total, DIM + 1), h.dtype), np.zeros_like(one)
+    for depth, k in enumerate(going.tolist()):
+        code = tree.nodes.take(first[:k] + depth)
+        node, sign = code >> 1, ((code & 1) * 2 - 1).astype(h.dtype)
+        w = p["N"].take(node, axis=0)
+        x = np.einsum("nd,nd->n", one[:k], w) * sign
+        q = np.exp(-np.clip(x, -BOUND, BOUND, out=x))
+        said[:k] -= np.log1p(q)
         if scale:
-            grads["W"][block] += d.T @ h[at]
-            grads["w"][block] += d.sum(0)
-            dh[at] += d @ p["W"][block]
+            g = (sign * q / (1 + q) * h.dtype.type(-scale))[:, None]
+            nodes[done : done + k] = node
+            np.multiply(one[:k], g, out=slopes[done : done + k])
+            w *= g
+            dh[:k] += w
+            done += k
     out = np.empty_like(said)
     out[order] = said
-    if scale:
-        grads["C"] += h.T @ dc
-        grads["c"] += dc.sum(0)
-        dz = dh * (1 - h * h)
-        grads["b"] += dz.sum(0)
-        for k, (c, x) in enumerate(zip(ctx, xs, strict=True)):
-            grads["A"][k] += np.einsum("nd,nd->d", dz, x)
-            # rows of one word are added up where they lie sorted
-            by = np.argsort(c.astype(np.int32), kind="stable")
-            first = np.flatnonzero(np.diff(c[by], prepend=PAD - 1))
-            grads["E"][c[by[first]]] += np.add.reduceat(dz[by], first, axis=0) * p["A"][k]
+    if not scale:
+        return out
+    grads["N"] = _sums(nodes, slopes, len(p["N"]))
+    dh = dh[:, :DIM] + dc @ p["C"].T
+    grads["C"], grads["c"] = h.T @ dc, dc.sum(0)
+    dz = np.zeros((m - WINDOW, DIM), h.dtype)
+    dz[at - WINDOW] = dh * (1 - h * h)
+    grads["b"], grads["A"] = dz.sum(0), np.empty_like(p["A"])
+    back = np.zeros_like(near)
+    for k, o in enumerate(OFFSETS):
+        grads["A"][k] = (dz * near[WINDOW + o : m + o]).sum(0)
+        back[WINDOW + o : m + o] += dz * p["A"][k]
+    grads["E"] = _sums(seq, back, len(p["E"]))
     return out
 
 
 class Trainer:
-    """Adam over batches of tokens; a word's moments and parameters move in batches that touch them."""
-
-    def __init__(self, p: dict[str, np.ndarray]):
-        self.p, self.step, self.seen = p, 0, 0
-        self.g, self.m, self.v = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(3))
-
-    def _move(self, k: str, at, rate: float) -> None:
-        g, m, v = self.g[k][at], self.m[k][at], self.v[k][at]
-        m += 0.1 * (g - m)
-        v += 0.01 * (g * g - v)
-        self.p[k][at] -= rate * m / (np.sqrt(v) + 1e-6)
-        self.m[k][at], self.v[k][at], self.g[k][at] = m, v, 0
-
-    def learn(self, ctx: np.ndarray, ids: np.ndarray) -> None:
-        classes = len(self.p["c"])
-        for i in range(0, len(ids), BATCH):
-            near, here = ctx[i : i + BATCH], ids[i : i + BATCH]
-            forward(self.p, near, here, self.g)
+    """Adam over batches of tokens; the rows of E and N move in batches that touch them."""
+
+    def __init__(self, p: dict[str, np.ndarray], tree: Tree):
+        self.p, self.tree, self.step, self.seen = p, tree, 0, 0
+        self.m, self.v = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
+
+    def _move(self, k: str, g, rate: np.float32) -> None:
+        p, m, v, rows = self.p[k], self.m[k], self.v[k], None
+        if isinstance(g, tuple):
+            rows, g = g
+            m, v = m.take(rows, axis=0), v.take(rows, axis=0)
+        m += np.float32(0.1) * (g - m)
+        v += np.float32(0.01) * (g * g - v)
+        step = np.sqrt(v)
+        step += np.float32(1e-6)
+        np.divide(m, step, out=step)
+        step *= rate
+        if rows is None:
+            p -= step
+        else:
+            self.m[k][rows], self.v[k][rows], p[rows] = m, v, p.take(rows, axis=0) - step
+
+    def learn(self, seq: np.ndarray, at: np.ndarray) -> None:
+        for near, here in blocks(seq, at):
+            grads: dict = {}
+            forward(self.p, self.tree, near, here, grads)
             self.step += 1
-            rate = float(RATE * np.sqrt(1 - 0.99**self.step) / (1 - 0.9**self.step))
-            for k in "AbCc":
-                self._move(k, slice(None), rate)
-            self._move("E", np.unique(near), rate)
-            for c in np.unique(here // classes).tolist():
-                for k in "Ww":
-                    self._move(k, slice(c * classes, (c + 1) * classes), rate)
+            rate = np.float32(RATE * np.sqrt(1 - 0.99**self.step) / (1 - 0.9**self.step))
+            for k, g in grads.items():
+                self._move(k, g, rate)
             self.seen += len(here)
 
 
+def encoded(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
+    """doc_id, h (a hash of the row) and the ids of its words, 32 bits each."""
+    shared = docs.sparkSession.sparkContext.broadcast(vocab)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocab = shared.value
+        for whole in batches:
+            seen = 0
+            for docs_, data, offsets in documents([whole.select(["doc_id", "text"])]):
+                h, bounds = tokens(data, offsets)
+                ids = vocab.ids(h).astype(np.int32) if len(h) else np.zeros(0, np.int32)
+                at = (4 * bounds).tolist()
+                flat = ids.tobytes()
+                said = pa.array([flat[a:b] for a, b in zip(at, at[1:], strict=False)], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(docs_, pa.int64()), whole.column("h").slice(seen, len(docs_)), said], ["doc_id", "h", "ids"])
+                seen += len(docs_)
+
+    return docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("h")).mapInArrow(tidy(run), "doc_id long, h long, ids binary")
+
+
+def _sequences(batches: Iterable[pa.RecordBatch], most: int = 1 << 19) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
+    """doc_ids, ids and bounds of some documents at a time: about ``most`` tokens, or one document."""
+    for batch in batches:
+        rows, size, held = batch.column("ids"), 0, 0
+        docs, n = batch.column("doc_id").to_pylist(), np.array([len(x.as_buffer()) // 4 for x in rows], np.int64)
+        for i in range(batch.num_rows):
+            size += int(n[i])
+            if size >= most or i == batch.num_rows - 1:
+                flat = b"".join(x.as_py() for x in rows.slice(held, i + 1 - held))
+                yield docs[held : i + 1], np.frombuffer(flat, np.int32).astype(np.int64), np.concatenate([[0], np.cumsum(n[held : i + 1])])
+                size, held = 0, i + 1
+
+
 PIECES = "piece int, task int, params binary, n long"
 
 
@@ -254,27 +375,24 @@ def _average(fan_in: int):
 
 
 def train(docs: DataFrame, vocab: Vocabulary, fan_in: int = 32) -> dict[str, np.ndarray]:
-    """Parameters after one pass over all documents, which are dealt by hash, so that the layout of the input doesn't matter."""
+    """Parameters after one pass over all documents (``encoded``), which are dealt by hash, so that the layout of the input doesn't matter."""
     spark = docs.sparkSession
     parts = max(1, -(-docs.count() // PART))
-    hashed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("h"))
-    now = pack(initial(vocab.classes))
+    now = pack(initial(vocab.size))
     for turn in range(ROUNDS):
         shared = spark.sparkContext.broadcast((now, vocab))
 
         def run(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             start, vocab = shared.value
-            trainer = Trainer(unpack(start, vocab.classes))
-            for _, data, offsets in documents(batches):
-                h, bounds = tokens(data, offsets)
-                if len(h):
-                    ids = vocab.ids(h)
-                    trainer.learn(contexts(ids, bounds), ids)
+            trainer = Trainer(unpack(start, vocab.size), vocab.tree)
+            for _, ids, bounds in _sequences(batches):
+                if len(ids):
+                    trainer.learn(*padded(ids, bounds))
             if trainer.seen:
                 b, task = pack(trainer.p), TaskContext.get().partitionId()
                 yield from _pieces((i // PIECE, task, b[i : i + PIECE], trainer.seen) for i in range(0, len(b), PIECE))
 
-        mine = hashed.filter(F.pmod("h", F.lit(ROUNDS)) == turn).repartitionById(parts, F.pmod(F.shiftright("h", 8), F.lit(parts)).cast("int"))
+        mine = docs.filter(F.pmod("h", F.lit(ROUNDS)) == turn).repartitionById(parts, F.pmod(F.shiftright("h", 8), F.lit(parts)).cast("int"))
         rows = materialize(mine.sortWithinPartitions("h", "doc_id").mapInArrow(tidy(run), PIECES), "params")
         n = (rows.agg(F.max("task")).first()[0] or 0) + 1
         while n > 1:
@@ -285,31 +403,29 @@ def train(docs: DataFrame, vocab: Vocabulary, fan_in: int = 32) -> dict[str, np.
         if got:
             now = b"".join(got[i] for i in range(len(got)))
         shared.unpersist()
-    return unpack(now, vocab.classes)
+    return unpack(now, vocab.size)
 
 
 def score_documents(docs: DataFrame, vocab: Vocabulary, p: dict[str, np.ndarray]) -> DataFrame:
-    """doc_id, n_tokens, pll (sum of conditional log-probabilities), pll_mean."""
+    """doc_id, n_tokens, pll (sum of conditional log-probabilities), pll_mean of ``encoded`` documents."""
     shared = docs.sparkSession.sparkContext.broadcast((pack(p), vocab))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = shared.value[1]
-        p = unpack(shared.value[0], vocab.classes)
-        for docs_, data, offsets in documents(batches):
-            h, bounds = tokens(data, offsets)
+        p = unpack(shared.value[0], vocab.size)
+        for docs_, ids, bounds in _sequences(batches):
             n = np.diff(bounds)
             total = np.zeros(len(docs_))
-            if len(h):
-                ids = vocab.ids(h)
-                ctx = contexts(ids, bounds)
-                said = np.concatenate([forward(p, ctx[i : i + BATCH], ids[i : i + BATCH]) for i in range(0, len(ids), BATCH)])
-                total = np.bincount(np.repeat(np.arange(len(n)), n), said.astype(np.float64), len(n))
+            if len(ids):
+                said = np.concatenate([forward(p, vocab.tree, *block) for block in blocks(*padded(ids, bounds))])
+                total = np.bincount(np.repeat(np.arange(len(n)), n), said, len(n))
             mean = pa.array(total / np.maximum(n, 1), mask=n == 0)
             yield pa.RecordBatch.from_arrays([pa.array(docs_, pa.int64()), pa.array(n.astype(np.int64)), pa.array(total), mean], ["doc_id", "n_tokens", "pll", "pll_mean"])
 
-    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, n_tokens long, pll double, pll_mean double")
+    return docs.select("doc_id", "ids").mapInArrow(tidy(run), "doc_id long, n_tokens long, pll double, pll_mean double")
 
 
 def pseudo_likelihood(docs: DataFrame) -> DataFrame:
     vocab = vocabulary(docs)
-    return score_documents(docs, vocab, train(docs, vocab))
+    ids = materialize(encoded(docs, vocab), "ids")
+    return score_documents(ids, vocab, train(ids, vocab))

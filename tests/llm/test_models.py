@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import heapq
 import random
 import re
 import struct
@@ -146,47 +147,96 @@ def test_scores_are_sums_of_truncated_log_ratios():
     assert quality.threshold(np.array([0.0, 1.0, 2.0]), np.array([-3.0, -2.0]), 0.99) == -1.0
 
 
-def naive_log_p(p, ctx, word):
+def naive_contexts(ids, bounds):
+    """The ids beside each token, ``PAD`` beyond its document."""
+    near = lambda a, b, i: ids[i] if a <= i < b else masked_lm.PAD
+    return [[near(a, b, i + o) for o in masked_lm.OFFSETS] for a, b in zip(bounds, bounds[1:], strict=False) for i in range(a, b)]
+
+
+def naive_log_p(p, tree, ctx, word):
     h = np.tanh(sum(p["E"][c] * p["A"][k] for k, c in enumerate(ctx)) + p["b"])
-    soft = lambda z, i: z[i] - z.max() - np.log(np.exp(z - z.max()).sum())
-    c = word // masked_lm.CLASSES
-    inside = slice(c * masked_lm.CLASSES, (c + 1) * masked_lm.CLASSES)
-    return soft(h @ p["C"] + p["c"], c) + soft(p["W"][inside] @ h + p["w"][inside], word % masked_lm.CLASSES)
+    z = h @ p["C"] + p["c"]
+    said = z[tree.subtree[word]] - z.max() - np.log(np.exp(z - z.max()).sum())
+    for code in tree.nodes[tree.starts[word] : tree.starts[word + 1]]:
+        x = p["N"][code // 2] @ np.append(h, 1)
+        said -= np.logaddexp(0, -x if code % 2 else x)
+    return said
+
+
+def test_tree_is_optimal_and_whole():
+    """Against merging the two lightest again and again."""
+    r = np.random.default_rng(4)
+    for weights in (r.zipf(1.3, 3000).clip(max=10**6), np.ones(masked_lm.TOP + 1, np.int64), np.full(1000, 7)):
+        tree = masked_lm.Tree(weights)
+        heap, cost, merges = [int(w) for w in weights], 0, len(weights) - masked_lm.TOP
+        heapq.heapify(heap)
+        for _ in range(merges):  # what is left are the subtrees
+            both = heapq.heappop(heap) + heapq.heappop(heap)
+            cost += both
+            heapq.heappush(heap, both)
+        assert (weights * tree.depth).sum() == cost
+        assert sorted(np.bincount(tree.subtree, weights, masked_lm.TOP)) == sorted(heap)
+        paths = {(int(tree.subtree[i]), tuple((tree.nodes[tree.starts[i] : tree.starts[i + 1]] % 2).tolist()[::-1])) for i in range(len(weights))}
+        assert len(paths) == len(weights)
 
 
 def test_network_probabilities_and_gradients():
     r = np.random.default_rng(1)
     p = {k: v.astype(np.float64) for k, v in masked_lm.initial().items()}
+    tree = masked_lm.Tree(r.zipf(1.4, masked_lm.VOCABULARY).clip(max=10**6))
     ids = r.integers(0, masked_lm.VOCABULARY, 30)
     bounds = np.array([0, 0, 11, 30])
-    ctx = masked_lm.contexts(ids, bounds)
-    assert ctx[0].tolist() == [masked_lm.PAD] * 2 + ids[1:3].tolist() and ctx[11, 1] == masked_lm.PAD
-    got = masked_lm.forward(p, ctx, ids)
-    assert np.allclose(got, [naive_log_p(p, c, i) for c, i in zip(ctx, ids, strict=True)])
-    every = np.logaddexp.reduce([naive_log_p(p, ctx[4], i) for i in range(masked_lm.VOCABULARY)])
+    ctx = naive_contexts(ids, bounds)
+    seq, at = masked_lm.padded(ids, bounds)
+    got = masked_lm.forward(p, tree, seq, at)
+    assert np.allclose(got, [naive_log_p(p, tree, c, i) for c, i in zip(ctx, ids, strict=True)])
+    every = np.logaddexp.reduce([naive_log_p(p, tree, ctx[4], i) for i in range(masked_lm.VOCABULARY)])
     assert abs(every) < 1e-6
-    grads = {k: np.zeros_like(v) for k, v in p.items()}
-    masked_lm.forward(p, ctx, ids, grads)
-    for name, at in (("E", (ids[3], 2)), ("A", (1, 5)), ("b", (3,)), ("C", (4, 7)), ("c", (ids[0] // masked_lm.CLASSES,)), ("W", (ids[5], 1)), ("w", (ids[9],))):
+    grads = {}
+    masked_lm.forward(p, tree, seq, at, grads)
+    for k in "EN":
+        rows, values = grads[k]
+        grads[k] = np.zeros_like(p[k])
+        grads[k][rows] = values
+    node = tree.nodes[tree.starts[ids[5]]] // 2
+    for name, where in (("E", (ids[3], 2)), ("E", (masked_lm.PAD, 4)), ("A", (1, 5)), ("b", (3,)), ("C", (4, 7)), ("c", (tree.subtree[ids[0]],)), ("N", (node, 1)), ("N", (node, masked_lm.DIM))):
         loss = []
         for step in (1e-5, -1e-5):
             q = {k: v.copy() for k, v in p.items()}
-            q[name][at] += step
-            loss.append(-masked_lm.forward(q, ctx, ids).mean())
-        assert np.isclose(grads[name][at], (loss[0] - loss[1]) / 2e-5, atol=1e-7)
+            q[name][where] += step
+            loss.append(-masked_lm.forward(q, tree, seq, at).mean())
+        assert np.isclose(grads[name][where], (loss[0] - loss[1]) / 2e-5, atol=1e-7)
+
+
+def test_a_training_step_equals_adam():
+    """Rows that no token of the batch touches stay; the others move as in a plain version."""
+    r = np.random.default_rng(3)
+    tree, ids = masked_lm.Tree(np.arange(masked_lm.VOCABULARY) + 1), r.integers(0, 300, 500)
+    seq, at = masked_lm.padded(ids, np.array([0, 200, 500]))
+    trainer = masked_lm.Trainer(masked_lm.initial(), tree)
+    before, grads = masked_lm.initial(), {}
+    masked_lm.forward(before, tree, seq, at, grads)
+    trainer.learn(seq, at)
+    for k, g in grads.items():
+        rows, g = g if isinstance(g, tuple) else (np.arange(len(g)), g)
+        expected = before[k].copy()
+        expected[rows] -= masked_lm.RATE * np.sqrt(0.01) / 0.1 * 0.1 * g / (np.sqrt(0.01 * g * g) + 1e-6)
+        assert np.allclose(trainer.p[k], expected, atol=1e-4)
+    assert trainer.seen == 500 and (trainer.p["E"] == before["E"]).all(axis=1).sum() == masked_lm.VOCABULARY - len(set(ids.tolist()))
 
 
 def test_scores_follow_training(spark, corpus, edge_docs, empty_docs):
     docs = frame(spark, corpus * 3)
     vocab = masked_lm.vocabulary(docs)
-    trained = masked_lm.train(docs, vocab, fan_in=2)
-    mean = lambda p: masked_lm.score_documents(docs, vocab, p).agg({"pll": "sum"}).first()[0]
-    assert mean(trained) > mean(masked_lm.initial())
-    rows = {r.doc_id: r for r in masked_lm.score_documents(frame(spark, corpus), vocab, trained).collect()}
+    coded = masked_lm.encoded(docs, vocab)
+    trained = masked_lm.train(coded, vocab, fan_in=2)
+    mean = lambda p: masked_lm.score_documents(coded, vocab, p).agg({"pll": "sum"}).first()[0]
+    assert mean(trained) > mean(masked_lm.initial(vocab.size))
+    rows = {r.doc_id: r for r in masked_lm.score_documents(masked_lm.encoded(frame(spark, corpus), vocab), vocab, trained).collect()}
     i, text = corpus[20]
     h, bounds = masked_lm.tokens(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text.encode())]))
     ids = vocab.ids(h)
-    expected = sum(naive_log_p(trained, c, w) for c, w in zip(masked_lm.contexts(ids, bounds), ids, strict=True))
+    expected = sum(naive_log_p(trained, vocab.tree, c, w) for c, w in zip(naive_contexts(ids, bounds), ids, strict=True))
     assert np.isclose(rows[i].pll, expected, rtol=1e-3) and rows[i].n_tokens == len(text.split())
     out = masked_lm.pseudo_likelihood(edge_docs).collect()
     assert len(out) == edge_docs.count() and all((r.pll_mean is None) == (r.n_tokens == 0) for r in out)
@@ -195,20 +245,20 @@ def test_scores_follow_training(spark, corpus, edge_docs, empty_docs):
 
 def test_vocabulary_follows_the_corpus(spark):
     least = masked_lm.VOCABULARY - masked_lm.BUCKETS
-    sizes = []
+    sizes, size = [], 9000 + masked_lm.BUCKETS + (9000 - least) // masked_lm.WORDS_PER_BUCKET
     for n in (1000, 9000):
         often = " ".join(f"w{i}" for i in range(n))
         docs = [(j, often) for j in range(masked_lm.MIN_COUNT)] + [(99, " ".join(f"once{i}" for i in range(4000)))]
         vocab = masked_lm.vocabulary(frame(spark, docs))
         h = masked_lm.tokens(np.frombuffer(often.encode(), np.uint8), np.array([0, len(often)]))[0]
         assert len(set(vocab.ids(h).tolist())) == n and vocab.ids(h).max() < vocab.n
-        sizes.append((vocab.n, vocab.classes))
-    assert sizes == [(least, masked_lm.CLASSES), (9000, 97)]
-    few = frame(spark, [(j, often) for j in range(4)])
+        sizes.append((vocab.n, vocab.size))
+    assert sizes == [(least, masked_lm.VOCABULARY), (9000, size)]
+    few = masked_lm.encoded(frame(spark, [(j, often) for j in range(4)]), vocab)
     trained = masked_lm.train(few, vocab, fan_in=2)
-    assert trained["W"].shape[0] == 97 * 97
+    assert len(trained["E"]) == size + 1 and len(trained["N"]) == size - 1
     total = lambda p: masked_lm.score_documents(few, vocab, p).agg({"pll": "sum"}).first()[0]
-    assert total(trained) > total(masked_lm.initial(97))
+    assert total(trained) > total(masked_lm.initial(size))
 
 
 ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+))""")
