@@ -11,8 +11,8 @@ Word counts over all documents make the vocabulary: every word that occurs ``MIN
 and of a small corpus the most frequent words; hash buckets for the others. It grows with the
 corpus. Ids are looked up once and kept as a table. Training goes over every document once,
 in ``ROUNDS`` rounds by a hash of the row; in each, parts of about ``PART`` documents (by hash too,
-in order of it) are trained on from the shared parameters, and the results are averaged by tokens in
-pieces, in trees of tasks: scores don't depend on how the input is laid out. Only the
+in order of it) are trained on from the shared parameters, and what they changed is averaged by tokens in
+pieces, in trees of tasks; a part sends only the parameters that its words moved: scores don't depend on how the input is laid out. Only the
 vocabulary and one set of parameters reach the driver.
 
 Defined results: a null or empty text has no tokens and score 0, mean null; a neighbour
@@ -49,8 +49,8 @@ PAD = -1
 ROUNDS, BATCH, RATE = 2, 8192, 0.01
 #: Documents of a training part.
 PART = 8192
-#: Bytes of parameters in a row of a table.
-PIECE = 1 << 20
+#: Parameters in a row of a table.
+PIECE = 1 << 18
 #: Logits are cut to this size, so that their exponentials need no maximum taken off.
 BOUND = 40.0
 
@@ -359,17 +359,32 @@ def _pieces(rows: Iterable[tuple[int, int, bytes, int]]) -> Iterator[pa.RecordBa
         yield pa.RecordBatch.from_arrays([pa.array([piece], pa.int32()), pa.array([task], pa.int32()), pa.array([params], pa.binary()), pa.array([n], pa.int64())], ["piece", "task", "params", "n"])
 
 
-def _average(fan_in: int):
-    """Means of ``fan_in`` neighbouring parts at a time; rows come sorted, so that sums don't depend on where they were made."""
+def _packed(change: np.ndarray) -> bytes:
+    """What of a piece isn't 0: a bit for each number, then those that have theirs set."""
+    moved = change != 0
+    return np.packbits(moved).tobytes() + change[moved].astype(np.float32).tobytes()
+
+
+def _add(total: np.ndarray, packed: bytes, weight: float) -> None:
+    moved = np.unpackbits(np.frombuffer(packed, np.uint8, -(-len(total) // 8)), count=len(total)).astype(bool)
+    total[moved] += np.frombuffer(packed, np.float32, offset=-(-len(total) // 8)).astype(np.float64) * weight
+
+
+def _average(fan_in: int, size: int):
+    """Mean changes of ``fan_in`` neighbouring parts at a time; rows come sorted, so that sums don't depend on where they were made."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[tuple[int, int], list] = {}
+        key, total, seen = None, np.zeros(0), 0
         for batch in batches:
             for piece, task, b, n in zip(batch.column("piece").to_pylist(), batch.column("task").to_pylist(), batch.column("params"), batch.column("n").to_pylist(), strict=True):
-                x = np.frombuffer(b.as_buffer(), np.float32).astype(np.float64) * n
-                have = total.setdefault((piece, task // fan_in), [0.0, 0])
-                have[0], have[1] = have[0] + x, have[1] + n
-        yield from _pieces((piece, task, (x / n).astype(np.float32).tobytes(), n) for (piece, task), (x, n) in total.items())
+                if key != (piece, task // fan_in):
+                    if seen:
+                        yield from _pieces([(*key, _packed(total / seen), seen)])
+                    key, total, seen = (piece, task // fan_in), np.zeros(min(PIECE, size - piece * PIECE)), 0
+                _add(total, b.as_py(), n)
+                seen += n
+        if seen:
+            yield from _pieces([(*key, _packed(total / seen), seen)])
 
     return run
 
@@ -389,19 +404,23 @@ def train(docs: DataFrame, vocab: Vocabulary, fan_in: int = 32) -> dict[str, np.
                 if len(ids):
                     trainer.learn(*padded(ids, bounds))
             if trainer.seen:
-                b, task = pack(trainer.p), TaskContext.get().partitionId()
-                yield from _pieces((i // PIECE, task, b[i : i + PIECE], trainer.seen) for i in range(0, len(b), PIECE))
+                change, task = np.frombuffer(pack(trainer.p), np.float32) - np.frombuffer(start, np.float32), TaskContext.get().partitionId()
+                yield from _pieces((i // PIECE, task, _packed(change[i : i + PIECE]), trainer.seen) for i in range(0, len(change), PIECE) if change[i : i + PIECE].any())
 
         mine = docs.filter(F.pmod("h", F.lit(ROUNDS)) == turn).repartitionById(parts, F.pmod(F.shiftright("h", 8), F.lit(parts)).cast("int"))
-        rows = materialize(mine.sortWithinPartitions("h", "doc_id").mapInArrow(tidy(run), PIECES), "params")
-        n = (rows.agg(F.max("task")).first()[0] or 0) + 1
-        while n > 1:
+        rows, n = mine.sortWithinPartitions("h", "doc_id").mapInArrow(tidy(run), PIECES), parts
+        while True:
             by = F.floor(F.col("task") / fan_in)
-            rows = rows.repartition("piece", by).sortWithinPartitions("piece", "task").mapInArrow(tidy(_average(fan_in)), PIECES)
+            rows = rows.repartition("piece", by).sortWithinPartitions("piece", "task").mapInArrow(tidy(_average(fan_in, len(now) // 4)), PIECES)
             rows, n = materialize(rows, "params"), -(-n // fan_in)
-        got = {r.piece: bytes(r.params) for r in rows.select("piece", "params").toLocalIterator()}
-        if got:
-            now = b"".join(got[i] for i in range(len(got)))
+            if n == 1:
+                break
+        # pieces that a part didn't move came from the others only
+        every = rows.agg(F.max("n")).first()[0] or 0
+        moved = np.frombuffer(now, np.float32).astype(np.float64)
+        for r in rows.select("piece", "params", "n").toLocalIterator():
+            _add(moved[r.piece * PIECE : (r.piece + 1) * PIECE], bytes(r.params), r.n / every)
+        now = moved.astype(np.float32).tobytes()
         shared.unpersist()
     return unpack(now, vocab.size)
 

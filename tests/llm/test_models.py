@@ -225,6 +225,24 @@ def test_a_training_step_equals_adam():
     assert trainer.seen == 500 and (trainer.p["E"] == before["E"]).all(axis=1).sum() == masked_lm.VOCABULARY - len(set(ids.tolist()))
 
 
+def test_parts_average_by_tokens(monkeypatch):
+    """Changes of three parts, one without some pieces, in two levels, against the plain mean."""
+    monkeypatch.setattr(masked_lm, "PIECE", 10)
+    r = np.random.default_rng(6)
+    changes, seen = r.normal(size=(3, 25)).astype(np.float32), [5, 1, 9]
+    changes[1, :20] = 0
+    changes[:, 3] = 0
+    rows = [(i // 10, t, masked_lm._packed(c[i : i + 10]), n) for t, (c, n) in enumerate(zip(changes, seen, strict=True)) for i in range(0, 25, 10) if c[i : i + 10].any()]
+    for fan_in in (2, 2):
+        out = masked_lm._average(fan_in, 25)(masked_lm._pieces(sorted(rows)))
+        rows = [tuple(x.values()) for batch in out for x in batch.to_pylist()]
+    got, every = np.zeros(25), max(r[3] for r in rows)
+    for piece, task, b, n in rows:
+        assert task == 0
+        masked_lm._add(got[piece * 10 : (piece + 1) * 10], b, n / every)
+    assert np.allclose(got, np.average(changes, axis=0, weights=seen), atol=1e-6) and len(rows) == 3
+
+
 def test_scores_follow_training(spark, corpus, edge_docs, empty_docs):
     docs = frame(spark, corpus * 3)
     vocab = masked_lm.vocabulary(docs)
