@@ -47,8 +47,8 @@ OFFSETS = [o for o in range(-WINDOW, WINDOW + 1) if o]
 #: The last row of the embeddings.
 PAD = -1
 ROUNDS, BATCH, RATE = 2, 8192, 0.01
-#: Documents of a training part.
-PART = 8192
+#: Documents of a training part: some 100 MB of text, as in other tasks, since every part sends the parameters of its words.
+PART = 1 << 16
 #: Parameters in a row of a table.
 PIECE = 1 << 18
 #: Logits are cut to this size, so that their exponentials need no maximum taken off.
@@ -118,8 +118,12 @@ class Vocabulary:
     """Word hashes in order of their ids; other words share the ids after them, ``BUCKETS`` at least."""
 
     def __init__(self, hashes: np.ndarray, counts: np.ndarray | None = None, rest: int = 0):
-        self.order = np.argsort(hashes)
-        self.sorted, self.n = hashes[self.order], len(hashes)
+        self.order, self.n = np.argsort(hashes.view(np.uint64)), len(hashes)
+        self.sorted = hashes[self.order]
+        # where hashes with the same leading bits begin; there are a few of each at most
+        self.shift = np.uint64(63 - max(8, self.n.bit_length()))
+        lead = (self.sorted.view(np.uint64) >> self.shift).astype(np.int64)
+        self.begin = np.searchsorted(lead, np.arange((1 << 64 - int(self.shift)) + 1)).astype(np.int32)
         self.size = max(VOCABULARY, self.n + BUCKETS + max(0, self.n + BUCKETS - VOCABULARY) // WORDS_PER_BUCKET)
         buckets = self.size - self.n
         counts = np.ones(self.n, np.int64) if counts is None else counts
@@ -127,10 +131,15 @@ class Vocabulary:
 
     def ids(self, hashes: np.ndarray) -> np.ndarray:
         other = self.n + (hashes.view(np.uint64) % np.uint64(self.size - self.n)).astype(np.int64)
-        if not len(self.sorted):
-            return other
-        at = np.minimum(np.searchsorted(self.sorted, hashes), len(self.sorted) - 1)
-        return np.where(self.sorted[at] == hashes, self.order[at], other)
+        lead = (hashes.view(np.uint64) >> self.shift).astype(np.int64)
+        at, end, left = self.begin[lead], self.begin[lead + 1], np.arange(len(hashes))
+        while len(left):
+            more = at < end
+            at, end, left = at[more], end[more], left[more]
+            same = self.sorted[at] == hashes[left]
+            other[left[same]] = self.order[at[same]]
+            at, end, left = at[~same] + 1, end[~same], left[~same]
+        return other
 
 
 def _counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,34 +213,35 @@ def blocks(seq: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.nda
         yield seq[first : here[-1] + WINDOW + 1], here - first
 
 
-def _softmax(x: np.ndarray, target: np.ndarray, scale: float) -> tuple[np.ndarray, np.ndarray | None]:
-    """Log-probability of each row's target; with ``scale``, its gradient less the sign times that."""
+def _softmax(x: np.ndarray, target: np.ndarray, scale: float) -> np.ndarray:
+    """Log-probability of each row's target; with ``scale``, the gradient of its negative times that."""
     rows = np.arange(len(x))
     np.clip(x, -BOUND, BOUND, out=x)
     of = x[rows, target]
     np.exp(x, out=x)
     total = x.sum(1)
-    said = of - np.log(total)
     if not scale:
-        return said, None
+        return (of - np.log(total)).astype(np.float64)
     x *= (scale / total)[:, None].astype(x.dtype)
     x[rows, target] -= scale
-    return said, x
+    return x
 
 
-def _sums(keys: np.ndarray, x: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys (rows of an array of ``size``) and the sum of each one's rows."""
+def _sums(keys: np.ndarray, columns: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys (rows of an array of ``size``) and the sums of each one's values, given a column at a time."""
     seen = np.zeros(size, bool)
     seen[keys] = True
-    rows, width = np.flatnonzero(seen), x.shape[1]
+    rows = np.flatnonzero(seen)
     place = np.empty(size, np.int64)
-    place[rows] = np.arange(0, len(rows) * width, width)
-    at = place.take(keys, mode="wrap")[:, None] + np.arange(width)
-    return rows, np.bincount(at.ravel(), x.ravel(), len(rows) * width).reshape(-1, width).astype(x.dtype)
+    place[rows] = np.arange(len(rows))
+    at, out = place.take(keys, mode="wrap"), np.empty((len(rows), len(columns)), columns.dtype)
+    for k, column in enumerate(columns):  # a column and its sums stay in the cache
+        out[:, k] = np.bincount(at, column, len(rows))
+    return rows, out
 
 
-def forward(p: dict[str, np.ndarray], tree: Tree, seq: np.ndarray, at: np.ndarray, grads: dict | None = None) -> np.ndarray:
-    """log p(token | both sides) of each token; sets ``grads`` to the gradient of minus their mean, of E and N as (rows, values)."""
+def forward(p: dict[str, np.ndarray], tree: Tree, seq: np.ndarray, at: np.ndarray, grads: dict | None = None) -> np.ndarray | None:
+    """log p(token | both sides) of each token; or sets ``grads`` to the gradient of minus their mean, of E and N as (rows, values)."""
     scale = 1 / len(at) if grads is not None else 0.0
     # longest paths first, so that those that go on at a depth are the first rows
     count = tree.depth[seq[at]]
@@ -245,43 +255,49 @@ def forward(p: dict[str, np.ndarray], tree: Tree, seq: np.ndarray, at: np.ndarra
     h = np.tanh(z.take(at - WINDOW, axis=0))
     # a product a row, which doesn't depend on the rows beside it, where scores are wanted
     x = h @ p["C"] if scale else (h[:, None] @ p["C"])[:, 0]
-    said, dc = _softmax(x + p["c"], tree.subtree[ids], scale)
-    said = said.astype(np.float64)
+    top = _softmax(x + p["c"], tree.subtree[ids], scale)
     going = len(at) - np.cumsum(np.bincount(count))[:-1]
     first, total, done = tree.starts[ids], int(going.sum()), 0
     one = np.concatenate([h, np.ones((len(h), 1), h.dtype)], axis=1)  # the last column of N is a constant
     if scale:
-        nodes, slopes, dh = np.empty(total, np.int32), np.empty((total, DIM + 1), h.dtype), np.zeros_like(one)
+        across, dh = np.ascontiguousarray(one.T), np.zeros_like(one)
+        nodes, slopes = np.empty(total, np.int32), np.empty((DIM + 1, total), h.dtype)
+    else:
+        odds = np.ones(len(at))  # one over the product of the nodes' probabilities
     for depth, k in enumerate(going.tolist()):
         code = tree.nodes.take(first[:k] + depth)
         node, sign = code >> 1, ((code & 1) * 2 - 1).astype(h.dtype)
         w = p["N"].take(node, axis=0)
         x = np.einsum("nd,nd->n", one[:k], w) * sign
         q = np.exp(-np.clip(x, -BOUND, BOUND, out=x))
-        said[:k] -= np.log1p(q)
-        if scale:
-            g = (sign * q / (1 + q) * h.dtype.type(-scale))[:, None]
+        if not scale:
+            odds[:k] *= 1 + q.astype(np.float64)
+            if depth % 16 == 15:  # beyond, the product could leave the range
+                top[:k] -= np.log(odds[:k])
+                odds[:k] = 1
+        else:
+            g = sign * q / (1 + q) * h.dtype.type(-scale)
             nodes[done : done + k] = node
-            np.multiply(one[:k], g, out=slopes[done : done + k])
-            w *= g
+            np.multiply(across[:, :k], g, out=slopes[:, done : done + k])
+            w *= g[:, None]
             dh[:k] += w
             done += k
-    out = np.empty_like(said)
-    out[order] = said
     if not scale:
+        out = np.empty_like(top)
+        out[order] = top - np.log(odds)
         return out
     grads["N"] = _sums(nodes, slopes, len(p["N"]))
-    dh = dh[:, :DIM] + dc @ p["C"].T
-    grads["C"], grads["c"] = h.T @ dc, dc.sum(0)
+    dh = dh[:, :DIM] + top @ p["C"].T
+    grads["C"], grads["c"] = h.T @ top, top.sum(0)
     dz = np.zeros((m - WINDOW, DIM), h.dtype)
     dz[at - WINDOW] = dh * (1 - h * h)
     grads["b"], grads["A"] = dz.sum(0), np.empty_like(p["A"])
     back = np.zeros_like(near)
     for k, o in enumerate(OFFSETS):
-        grads["A"][k] = (dz * near[WINDOW + o : m + o]).sum(0)
+        grads["A"][k] = np.einsum("nd,nd->d", dz, near[WINDOW + o : m + o])
         back[WINDOW + o : m + o] += dz * p["A"][k]
-    grads["E"] = _sums(seq, back, len(p["E"]))
-    return out
+    grads["E"] = _sums(seq, np.ascontiguousarray(back.T), len(p["E"]))
+    return None
 
 
 class Trainer:
@@ -296,9 +312,14 @@ class Trainer:
         if isinstance(g, tuple):
             rows, g = g
             m, v = m.take(rows, axis=0), v.take(rows, axis=0)
-        m += np.float32(0.1) * (g - m)
-        v += np.float32(0.01) * (g * g - v)
-        step = np.sqrt(v)
+        step = g - m
+        step *= np.float32(0.1)
+        m += step
+        step = g * g
+        step -= v
+        step *= np.float32(0.01)
+        v += step
+        np.sqrt(v, out=step)
         step += np.float32(1e-6)
         np.divide(m, step, out=step)
         step *= rate
