@@ -4,7 +4,8 @@ An input is composed lazily with the pieces (a state for the piece read last, an
 piece that may follow) and the byte fallback (arcs of byte pieces for a character without a piece) as
 a lattice over its characters, and its ids are the labels of the shortest path in the tropical
 semiring. Arcs are looked up when the composition reaches them, no machine is written out; the
-normaliser (dummy prefix, squeezed and escaped blanks) is applied as a rewriting of the text before.
+normaliser (a precompiled character map, dummy prefix, squeezed and escaped blanks) rewrites the text before: the
+map is compiled into a transducer over characters, of which the longest path from each place counts.
 
 Weights: in a unigram model an arc costs minus its piece's score. In a merge (BPE) model an
 arc costs nothing if merging leaves its piece and the one before as they are, and is
@@ -15,8 +16,9 @@ independent; each distinct unit is searched once and kept in a bounded table of
 
 Defined results: a null or empty text has no tokens and decodes to the empty text; a text
 with U+2581 itself decodes to blanks there, as the format wants; rows are independent; input
-columns named n_tokens, token_ids or round_trip give way. Models with a precompiled character map,
-or with a piece that holds a blank after another character, are refused with a ValueError.
+columns named n_tokens, token_ids or round_trip give way. A text that the character map changes decodes
+to what the map makes of it. Models with a piece that holds a blank after another character, or with
+both a character map and pieces that users defined, are refused with a ValueError.
 """
 
 from __future__ import annotations
@@ -27,6 +29,7 @@ import struct
 from array import array
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -68,6 +71,63 @@ def _fields(b: bytes) -> Iterator[tuple[int, int | bytes]]:
             at += n
 
 
+class CharacterMap:
+    """The normaliser's transducer: ``arcs[state]`` leads on by character, ``said[state]`` is what a path ending there becomes."""
+
+    def __init__(self, blob: bytes):
+        size = int.from_bytes(blob[:4], "little")
+        self.arcs: list[dict[str, int]] = [{}]
+        self.said: list[str | None] = [None]
+        for key, value in self._rules(np.frombuffer(blob, "<u4", size // 4, 4), blob[4 + size :]):
+            state = 0
+            for c in key:
+                state = self.arcs[state].setdefault(c, len(self.arcs))
+                if state == len(self.arcs):
+                    self.arcs.append({})
+                    self.said.append(None)
+            self.said[state] = value
+        chars = lambda x: "[" + "".join(map(re.escape, sorted(x))) + "]" if x else "(?!)"
+        alone = {c for c, state in self.arcs[0].items() if self.said[state] is not None}
+        more = {c for c, state in self.arcs[0].items() if self.arcs[state]}
+        # the places where a path can end
+        self.places = re.compile(f"{chars(alone)}|{chars(more)}(?={chars({c for s in self.arcs[0].values() for c in self.arcs[s]})})")
+
+    @staticmethod
+    def _rules(units: np.ndarray, texts: bytes) -> Iterator[tuple[str, str]]:
+        """The keys of a double-array trie (its units as the format packs them), found level by level, with their values."""
+        step = lambda u: (u >> 10) << ((u & 512) >> 6)
+        at, keys, labels = step(units[:1]).astype(np.int64), [b""], np.arange(1, 256)
+        while len(at):
+            child = at[:, None] ^ labels
+            unit = units[np.minimum(child, len(units) - 1)]
+            row, c = np.nonzero((child < len(units)) & ((unit & np.uint32(0x800000FF)) == labels))
+            unit = unit[row, c]
+            at = child[row, c] ^ step(unit).astype(np.int64)
+            keys = [keys[r] + bytes([x]) for r, x in zip(row.tolist(), labels[c].tolist(), strict=True)]
+            ends = (unit >> 8 & 1).astype(bool)
+            values = units[np.minimum(at, len(units) - 1)] & 0x7FFFFFFF
+            for i in np.flatnonzero(ends).tolist():
+                v = int(values[i])
+                yield keys[i].decode(), texts[v : texts.index(b"\0", v)].decode()
+
+    def rewrite(self, text: str) -> str:
+        """The text with the longest path from each place, in order, replaced by what it becomes."""
+        out, done, arcs, said = [], 0, self.arcs, self.said
+        for m in self.places.finditer(text):
+            i = m.start()
+            if i < done:
+                continue
+            state, j, end, becomes = 0, i, 0, None
+            while j < len(text) and (state := arcs[state].get(text[j], -1)) >= 0:
+                j += 1
+                if said[state] is not None:
+                    end, becomes = j, said[state]
+            if becomes is not None:
+                out += [text[done:i], becomes]
+                done = end
+        return "".join([*out, text[done:]]) if out else text
+
+
 class Transducer:
     """A compiled model."""
 
@@ -82,8 +142,11 @@ class Transducer:
                 kind = dict(_fields(value)).get(3, UNIGRAM)
             elif field == 3:
                 norm = dict(_fields(value))
-        if norm.get(2) or kind not in (UNIGRAM, MERGES):
-            raise ValueError("only unigram and merge models without a character map are supported")
+        if kind not in (UNIGRAM, MERGES):
+            raise ValueError("only unigram and merge models are supported")
+        if norm.get(2) and any(k == USER for _, _, k in self.pieces):
+            raise ValueError("a character map leaves pieces alone that users defined; it is not supported beside them")
+        self.map = CharacterMap(norm[2]) if norm.get(2) else None
         self.merges = kind == MERGES
         self.dummy, self.squeeze, self.escape = norm.get(3, 1), norm.get(4, 1), norm.get(5, 1)
         self.ids = {p: i for i, (p, _, k) in enumerate(self.pieces) if k in (NORMAL, USER)}
@@ -103,6 +166,8 @@ class Transducer:
             self._derive()
 
     def normalise(self, text: str) -> str:
+        if self.map:
+            text = self.map.rewrite(text)
         if self.squeeze:
             text = re.sub(" +", " ", text.strip(" "))
         if not text:

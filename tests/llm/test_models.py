@@ -57,13 +57,14 @@ def message(fields):
     return out
 
 
-def unigram_model(fallback):
+def unigram_model(fallback, character_map=b"", user=()):
     r = random.Random(4)
     table = [("<unk>", 0.0, pieces.UNKNOWN)]
     table += [(f"<0x{i:02X}>", 0.0, pieces.BYTE) for i in range(256)] if fallback else []
     table += [(p, -r.uniform(1, 9), pieces.NORMAL) for p in ("▁", "a", "b", "c", "ab", "bc", "abc", "▁a", "▁ab", "cab", "é", "▁b")]
+    table += [(p, 0.0, pieces.USER) for p in user]
     parts = [(1, message([(1, p.encode()), (2, s), (3, k)])) for p, s, k in table]
-    return message([*parts, (2, message([(3, pieces.UNIGRAM), (35, int(fallback)), (40, 0)])), (3, message([(1, b"identity"), (3, 1), (4, 0), (5, 1)]))])
+    return message([*parts, (2, message([(3, pieces.UNIGRAM), (35, int(fallback)), (40, 0)])), (3, message([(1, b"identity"), *[(2, character_map)] * bool(character_map), (3, 1), (4, int(bool(character_map))), (5, 1)]))])
 
 
 @pytest.mark.parametrize("fallback", [True, False])
@@ -77,6 +78,24 @@ def test_unigram_model_equals_the_library(fallback):
         assert list(mine.encode(text)) == other.encode(text), text
 
 
+@pytest.mark.parametrize("rule", ["nmt_nfkc", "nfkc", "nmt_nfkc_cf"])
+def test_character_map_equals_the_library(rule):
+    """The rules' own characters, what combines, what goes, and blanks beside it."""
+    sentencepiece = pytest.importorskip("sentencepiece")
+    spec = dict(pieces._fields(sentencepiece.SentencePieceNormalizer(rule_name=rule).serialized_model_proto()))[3]
+    blob = dict(pieces._fields(spec))[2]
+    plain = sentencepiece.SentencePieceNormalizer(rule_name=rule, add_dummy_prefix=True, remove_extra_whitespaces=True, escape_whitespaces=True)
+    model = unigram_model(True, blob)
+    mine, other = pieces.Transducer(model), sentencepiece.SentencePieceProcessor(model_proto=model)
+    r, rules = random.Random(2), list(mine.map.arcs[0])
+    for text in ["", " ", "\x01", "\x01  a", "a \u200b b", "e\u0323\u0301", "ﷺ", "ｶﾞ"] + ["".join(r.choice("abc \t\n\x07\u200b\u3000Ａﬁ①㌔\u0323\u0301\u0308eé가ᄀ\u1161中") if r.random() < 0.7 else r.choice(rules) for _ in range(r.randint(0, 20))) for _ in range(3000)]:
+        assert mine.normalise(text) == plain.Normalize(text), text
+        assert list(mine.encode(text)) == other.encode(text), text
+    assert mine.decode(mine.encode("ＡＢ\tc")) == plain.Normalize("ＡＢ\tc").replace("▁", " ")[1:]
+    with pytest.raises(ValueError, match="users defined"):
+        pieces.Transducer(unigram_model(True, blob, ["<x>"]))
+
+
 @needs_model
 def test_pieces_of_documents(spark, edge_docs, empty_docs):
     model = MODEL.read_bytes()
