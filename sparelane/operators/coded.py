@@ -17,6 +17,12 @@ def recover_a(coded: DataFrame) -> DataFrame:
     return coded.withColumn("a", (F.col("c") - F.col("b").cast(WIDE)).cast("bigint"))
 
 
+def checksum(rows: DataFrame) -> DataFrame:
+    """checksum: the sum of ``a`` as 64-bit additions that wrap give it; 0 of no rows."""
+    half, whole = (F.lit(str(1 << n)).cast("decimal(38,0)") for n in (63, 64))
+    return rows.agg(_sum(F.col("a").cast(WIDE))).select((F.pmod(F.col("total") + half, whole) - half).cast("bigint").alias("checksum"))
+
+
 def _sum(column) -> DataFrame:
     return F.coalesce(F.sum(column), F.lit(0)).cast("decimal(38,0)").alias("total")
 

@@ -39,9 +39,21 @@ def mixed(items: DataFrame, exceptions: DataFrame, queries: DataFrame) -> DataFr
     Exceptions with seq <= q hold for a query. Those before the same exception share an epoch, and an
     epoch its cells; bulk changes start none. The log's epochs are its parameters, and small.
     """
+    return _by_epoch(items, exceptions, queries, F.max_by("k", "seq"))
+
+
+def jittered(items: DataFrame, changes: DataFrame, queries: DataFrame) -> DataFrame:
+    """g, q, k, winner for a log of changes (id, seq, k) of single rows, which add up, unlike exceptions.
+
+    The control of :func:`mixed`: no bulk identity covers such a change, so each starts an epoch and new cells.
+    """
+    return _by_epoch(items, changes, queries, F.sum("k"))
+
+
+def _by_epoch(items: DataFrame, exceptions: DataFrame, queries: DataFrame, held_of) -> DataFrame:
     epochs = exceptions.select("seq").distinct().unionAll(exceptions.sparkSession.range(1).select(F.lit(-1).cast("bigint").alias("seq"))).select(F.col("seq").alias("epoch"))
     spans = epochs.withColumn("until", F.lead("epoch").over(Window.orderBy("epoch")))
-    held = exceptions.join(F.broadcast(epochs), F.col("seq") <= F.col("epoch")).groupBy("epoch", "id").agg(F.max_by("k", "seq").alias("e"))
+    held = exceptions.join(F.broadcast(epochs), F.col("seq") <= F.col("epoch")).groupBy("epoch", "id").agg(held_of.alias("e"))
     at = items.join(F.broadcast(epochs), F.lit(True)).join(held, ["epoch", "id"], "left")
     staged = at.select(F.struct("epoch", "g").alias("g"), "id", (F.col("x") + F.coalesce("e", F.lit(0))).alias("x"), "y")
     cell = ranking.cells(staged).select(F.col("g.epoch").alias("epoch"), F.col("g.g").alias("g"), "klo", "khi", "id")

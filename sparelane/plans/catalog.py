@@ -474,12 +474,30 @@ def quota_split(s: SparkSession, d: str) -> DataFrame:
     return quotas.split_stock(s, STOCK, SHARDS)
 
 
-@query()
+def _replay(held_back: int, restock: int) -> str:
+    """The log replayed a request at a time: what each shard has, and what the coordinator has."""
+    per = (STOCK - held_back) // SHARDS
+    have = ", ".join(str(per if i < SHARDS - 1 else STOCK - held_back - per * (SHARDS - 1)) for i in range(SHARDS))
+    return f"""
+WITH RECURSIVE {REQUESTS}, log AS (SELECT row_number() OVER (ORDER BY seq) AS i, seq, shard FROM req),
+run AS (
+  SELECT CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS seq, CAST(0 AS BIGINT) AS shard, CAST([{have}] AS BIGINT[]) AS have, CAST({held_back} AS BIGINT) AS pool, '' AS outcome
+  UNION ALL
+  SELECT l.i, l.seq, l.shard,
+         have[1:l.shard] || [CASE WHEN have[l.shard + 1] > 0 THEN have[l.shard + 1] - 1 ELSE greatest(least({restock}, pool) - 1, 0) END] || have[l.shard + 2:],
+         CASE WHEN have[l.shard + 1] > 0 THEN pool ELSE pool - least({restock}, pool) END,
+         CASE WHEN have[l.shard + 1] > 0 OR pool > 0 THEN 'ok' ELSE 'soldout' END
+  FROM run JOIN log l ON l.i = run.i + 1)
+SELECT seq, shard, outcome FROM run WHERE i > 0
+"""
+
+
+@query(_replay(STOCK // 2, 16))
 def quota_restock(s: SparkSession, d: str) -> DataFrame:
     return quotas.reserve_restocked(_requests(s, d), STOCK, SHARDS, restock=16, held_back=STOCK // 2)
 
 
-@query()
+@query(f"WITH {REQUESTS}, o AS (SELECT seq, shard, row_number() OVER (PARTITION BY shard ORDER BY seq) <= {QUOTA} AS ok FROM req), spare AS (SELECT {STOCK} - count(*) FILTER (WHERE ok) AS n FROM o), t AS (SELECT *, row_number() OVER (PARTITION BY ok ORDER BY seq) AS r FROM o) SELECT seq, shard, CASE WHEN ok OR r <= n THEN 'ok' ELSE 'soldout' END AS outcome FROM t, spare")
 def quota_drained(s: SparkSession, d: str) -> DataFrame:
     shares = quotas.split_stock(s, STOCK, SHARDS)
     return quotas.drain(quotas.reserve_sharded(_requests(s, d), shares), shares)
@@ -510,6 +528,11 @@ def coded_recover(s: SparkSession, d: str) -> DataFrame:
     return coded.recover_a(coded.build(_coded_sources(s, d)).drop("a")).select("l_orderkey", "l_linenumber", "l_partkey", "a", "b")
 
 
+@query(f"WITH {AB} SELECT CAST(sum(a) AS BIGINT) AS checksum FROM ab")
+def coded_checksum(s: SparkSession, d: str) -> DataFrame:
+    return coded.checksum(coded.recover_a(coded.build(_coded_sources(s, d)).drop("a")))
+
+
 @query(f"WITH {AB} SELECT CAST(sum(a + b) AS BIGINT) AS from_code, CAST(sum(a + b) AS BIGINT) AS from_sources FROM ab")
 def coded_sum(s: SparkSession, d: str) -> DataFrame:
     rows = coded.build(_coded_sources(s, d))
@@ -535,7 +558,25 @@ def _probes(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "events").select(F.col("event_id").alias("q"), (F.col("user_id") * 100 + F.col("event_id") % 7).alias("k"))
 
 
-@query()
+#: A segment ends at the first key of its span that its line misses.
+SEGMENTS = f"""
+WITH RECURSIVE k AS (SELECT DISTINCT l_orderkey AS k FROM lineitem),
+p AS (SELECT k, row_number() OVER (ORDER BY k) - 1 AS pos, CAST(floor(k / {learned.SPAN}) AS BIGINT) AS cell FROM k),
+lines AS (SELECT *, coalesce(1.0::DOUBLE / (lead(k) OVER (PARTITION BY cell ORDER BY k) - k), 0.0::DOUBLE) AS slope FROM p),
+segs AS (
+  SELECT cell, min(k) AS key0 FROM p GROUP BY cell
+  UNION ALL
+  SELECT s.cell, min(p.k) FROM segs s JOIN lines l ON l.k = s.key0
+  JOIN p ON p.cell = s.cell AND p.k > s.key0 AND abs(round_even((p.k - l.k) * l.slope, 0) + l.pos - p.pos) > 32
+  GROUP BY s.cell),
+ends AS (SELECT *, lead(key0) OVER (PARTITION BY cell ORDER BY key0) AS key1 FROM segs)
+SELECT e.cell, e.key0, l.pos AS pos0, l.slope, CAST(max(abs(round_even((p.k - l.k) * l.slope, 0) + l.pos - p.pos)) AS BIGINT) AS err, count(*) AS n
+FROM ends e JOIN lines l ON l.k = e.key0 JOIN p ON p.cell = e.cell AND p.k >= e.key0 AND (e.key1 IS NULL OR p.k < e.key1)
+GROUP BY ALL
+"""
+
+
+@query(SEGMENTS)
 def pgm_segments(s: SparkSession, d: str) -> DataFrame:
     return learned.segments(learned.positions(_line_keys(s, d)))
 
@@ -677,6 +718,19 @@ def joint_mixed_brute(s: SparkSession, d: str) -> DataFrame:
     return joint.mixed_brute(_items(s, d), *_mixed_log(s, d), bulk_every=20, bulk=100)
 
 
+def _jitter(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """200 queries; every 40 of them the parts of a key modulo 11 get dearer, some more than once."""
+    asked = s.range(200).select(F.col("id").alias("q"), (F.col("id") * 37 % 201).alias("k"))
+    seqs = s.createDataFrame([(0, 3), (40, 3), (80, 7), (120, 3), (160, 2)], "seq bigint, m bigint")
+    return _items(s, d).select("id").join(F.broadcast(seqs), F.col("id") % 11 == F.col("m")).select("id", "seq", (F.col("seq") * 10 + 500 + F.col("id") % 5).alias("k")), asked
+
+
+@query(f"WITH {ITEMS}, asked AS (SELECT range AS q, range * 37 % 201 AS k FROM range(200)), ev AS (SELECT * FROM (VALUES (0, 3), (40, 3), (80, 7), (120, 3), (160, 2)) v(seq, m)), up AS (SELECT q, m, sum(seq * 10 + 500) AS s, count(*) AS c FROM asked, ev WHERE seq <= q GROUP BY 1, 2), priced AS (SELECT g, a.q, a.k, id, x + coalesce(s + c * (id % 5), 0) AS x, y FROM items CROSS JOIN asked a LEFT JOIN up ON up.q = a.q AND up.m = id % 11), r AS (SELECT g, q, k, id, row_number() OVER (PARTITION BY g, q ORDER BY k * x + (200 - k) * y, id) AS r FROM priced) SELECT g, q, k, id AS winner FROM r WHERE r = 1")
+def joint_jitter(s: SparkSession, d: str) -> DataFrame:
+    """The control: changes of single rows, which no certificate covers."""
+    return joint.jittered(_items(s, d), *_jitter(s, d))
+
+
 # Correlation: retail price by part key, and two columns that have none.
 
 

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparelane.functions import scalars
-from sparelane.operators import bench_records, bounds, certificates, coded, correlation, factorized, graphs, learned, lookups, quotas, ranges, ranking, regions
+from sparelane.operators import bench_records, bounds, certificates, coded, correlation, factorized, graphs, joint, learned, lookups, quotas, ranges, ranking, regions
 from sparelane.plans import ranks, rules
 from sparelane.sources import generators, records
 
@@ -192,6 +192,24 @@ def test_coded_columns_over_the_whole_range(spark):
     assert int(one(coded.filter_sum(code, 17))) == sum(a + b for a, b in pairs if a + b > 17)
     assert int(one(rules.sum_of(code, ["a", "b"]))) == sum(a + b for a, b in pairs)
     assert int(one(rules.sum_of(code, ["a"]))) == sum(a for a, _ in pairs)
+    assert one(coded.checksum(coded.recover_a(code.drop("a")))) == (sum(a for a, _ in pairs) + 2**63) % 2**64 - 2**63
+    for values in ([2**63 - 1, 1], [-(2**63), -1], [2**63 - 1] * 4, []):
+        rows = spark.createDataFrame([(v,) for v in values], "a bigint")
+        assert one(coded.checksum(rows)) == (sum(values) + 2**63) % 2**64 - 2**63
+
+
+def test_jitter_adds_up_and_equals_a_replay(spark):
+    r = random.Random(5)
+    items = [("ab"[i % 2], i, r.randrange(40), r.randrange(40)) for i in range(24)]
+    changes = [(r.choice([3, 4, 5, 11]), 7 * j, r.randrange(-9, 30)) for j in range(6)] + [(3, 7, 4)]
+    asked = [(q, r.randrange(201)) for q in range(0, 50, 3)]
+    expected = set()
+    for q, k in asked:
+        for g in "ab":
+            now = {i: k * (x + sum(c for j, s, c in changes if j == i and s <= q)) + (200 - k) * y for gg, i, x, y in items if gg == g}
+            expected.add((g, q, k, min(now, key=lambda i: (now[i], i))))
+    frames = [spark.createDataFrame(rows, schema) for rows, schema in ((items, "g string, id bigint, x bigint, y bigint"), (changes, "id bigint, seq bigint, k bigint"), (asked, "q bigint, k bigint"))]
+    assert as_set(joint.jittered(*frames)) == expected
 
 
 @pytest.mark.parametrize("shape", ["linear", "gaps", "clusters"])
