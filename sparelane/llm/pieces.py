@@ -216,11 +216,8 @@ class Transducer:
         self.name = {i: p for p, i in self.ids.items()}
         self.may: dict[int, bool] = {}
         self.beside = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
-        # the longest piece that ends in these two characters; a unit may begin with the second
-        self.reach: dict[str, int] = {}
-        for p in self.ids:
-            for end in {p[-2:], p[-1:]}:
-                self.reach[end] = max(self.reach.get(end, 1), len(p))
+        # states of the pieces' machine by what was read: the piece that ends there, or -1
+        self.heads = {p[:i]: -1 for p in self.ids for i in range(1, len(p))} | self.ids
 
     def follows(self, a: str, b: str) -> bool:
         """Whether merging leaves ``a`` before ``b`` as they are."""
@@ -270,27 +267,41 @@ class Transducer:
         return [self.bytes[c] for c in char.encode()] if self.bytes else [self.unknown]
 
     def _finite(self, unit: str) -> list[int]:
-        """The one path of finite weight: at each place, the one piece that can end there."""
-        n, get, may, reach = len(unit), self.ids.get, self.may.get, self.reach
-        last, back = [-1] * (n + 1), [0] * (n + 1)
-        for j in range(1, n + 1):
-            for i in range(max(0, j - reach.get(unit[max(0, j - 2) : j], 1)), j):
-                b = get(unit[i:j])
-                if b is not None:
-                    a = last[i]
-                    if a >= 0:
-                        fine = may(a << 32 | b)
-                        if not (self._compare(a, b) if fine is None else fine):
-                            continue
-                    last[j], back[j] = b, i
+        """The one path of finite weight, longest arcs first.
+
+        One path at most of finite weight leads to a place, so a place that it can't leave is never tried again.
+        """
+        n, get, may = len(unit), self.heads.get, self.may.get
+        places, taken, dead = [0], [-1], bytearray(n + 1)
+        while places[-1] < n:
+            i, a, ends = places[-1], taken[-1], []
+            for e in range(i + 1, n + 1):
+                b = get(unit[i:e])
+                if b is None:
                     break
+                if b >= 0 and not dead[e]:
+                    ends.append((e, b))
+            for e, b in reversed(ends):
+                if a >= 0:
+                    fine = may(a << 32 | b)
+                    if not (self._compare(a, b) if fine is None else fine):
+                        continue
+                places.append(e)
+                taken.append(b)
+                break
             else:
-                back[j] = j - 1
+                if unit[i] not in self.ids:
+                    places.append(i + 1)
+                    taken.append(-1)
+                elif i:
+                    dead[i] = 1
+                    places.pop()
+                    taken.pop()
+                else:  # none, in a model whose scores aren't those of merges: merging itself
+                    return [x for p in self._merge(list(unit))[0] for x in ([self.ids[p]] if p in self.ids else self._fallback(p))]
         out: list[int] = []
-        while n:
-            out += [last[n]] if last[n] >= 0 else reversed(self._fallback(unit[back[n] : n]))
-            n = back[n]
-        out.reverse()
+        for i, b in zip(places, taken[1:], strict=False):
+            out += [b] if b >= 0 else self._fallback(unit[i])
         return out
 
     def _cheapest(self, unit: str) -> list[int]:
