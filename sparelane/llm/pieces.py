@@ -42,7 +42,7 @@ NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, MERGES = 1, 2
 INF = float("inf")
 #: Distinct units whose ids a worker keeps, and pairs of pieces whose verdict it keeps: some tens of MB, since it waits beside the JVM.
-KEPT_UNITS = KEPT_PAIRS = 500_000
+KEPT_UNITS = KEPT_PAIRS = 250_000
 
 
 def _fields(b: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -358,9 +358,10 @@ _compiled: dict[bytes, Transducer] = KEPT.setdefault("pieces", {})
 def compiled(model: bytes) -> Transducer:
     """The model's transducer, compiled once in a process."""
     key = hashlib.sha256(model).digest()
-    if key not in _compiled:
-        _compiled[key] = Transducer(model)
-    return _compiled[key]
+    found = _compiled.get(key)  # scratch.tidy may clear the table at any time
+    if found is None:
+        found = _compiled[key] = Transducer(model)
+    return found
 
 
 def encode_documents(docs: DataFrame, model: bytes, digest: bool = False) -> DataFrame:

@@ -7,13 +7,14 @@ import heapq
 import random
 import re
 import struct
+import time
 from pathlib import Path
 
 import numpy as np
 import pytest
 from conftest import prose
 
-from sparelane.llm import masked_lm, pieces, quality, secrets
+from sparelane.llm import masked_lm, pieces, quality, scratch, secrets
 from test_exact import collected, frame
 
 MODEL = Path("/opt/tokenizers/piece_bpe_32k.model")
@@ -385,3 +386,15 @@ def test_scores_do_not_depend_on_the_layout(spark, corpus, edge_docs, monkeypatc
     got = [sorted((tuple(r) for r in masked_lm.pseudo_likelihood(rows.repartition(n)).collect()), key=repr) for n in (2, 9)]
     assert got[0] == got[1] and len(got[0]) == len(docs)
     assert len({r[2] for r in got[0] if r[:2] in ((6, 2), (7, 2), (None, 2))}) == 2  # "one two" and "one more"
+
+
+def test_waiting_worker_keeps_nothing(monkeypatch):
+    monkeypatch.setattr(scratch, "IDLE_S", 0.2, raising=False)
+    monkeypatch.setitem(scratch.KEPT, "some", {1: 2})
+    for _ in range(2):
+        assert list(scratch.tidy(iter, "some")([1])) == [1]
+        assert scratch.KEPT["some"]
+    until = time.monotonic() + 5
+    while scratch.KEPT["some"] and time.monotonic() < until:
+        time.sleep(0.05)
+    assert not scratch.KEPT["some"]
