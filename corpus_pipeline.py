@@ -41,6 +41,7 @@ def _stage(f: Stage) -> Stage:
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         scratch.discard(spark, _inner)
         _inner.clear()
+        scratch.compact(spark)
         scratch.taken()  # what others wrote is theirs
         out = f(spark, docs, sf_dir)
         _inner.extend(scratch.taken())

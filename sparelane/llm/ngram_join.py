@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from ._text import BASE, LOWER, U, documents, mix, prefix_hash, range_hash, word_hashes, words
 from ._windows import NO_ID, _planes, _unplane
 from .components import components
-from .scratch import drop, materialize, partitions, tidy
+from .scratch import compact, drop, materialize, partitions, tidy
 
 #: Members of one node that are verified in one task at a time, and members of a list that are paired in one.
 TOGETHER, BLOCK = 256, 20_000
@@ -518,6 +518,7 @@ def linked_nodes(docs: DataFrame, sets: DataFrame, size: int, percent: int) -> D
     back = dealt.mapInArrow(tidy(_shared(parts)), DEALT).repartitionById(parts, F.col("part"))
     nodes = materialize(back.mapInArrow(tidy(_linkable(percent)), LINKABLE), "linkable")
     hot.unpersist()
+    compact(spark)
     whole = nodes.select("node", "n", "shared")
     groups = nodes.select("gid", "n", "skipped", "prefix").dropDuplicates(["gid"])
     posted = groups.mapInArrow(tidy(_postings), ENTRIES)
@@ -539,6 +540,7 @@ def linked_nodes(docs: DataFrame, sets: DataFrame, size: int, percent: int) -> D
     expanded = materialize(expanded.unionAll(several.select(F.col("gid").alias("list"), "node", "n", F.lit(0).cast("long").alias("place"), F.lit(0).cast("long").alias("skipped"))), "expanded")
     labels = components(links)
     for choose, one in ((_foreign(percent), True), (_foreign(percent, any_of=True), True), (_all_foreign(percent), False)):
+        compact(spark)  # dozens of small jobs each, in JVMs that would else keep all the heap they may have
         todo = _opened(expanded, labels).repartition(parts, "list", "block").sortWithinPartitions("list", "block")
         both = todo.mapInArrow(tidy(_pairs(choose)), PAIRS).groupBy("a", "b").agg(F.sum("votes").alias("votes"))
         done = tried.select("a", "b").unionAll(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))

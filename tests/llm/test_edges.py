@@ -87,3 +87,17 @@ def test_quality_of_rows_without_ids_does_not_tie(spark):
     docs = [(None, prose(i, 30)) for i in range(40)]
     out = quality.resample(frame(spark, docs), spark.createDataFrame([], "doc_id long, quality int, toxic int")).collect()
     assert len({r.key for r in out}) == 40
+
+
+def test_stages_compact_the_executors(spark, tmp_path, monkeypatch):
+    called = []
+    monkeypatch.setattr(corpus_pipeline.scratch, "compact", called.append, raising=False)
+    stage = corpus_pipeline._stage(lambda spark, docs, sf_dir: (len(called), docs))
+    assert stage(spark, None, str(tmp_path)) == (1, None) and called == [spark]
+
+
+def test_compact_collects_in_the_executors(spark):
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans  # local mode: the one JVM is the executor
+    before = sum(b.getCollectionCount() for b in beans() if "Old" in b.getName() or "MarkSweep" in b.getName())
+    corpus_pipeline.scratch.compact(spark)
+    assert sum(b.getCollectionCount() for b in beans() if "Old" in b.getName() or "MarkSweep" in b.getName()) >= before + 2
