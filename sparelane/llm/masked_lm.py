@@ -51,6 +51,10 @@ ROUNDS, BATCH, RATE = 2, 8192, 0.01
 PART = 1 << 16
 #: Parameters in a row of a table.
 PIECE = 1 << 18
+#: Rows of a product of matrices in scores come to a multiple of this.
+TILE = 256
+#: Rows that the optimiser moves at once, which stay in the cache.
+SOME = 512
 #: Logits are cut to this size, so that their exponentials need no maximum taken off.
 BOUND = 40.0
 
@@ -105,13 +109,20 @@ class Tree:
             now = parent[now]
         leaf, node = (np.concatenate(x) for x in zip(*steps, strict=True))
         by = np.argsort(leaf, kind="stable")
-        self.nodes = node[by].astype(np.int32)
+        leaf, node = leaf[by], node[by]
         self.starts = np.concatenate([[0], np.cumsum(np.bincount(leaf, minlength=size))])
         self.depth = np.diff(self.starts).astype(np.uint16)
         end = np.arange(size)
         for at, _ in steps:
             end[at] = parent[end[at]]
-        self.subtree = np.searchsorted(below, end)
+        self.subtree = np.searchsorted(below, end).astype(np.uint8)
+        # nodes of a subtree have neighbouring numbers, from cuts[subtree] on; those of the top are the last
+        of = np.full(size - 1, TOP)
+        of[node >> 1] = self.subtree[leaf]
+        number = np.empty(size - 1, np.int64)
+        number[np.argsort(of, kind="stable")] = np.arange(size - 1)
+        self.cuts = np.searchsorted(np.sort(of), np.arange(TOP + 1))
+        self.nodes = (2 * number[node >> 1] + (node & 1)).astype(np.int32)
 
 
 class Vocabulary:
@@ -227,66 +238,104 @@ def _softmax(x: np.ndarray, target: np.ndarray, scale: float) -> np.ndarray:
     return x
 
 
-def _sums(keys: np.ndarray, columns: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys (rows of an array of ``size``) and the sums of each one's values, given a column at a time."""
+def _seen(keys: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys (rows of an array of ``size``), sorted, and the place of each key among them."""
     seen = np.zeros(size, bool)
     seen[keys] = True
     rows = np.flatnonzero(seen)
     place = np.empty(size, np.int64)
     place[rows] = np.arange(len(rows))
-    at, out = place.take(keys, mode="wrap"), np.empty((len(rows), len(columns)), columns.dtype)
+    return rows, place.take(keys, mode="wrap")
+
+
+def _sums(at: np.ndarray, columns: np.ndarray, size: int) -> np.ndarray:
+    """The sums of the values of each of ``size`` places, given a column at a time."""
+    out = np.empty((size, len(columns)), columns.dtype)
     for k, column in enumerate(columns):  # a column and its sums stay in the cache
-        out[:, k] = np.bincount(at, column, len(rows))
-    return rows, out
+        out[:, k] = np.bincount(at, column, size)
+    return out
+
+
+def _paths(tree: Tree, ids: np.ndarray, depth: np.ndarray) -> np.ndarray:
+    """The codes of the nodes on the path of each id, one path after another."""
+    depth = depth.astype(np.int64)
+    return tree.nodes.take(np.repeat(tree.starts[ids] - np.cumsum(depth) + depth, depth) + np.arange(int(depth.sum())))
+
+
+def _descend(weights: np.ndarray, tree: Tree, ids: np.ndarray, one: np.ndarray, scale: float) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
+    """Gradients of the logistic choices by ``one`` (tokens in order of subtree) and by the rows of N.
+
+    The tokens of a subtree meet all of its nodes that any of them passes in one product of matrices, of
+    which each token's own path is used.
+    """
+    depth, subtree = tree.depth[ids], tree.subtree[ids]
+    code = _paths(tree, ids, depth)
+    rows, at = _seen(code >> 1, len(weights))
+    w, sign = weights.take(rows, axis=0), ((code & 1) * 2 - 1).astype(one.dtype)
+    across = np.ascontiguousarray(w.T)
+    t, r = np.searchsorted(subtree, np.arange(TOP + 1)), np.searchsorted(rows, tree.cuts)
+    wide = np.diff(r)
+    b = np.concatenate([[0], np.cumsum(np.diff(t) * wide)])
+    # where the token's row of its subtree's matrix begins, less the first node's place
+    begin = b[subtree] + (np.arange(len(ids)) - t[subtree]) * wide[subtree] - r[subtree]
+    at += np.repeat(begin, depth)
+    flat = np.empty(b[-1], one.dtype)
+    t, r, b = t.tolist(), r.tolist(), b.tolist()
+    groups = [(slice(t[k], t[k + 1]), slice(r[k], r[k + 1]), flat[b[k] : b[k + 1]].reshape(t[k + 1] - t[k], r[k + 1] - r[k])) for k in range(TOP) if b[k] < b[k + 1]]
+    for some, nodes, m in groups:
+        np.matmul(one[some], across[:, nodes], out=m)
+    x = flat.take(at)
+    x *= sign
+    q = np.exp(-np.clip(x, -BOUND, BOUND, out=x))
+    flat.fill(0)
+    flat[at] = sign * q / (1 + q) * one.dtype.type(-scale)
+    back, sums = np.zeros_like(one), np.empty_like(w)
+    for some, nodes, m in groups:
+        np.matmul(m, w[nodes], out=back[some])
+        np.matmul(m.T, one[some], out=sums[nodes])
+    return back, (rows, sums)
 
 
 def forward(p: dict[str, np.ndarray], tree: Tree, seq: np.ndarray, at: np.ndarray, grads: dict | None = None) -> np.ndarray | None:
     """log p(token | both sides) of each token; or sets ``grads`` to the gradient of minus their mean, of E and N as (rows, values)."""
     scale = 1 / len(at) if grads is not None else 0.0
-    # longest paths first, so that those that go on at a depth are the first rows
     count = tree.depth[seq[at]]
-    order = np.argsort(np.uint16(65535) - count, kind="stable")
+    # longest paths first, so that those that go on at a depth are the first rows; where gradients are wanted, by subtree
+    order = np.argsort(tree.subtree[seq[at]] if scale else np.uint16(65535) - count, kind="stable")
     at, count = at[order], count[order]
-    near, ids, m = p["E"].take(seq, axis=0, mode="wrap"), seq[at], len(seq) - WINDOW
+    ids, m = seq[at], len(seq) - WINDOW
+    if scale:
+        rows, place = _seen(seq, len(p["E"]))
+        near = p["E"].take(rows, axis=0).take(place, axis=0)
+    else:
+        near = p["E"].take(seq, axis=0, mode="wrap")
     z = near[: m - WINDOW] * p["A"][0]
     for o, a in zip(OFFSETS[1:], p["A"][1:], strict=True):
         z += near[WINDOW + o : m + o] * a
     z += p["b"]
     h = np.tanh(z.take(at - WINDOW, axis=0))
-    # a product a row, which doesn't depend on the rows beside it, where scores are wanted
-    x = h @ p["C"] if scale else (h[:, None] @ p["C"])[:, 0]
+    # on whole tiles of rows: a row's product doesn't depend on how many others there are
+    x = (h if scale else np.concatenate([h, np.zeros((-len(h) % TILE, DIM), h.dtype)])) @ p["C"]
+    x = x[: len(h)]
     top = _softmax(x + p["c"], tree.subtree[ids], scale)
-    going = len(at) - np.cumsum(np.bincount(count))[:-1]
-    first, total, done = tree.starts[ids], int(going.sum()), 0
     one = np.concatenate([h, np.ones((len(h), 1), h.dtype)], axis=1)  # the last column of N is a constant
-    if scale:
-        across, dh = np.ascontiguousarray(one.T), np.zeros_like(one)
-        nodes, slopes = np.empty(total, np.int32), np.empty((DIM + 1, total), h.dtype)
-    else:
+    if not scale:
+        going = len(at) - np.cumsum(np.bincount(count))[:-1]
+        first = tree.starts[ids]
         odds = np.ones(len(at))  # one over the product of the nodes' probabilities
-    for depth, k in enumerate(going.tolist()):
-        code = tree.nodes.take(first[:k] + depth)
-        node, sign = code >> 1, ((code & 1) * 2 - 1).astype(h.dtype)
-        w = p["N"].take(node, axis=0)
-        x = np.einsum("nd,nd->n", one[:k], w) * sign
-        q = np.exp(-np.clip(x, -BOUND, BOUND, out=x))
-        if not scale:
+        for depth, k in enumerate(going.tolist()):
+            code = tree.nodes.take(first[:k] + depth)
+            node, sign = code >> 1, ((code & 1) * 2 - 1).astype(h.dtype)
+            x = np.einsum("nd,nd->n", one[:k], p["N"].take(node, axis=0)) * sign
+            q = np.exp(-np.clip(x, -BOUND, BOUND, out=x))
             odds[:k] *= 1 + q.astype(np.float64)
             if depth % 16 == 15:  # beyond, the product could leave the range
                 top[:k] -= np.log(odds[:k])
                 odds[:k] = 1
-        else:
-            g = sign * q / (1 + q) * h.dtype.type(-scale)
-            nodes[done : done + k] = node
-            np.multiply(across[:, :k], g, out=slopes[:, done : done + k])
-            w *= g[:, None]
-            dh[:k] += w
-            done += k
-    if not scale:
         out = np.empty_like(top)
         out[order] = top - np.log(odds)
         return out
-    grads["N"] = _sums(nodes, slopes, len(p["N"]))
+    dh, grads["N"] = _descend(p["N"], tree, ids, one, scale)
     dh = dh[:, :DIM] + top @ p["C"].T
     grads["C"], grads["c"] = h.T @ top, top.sum(0)
     dz = np.zeros((m - WINDOW, DIM), h.dtype)
@@ -296,7 +345,7 @@ def forward(p: dict[str, np.ndarray], tree: Tree, seq: np.ndarray, at: np.ndarra
     for k, o in enumerate(OFFSETS):
         grads["A"][k] = np.einsum("nd,nd->d", dz, near[WINDOW + o : m + o])
         back[WINDOW + o : m + o] += dz * p["A"][k]
-    grads["E"] = _sums(seq, np.ascontiguousarray(back.T), len(p["E"]))
+    grads["E"] = (rows, _sums(place, np.ascontiguousarray(back.T), len(rows)))
     return None
 
 
@@ -307,15 +356,12 @@ class Trainer:
         self.p, self.tree, self.step, self.seen = p, tree, 0, 0
         self.m, self.v = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
 
-    def _move(self, k: str, g, rate: np.float32) -> None:
-        p, m, v, rows = self.p[k], self.m[k], self.v[k], None
-        if isinstance(g, tuple):
-            rows, g = g
-            m, v = m.take(rows, axis=0), v.take(rows, axis=0)
+    @staticmethod
+    def _move(p: np.ndarray, m: np.ndarray, v: np.ndarray, g: np.ndarray, rate: np.float32) -> None:
         step = g - m
         step *= np.float32(0.1)
         m += step
-        step = g * g
+        np.multiply(g, g, out=step)
         step -= v
         step *= np.float32(0.01)
         v += step
@@ -323,10 +369,17 @@ class Trainer:
         step += np.float32(1e-6)
         np.divide(m, step, out=step)
         step *= rate
-        if rows is None:
-            p -= step
-        else:
-            self.m[k][rows], self.v[k][rows], p[rows] = m, v, p.take(rows, axis=0) - step
+        p -= step
+
+    def _rows(self, k: str, rows: np.ndarray, g: np.ndarray, rate: np.float32) -> None:
+        every = self.p[k], self.m[k], self.v[k]
+        for i in range(0, len(rows), SOME):
+            some = rows[i : i + SOME]
+            held = [x.take(some, axis=0) for x in every]
+            self._move(*held, g[i : i + SOME], rate)
+            for x, y in zip(every, held, strict=True):  # a row as one item, which is faster to put
+                row = f"V{x.itemsize * x.shape[1]}"
+                x.view(row)[:, 0][some] = y.view(row)[:, 0]
 
     def learn(self, seq: np.ndarray, at: np.ndarray) -> None:
         for near, here in blocks(seq, at):
@@ -335,7 +388,10 @@ class Trainer:
             self.step += 1
             rate = np.float32(RATE * np.sqrt(1 - 0.99**self.step) / (1 - 0.9**self.step))
             for k, g in grads.items():
-                self._move(k, g, rate)
+                if isinstance(g, tuple):
+                    self._rows(k, *g, rate)
+                else:
+                    self._move(self.p[k], self.m[k], self.v[k], g, rate)
             self.seen += len(here)
 
 

@@ -398,3 +398,23 @@ def test_waiting_worker_keeps_nothing(monkeypatch):
     while scratch.KEPT["some"] and time.monotonic() < until:
         time.sleep(0.05)
     assert not scratch.KEPT["some"]
+
+
+def test_gradients_by_subtree_equal_those_by_node():
+    rng = np.random.default_rng(3)
+    size = masked_lm.VOCABULARY
+    tree = masked_lm.Tree(rng.zipf(1.3, size).clip(1, 10**6))
+    ids = rng.integers(0, size, 500)
+    ids = ids[np.argsort(tree.subtree[ids], kind="stable")]
+    weights, one = rng.normal(size=(size - 1, 25)), rng.normal(size=(len(ids), 25))
+    back, (rows, sums) = masked_lm._descend(weights, tree, ids, one, 0.5)
+    dh, dn = np.zeros_like(one), np.zeros_like(weights)
+    for i, word in enumerate(ids.tolist()):
+        for code in tree.nodes[tree.starts[word] : tree.starts[word + 1]].tolist():
+            sign, node = (code & 1) * 2 - 1, code >> 1
+            assert tree.cuts[tree.subtree[word]] <= node < tree.cuts[tree.subtree[word] + 1]
+            g = -0.5 * sign / (1 + np.exp(sign * (one[i] @ weights[node])))
+            dh[i] += g * weights[node]
+            dn[node] += g * one[i]
+    assert np.allclose(back, dh) and np.allclose(sums, dn[rows])
+    assert not np.delete(dn, rows, axis=0).any()
